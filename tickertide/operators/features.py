@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import WindowSpec
 
 from tickertide.functions.columns import ratio
-from tickertide.operators.series import ROWS_PER_BLOCK, carry_forward, over_blocks, with_positions
+from tickertide.operators.series import ROWS_PER_BLOCK, over_blocks, with_positions
 
 # Default features, in the order of the window vectors.
 FEATURES = [
@@ -73,13 +73,17 @@ def price_features(df: DataFrame, w: WindowSpec) -> DataFrame:
     ).drop("_gain", "_loss")
 
 
-def fill_sentiment(df: DataFrame, fill: str = "ffill", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Fill gaps in sentiment (last value seen, or zero) and in the article count (zero)."""
+def positioned_bars(bars: DataFrame, sentiment: DataFrame, fill: str = "ffill") -> DataFrame:
+    """Bars joined with sentiment and numbered per ticker: the input of block operators.
+
+    Gaps in sentiment take the last value seen (``ffill``, then zero) or zero; missing article
+    counts become zero.
+    """
     if fill not in SENTIMENT_FILLS:
         raise ValueError(f"fill must be one of {SENTIMENT_FILLS}, got {fill!r}")
-    if fill == "ffill":
-        df = carry_forward(df, ["daily_sentiment"], rows_per_block=rows_per_block)
-    return df.withColumns(
+    carry = ["daily_sentiment"] if fill == "ffill" else []
+    numbered = with_positions(join_sentiment(bars, sentiment), carry)
+    return numbered.withColumns(
         {
             "daily_sentiment": F.coalesce("daily_sentiment", F.lit(0.0)),
             "n_articles": F.coalesce("n_articles", F.lit(0)).cast("int"),
@@ -99,13 +103,6 @@ def target(df: DataFrame, w: WindowSpec, kind: str = "return") -> DataFrame:
     return df.withColumn("target", value)
 
 
-def positioned_bars(
-    bars: DataFrame, sentiment: DataFrame, fill: str = "ffill", rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
-    """Bars joined with filled sentiment and numbered per ticker: the input of block operators."""
-    return fill_sentiment(with_positions(join_sentiment(bars, sentiment)), fill, rows_per_block)
-
-
 def feature_table(
     bars: DataFrame,
     sentiment: DataFrame,
@@ -114,7 +111,7 @@ def feature_table(
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """All features per bar; with ``target_kind`` also the target, rows without one dropped."""
-    base = positioned_bars(bars, sentiment, fill, rows_per_block)
+    base = positioned_bars(bars, sentiment, fill)
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         out = price_features(df, w)

@@ -72,14 +72,12 @@ def number_articles(urls: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFr
 
     Ranks come from counts per range of row numbers, so nothing is sorted in one task.
     """
-    buckets = [
-        F.floor(F.col("article_rn") / (rows_per_bucket * 1000)),
-        F.floor(F.col("article_rn") / rows_per_bucket),
-    ]
-    have = urls.filter(F.col("article_rn").isNotNull()).select("url_hash", "article_rn")
-    ranked = running_total(have, "article_rn", buckets, name="article_index")
-    index = ranked.select("url_hash", F.col("article_index").cast("bigint").alias("article_index"))
-    return urls.join(index, "url_hash", "left")
+    has = F.col("article_rn").isNotNull()
+    # Row numbers belong to one URL each, so this key is unique.
+    keyed = urls.withColumn("_key", F.coalesce("article_rn", "first_rn"))
+    buckets = [F.floor(F.col("_key") / (rows_per_bucket * 1000)), F.floor(F.col("_key") / rows_per_bucket)]
+    ranked = running_total(keyed, "_key", buckets, has.cast("bigint"), name="_rank")
+    return ranked.withColumn("article_index", F.when(has, F.col("_rank").cast("bigint"))).drop("_key", "_rank")
 
 
 def url_row_segments(news: DataFrame, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
@@ -107,24 +105,38 @@ def valid_tickers(bars: DataFrame) -> DataFrame:
     return bars.select(F.lower("ticker").alias("ticker")).distinct()
 
 
+def _look_up(urls: DataFrame, tickers: Column, names: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the sorted members of a ticker array that occur in ``names``.
+
+    One pass: explode, join, and fold back by URL. Ticker lists are short; a ticker found in very
+    many lists only costs in the join, whose small side is broadcast or whose hot partition is
+    split by adaptive execution. URLs without a ticker get a key of their own, as null keys
+    would all meet in one task.
+    """
+    known = names.select(F.upper(F.trim("ticker")).alias("_ticker")).distinct()
+    known = known.withColumn("_known", F.lit(True))
+    pairs = urls.select("*", F.explode_outer(tickers).alias("_ticker"))
+    pairs = pairs.withColumn("_ticker", F.coalesce("_ticker", F.concat(F.lit("~"), "url_hash")))
+    rest = [c for c in urls.columns if c != "url_hash"]
+    folded = pairs.join(known, "_ticker", "left").groupBy("url_hash").agg(
+        F.any_value(F.struct(*rest)).alias("_row"),
+        F.array_sort(F.collect_set(F.when(F.col("_known"), F.col("_ticker")))).alias(name),
+    )
+    return folded.select("url_hash", "_row.*", name)
+
+
 def enrich_from_titles(
     urls: DataFrame, valid: DataFrame, stop_words: Sequence[str] = tuple(TITLE_STOP_WORDS)
 ) -> DataFrame:
     """Add tickers found in titles: capitals, not a stop word, and known to have prices.
 
-    Adds ``n_added``. Everything stays partitioned by ``url_hash``.
+    Adds ``n_added``.
     """
     found = F.regexp_extract_all("title", F.lit(TITLE_TICKER), 0)
     stop = F.array(*[F.lit(w) for w in stop_words])
     fresh = F.array_except(F.array_except(F.array_distinct(found), stop), F.col("tickers"))
-    candidates = urls.select("url_hash", F.explode(fresh).alias("_candidate"))
-    known = valid.select(F.upper("ticker").alias("_candidate")).distinct()
-    mined = candidates.join(known, "_candidate", "left_semi").groupBy("url_hash").agg(
-        F.collect_set("_candidate").alias("_mined")
-    )
-    empty = F.array().cast("array<string>")
-    out = urls.join(mined, "url_hash", "left").withColumn("_mined", F.coalesce("_mined", empty))
-    return out.withColumns(
+    mined = _look_up(urls, fresh, valid, "_mined")
+    return mined.withColumns(
         {
             "tickers": F.array_sort(F.array_union("tickers", "_mined")),
             "n_added": F.size("_mined"),
@@ -141,15 +153,10 @@ def enrichment_counts(enriched: DataFrame) -> DataFrame:
 
 def prune_urls(urls: DataFrame, valid: DataFrame) -> DataFrame:
     """URLs with an article and at least one ticker that has prices; the whole list is kept."""
-    names = valid.select(F.upper("ticker").alias("_ticker")).distinct()
-    pairs = urls.filter(F.col("article_index").isNotNull()).select(
-        "url_hash", F.explode("tickers").alias("_ticker")
-    )
-    kept = pairs.join(names, F.upper(F.trim(pairs["_ticker"])) == names["_ticker"], "left_semi")
     upper = F.array_sort(F.array_distinct(F.transform("tickers", lambda t: F.upper(F.trim(t)))))
-    return urls.join(kept.select("url_hash").distinct(), "url_hash", "left_semi").withColumn(
-        "tickers", upper
-    )
+    listed = urls.filter(F.col("article_index").isNotNull()).withColumn("tickers", upper)
+    priced = _look_up(listed, F.col("tickers"), valid, "_priced")
+    return priced.filter(F.size("_priced") > 0).drop("_priced")
 
 
 def keep_articles(articles: DataFrame, urls: DataFrame) -> DataFrame:
@@ -169,17 +176,10 @@ def restrict_tickers(urls: DataFrame, allowed: DataFrame) -> DataFrame:
 
     An empty allowed set means no restriction.
     """
-    names = allowed.select(F.upper(F.trim("ticker")).alias("_ticker")).distinct()
-    marked = names.withColumn("_allowed", F.lit(True))
-    unrestricted = names.agg((F.count("*") == 0).alias("none")).scalar()
-    pairs = urls.select("url_hash", F.explode("tickers").alias("_ticker"))
-    kept = (
-        pairs.join(marked, "_ticker", "left")
-        .filter(F.col("_allowed") | unrestricted)
-        .groupBy("url_hash")
-        .agg(F.array_sort(F.collect_set("_ticker")).alias("_kept"))
-    )
-    return urls.join(kept, "url_hash").withColumn("tickers", F.col("_kept")).drop("_kept")
+    unrestricted = allowed.agg((F.count("*") == 0).alias("none")).scalar()
+    cut = _look_up(urls, F.col("tickers"), allowed, "_kept")
+    kept = F.when(unrestricted, F.col("tickers")).otherwise(F.col("_kept"))
+    return cut.withColumn("tickers", kept).drop("_kept").filter(F.size("tickers") > 0)
 
 
 def strip_url_prefix(urls: DataFrame, prefix: str) -> DataFrame:

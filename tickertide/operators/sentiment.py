@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from tickertide.functions.columns import clip, leading_date, trim_space
-from tickertide.operators.series import ROWS_PER_BLOCK, carry_forward, over_blocks, with_positions
+from tickertide.operators.series import ROWS_PER_BLOCK, over_blocks, with_positions
 
 SPANS = (3, 5, 10, 20)  # fixed values: default window lengths in rows
 STRONG = 0.3
@@ -91,8 +91,6 @@ def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str,
     stretches only the previous one still has weights that count. The sum of all weights has
     a closed form.
     """
-    from pyspark.sql import Window
-
     q, reach = _decay(span)
     p = F.col("pos") - 1
     j = (p % reach).cast("double")
@@ -156,14 +154,13 @@ def cumulative_features(
     return out.drop("pos", "n_rows")
 
 
-def combine_with_bars(bars: DataFrame, features: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def combine_with_bars(bars: DataFrame, features: DataFrame) -> DataFrame:
     """Bars with cumulative features: running ones are carried over gaps, the others become zero."""
     upper = bars.withColumn("ticker", F.upper("ticker"))
     news = features.withColumn("ticker", F.upper("ticker"))
     carried = [c for c in news.columns if any(part in c for part in CARRIED_PARTS)]
     zeroed = [c for c in news.columns if c in ZERO_FILLED]
-    merged = with_positions(upper.join(news, ["ticker", "date"], "left"))
-    filled = carry_forward(merged, carried, rows_per_block=rows_per_block)
+    filled = with_positions(upper.join(news, ["ticker", "date"], "left"), carried)
     return filled.fillna(0, subset=[*carried, *zeroed]).drop("pos", "n_rows")
 
 

@@ -72,11 +72,38 @@ def running_total(
 
 
 def with_positions(
-    df: DataFrame, key: str = "ticker", order: str = "date", pos: str = "pos", n: str = "n_rows"
+    df: DataFrame,
+    carry: Sequence[str] = (),
+    key: str = "ticker",
+    order: str = "date",
+    pos: str = "pos",
+    n: str = "n_rows",
 ) -> DataFrame:
-    """1-based position of each row in its series, and the length of the series."""
-    out = running_total(df, order, [F.year(order)], keys=[key], name="_before", total=n)
-    return out.withColumn(pos, (F.col("_before") + 1).cast("bigint")).drop("_before")
+    """1-based position of each row in its series, and the length of the series.
+
+    Nulls in the ``carry`` columns are replaced by the last value seen earlier in the series,
+    however far back. Rows are sorted within one year of a key; across years only the row counts
+    and last values of each year are ordered.
+    """
+    year = "_year"
+    base = df.withColumn(year, F.year(order))
+    ends = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carry]
+    years = base.groupBy(key, year).agg(F.count("*").alias("_count"), *ends)
+    whole = Window.partitionBy(key)
+    before = whole.orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = years.select(
+        key,
+        year,
+        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_count").over(whole).alias(n),
+        *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in carry],
+    )
+    inside = Window.partitionBy(key, year).orderBy(order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = base.join(offsets, [key, year], "left")
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carry_{c}")) for c in carry}
+    out = out.withColumns({pos: F.row_number().over(inside) + F.col("_offset"), **filled})
+    return out.drop(year, "_offset", *[f"_carry_{c}" for c in carry])
 
 
 def over_blocks(
@@ -109,39 +136,6 @@ def over_blocks(
     return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
-def carry_forward(
-    df: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str] = ("ticker",),
-    pos: str = "pos",
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
-    """Replace nulls by the last value seen earlier in the series, however far back it is.
-
-    Within a block a window carries the value; across blocks only each block's last values are
-    ordered (one row per block).
-    """
-    keys = list(keys)
-    block = F.floor((F.col(pos) - 1) / F.lit(rows_per_block)).cast("bigint")
-    blocks = df.withColumn("_block", block)
-    ends = blocks.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_end_{c}") for c in columns]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys,
-        "_block",
-        *[F.last(f"_end_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in columns],
-    )
-    here = Window.partitionBy(*keys, "_block").orderBy(pos)
-    here = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = blocks.join(carried, [*keys, "_block"], "left")
-    filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(here), F.col(f"_carry_{c}")) for c in columns
-    }
-    return out.withColumns(filled).drop("_block", *[f"_carry_{c}" for c in columns])
-
-
 def dense_index(df: DataFrame, column: str, name: str, levels: Sequence[Column] | None = None) -> DataFrame:
     """0-based alphabetical index of each distinct value: one row per value.
 

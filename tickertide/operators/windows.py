@@ -74,7 +74,7 @@ def sliding_windows(
     """
     if seq_len < 1:
         raise ValueError("seq_len must be at least 1")
-    base = positioned_bars(bars.filter(F.col("close").isNotNull()), sentiment, fill, rows_per_block)
+    base = positioned_bars(bars.filter(F.col("close").isNotNull()), sentiment, fill)
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         return stack_windows(target(price_features(df, w), w, target_kind), w, seq_len, columns)
@@ -298,6 +298,28 @@ def horizon_windows(
     )
 
 
+def many_horizons(df: DataFrame, seq_len: int, horizons: Sequence[int], **options) -> DataFrame:
+    """Price windows for several horizons from one pass: each window is repeated with its targets.
+
+    The windows are cut once, for the nearest horizon, and carry the prices ahead of them.
+    """
+    near, far = min(horizons), max(horizons)
+    reach = seq_len - 1 + far
+
+    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        prices = [F.lead("close", seq_len - 1 + h).over(w) for h in horizons]
+        return rows.withColumn("_ahead", F.array(*prices))
+
+    ahead = over_blocks(df, compute, 0, reach, ["ticker", "split"], "split_pos")
+    ahead = ahead.select("ticker", "split", "split_pos", "_ahead")
+    cut = horizon_windows(df, seq_len, near, **options).drop("target_price", "y")
+    pairs = F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("h"), F.col("_ahead").alias("p"))
+    rows = cut.join(ahead, ["ticker", "split", "split_pos"]).withColumn("_t", F.explode(pairs))
+    rows = rows.withColumns({"horizon": F.col("_t.h"), "target_price": F.col("_t.p")}).drop("_t", "_ahead")
+    rows = rows.filter(F.col("target_price").isNotNull())
+    return rows.withColumn("y", ratio(F.col("target_price"), F.col("y_base")) - 1)
+
+
 def denormalise(y: Column, base: Column) -> Column:
     return (y + 1) * base
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickertide.sources.readers import table
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
-NEWS_FIRST, NEWS_LAST = 1995, 2000
+NEWS_FIRST, NEWS_LAST = 1996, 2001
 URL_PREFIX = "https://www.example.com"
 
 # ---- Spark ---------------------------------------------------------------------

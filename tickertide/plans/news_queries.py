@@ -31,11 +31,11 @@ fx.CTES["fx_urls"] = (
 _FOUND = "regexp_extract_all(title, '\\b[A-Z]{2,5}\\b')"
 _MINED = (
     f"list_distinct(list_filter({_FOUND}, lambda t: NOT list_contains({STOP}, t) AND NOT list_contains(tickers, t) "
-    "AND list_contains((SELECT list(DISTINCT ticker) FROM fx_bars), t)))"
+    "AND list_contains(known, t)))"
 )
 fx.CTES["fx_enriched"] = (
-    "SELECT * EXCLUDE (tickers, mined), list_sort(list_concat(tickers, mined)) AS tickers, len(mined) AS n_added "
-    f"FROM (SELECT *, {_MINED} AS mined FROM fx_urls)"
+    "SELECT * EXCLUDE (tickers, mined, known), list_sort(list_concat(tickers, mined)) AS tickers, len(mined) AS n_added "
+    f"FROM (SELECT *, {_MINED} AS mined FROM fx_urls, (SELECT list(DISTINCT ticker) AS known FROM fx_bars))"
 )
 fx.CTES["fx_pruned"] = (
     "SELECT * FROM fx_enriched WHERE article_index IS NOT NULL AND "
@@ -249,11 +249,9 @@ def _(spark, folder):
     return ops.drop_articles(articles, gone).select("article_index", "url")
 
 
-_ALLOWED = "(SELECT list(symbol) FROM fx_universe)"
-
-
 @query("allowed_ticker_lists__c8", "SELECT url_hash, array_to_string(kept, ',') AS tickers FROM (SELECT url_hash, "
-       f"list_filter(tickers, lambda t: list_contains({_ALLOWED}, t)) AS kept FROM fx_pruned) WHERE len(kept) > 0")
+       "list_filter(tickers, lambda t: list_contains(allowed, t)) AS kept FROM fx_pruned, "
+       "(SELECT list(symbol) AS allowed FROM fx_universe)) WHERE len(kept) > 0")
 def _(spark, folder):
     allowed = fx.universe(spark, folder).withColumnRenamed("symbol", "ticker")
     return ops.restrict_tickers(pruned(spark, folder), allowed).select("url_hash", "tickers")
@@ -319,10 +317,10 @@ def _(spark, folder):
     return writers.yearly_map(counts(spark, folder)).select("ticker", text.alias("years"))
 
 
-@query("covered_tickers__d8", f"SELECT ticker FROM fx_counts WHERE year BETWEEN {Y1} AND {Y2} AND n_articles >= {MINIMUM} "
-       f"GROUP BY 1 HAVING count(*) = {Y2 - Y1 + 1}")
+@query("covered_tickers__d8", f"SELECT ticker FROM fx_counts WHERE year BETWEEN {Y1} AND {Y2 - 1} AND n_articles >= {MINIMUM} "
+       f"GROUP BY 1 HAVING count(*) = {Y2 - Y1}")
 def _(spark, folder):
-    return ops.covered_tickers(counts(spark, folder), Y1, Y2, MINIMUM)
+    return ops.covered_tickers(counts(spark, folder), Y1, Y2 - 1, MINIMUM)
 
 
 @query("top_tickers__d9_d10_d18", f"SELECT ticker, {i('sum(n_articles)')} AS total FROM fx_counts GROUP BY 1 "
