@@ -30,6 +30,17 @@ def utc_timestamp(text: str | Column) -> Column:
     return F.coalesce(day_only, full)
 
 
+def as_instant(ts: str | Column) -> Column:
+    """A zone-free UTC timestamp as a point in time, which watermarks need."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), as_column(ts))
+    return F.timestamp_micros(micros)
+
+
+def instant_date(ts: str | Column) -> Column:
+    """The UTC date of a point in time, whatever the session zone is."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(as_column(ts)), F.expr(EPOCH)).cast("date")
+
+
 def leading_date(text: str | Column) -> Column:
     """The date in the first ten characters; null when it is not one."""
     return F.substring(as_column(text), 1, 10).try_cast("date")

@@ -245,26 +245,12 @@ def relative_steps(x: Column, columns: Sequence[str]) -> Column:
     return F.transform(x, lambda step: F.array(*[cell(step, i, c) for i, c in enumerate(columns)]))
 
 
-def horizon_windows(
-    df: DataFrame,
-    seq_len: int,
-    horizon: int = 1,
-    columns: Sequence[str] = ("close", "volume", "daily_sentiment", "n_articles"),
-    task: str = "price",
-    threshold: float = 0.0,
-    rows_per_block: int = ROWS_PER_BLOCK,
+def _cut_windows(
+    df: DataFrame, seq_len: int, horizons: Sequence[int], columns: Sequence[str], rows_per_block: int
 ) -> DataFrame:
-    """Windows of ``seq_len`` rows and a target ``horizon`` rows after their end, per split.
-
-    ``x`` leaves out the last step, while target and direction use the true last price.
-    Expects the output of ``positional_split``.
-    """
-    if task not in ("price", "direction"):
-        raise ValueError("task must be 'price' or 'direction'")
+    """Windows per split with their last price and the prices at each horizon (``_ahead``)."""
     names = resolve_columns(df, columns)
-    base = fill_news_gaps(df)
-    keys = ["ticker", "split"]
-    ahead = seq_len - 1 + horizon
+    reach = seq_len - 1 + max(horizons)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         frame = w.rowsBetween(0, seq_len - 1)
@@ -272,49 +258,64 @@ def horizon_windows(
         return rows.withColumns(
             {
                 "_x": F.when(whole, F.collect_list(_stack(names)).over(frame)),
-                "_last": F.lead("close", seq_len - 1).over(w),
-                "_target": F.lead("close", ahead).over(w),
+                "last_price": F.lead("close", seq_len - 1).over(w),
+                "_ahead": F.array(*[F.lead("close", seq_len - 1 + h).over(w) for h in horizons]),
             }
         )
 
-    out = over_blocks(base, compute, 0, ahead, keys, "split_pos", rows_per_block)
-    out = out.filter(F.col("_x").isNotNull() & F.col("_target").isNotNull())
-    if task == "price":
-        y = ratio(F.col("_target"), F.col("close")) - 1
-    else:
-        change = ratio(F.col("_target") - F.col("_last"), F.col("_last"))
-        out = out.filter(F.abs(change) >= threshold)
-        y = F.when(change > 0, 1.0).otherwise(0.0)
-    return out.select(
+    out = over_blocks(fill_news_gaps(df), compute, 0, reach, ["ticker", "split"], "split_pos", rows_per_block)
+    return out.filter(F.col("_x").isNotNull()).select(
         "ticker",
         "split",
         "split_pos",
         "date",
         F.slice(relative_steps(F.col("_x"), names), 1, seq_len - 1).alias("x"),
-        y.alias("y"),
         F.col("close").alias("y_base"),
-        F.col("_last").alias("last_price"),
-        F.col("_target").alias("target_price"),
+        "last_price",
+        "_ahead",
     )
 
 
-def many_horizons(df: DataFrame, seq_len: int, horizons: Sequence[int], **options) -> DataFrame:
-    """Price windows for several horizons from one pass: each window is repeated with its targets.
+ALL_COLUMNS = tuple(FEATURE_SETS["all_features"])
+
 
-    The windows are cut once, for the nearest horizon, and carry the prices ahead of them.
+def horizon_windows(
+    df: DataFrame,
+    seq_len: int,
+    horizon: int = 1,
+    columns: Sequence[str] = ALL_COLUMNS,
+    task: str = "price",
+    threshold: float = 0.0,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Windows of ``seq_len`` rows and a target ``horizon`` rows after their end, per split.
+
+    ``x`` leaves out the last step, while target and direction use the true last price.
+    Expects the output of ``positional_split``.
     """
-    near, far = min(horizons), max(horizons)
-    reach = seq_len - 1 + far
+    if task not in ("price", "direction"):
+        raise ValueError("task must be 'price' or 'direction'")
+    out = _cut_windows(df, seq_len, [horizon], columns, rows_per_block)
+    out = out.withColumn("target_price", F.element_at("_ahead", 1)).drop("_ahead")
+    out = out.filter(F.col("target_price").isNotNull())
+    if task == "price":
+        return out.withColumn("y", ratio(F.col("target_price"), F.col("y_base")) - 1)
+    change = ratio(F.col("target_price") - F.col("last_price"), F.col("last_price"))
+    moved = out.filter(F.abs(change) >= threshold)
+    return moved.withColumn("y", F.when(change > 0, 1.0).otherwise(0.0))
 
-    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        prices = [F.lead("close", seq_len - 1 + h).over(w) for h in horizons]
-        return rows.withColumn("_ahead", F.array(*prices))
 
-    ahead = over_blocks(df, compute, 0, reach, ["ticker", "split"], "split_pos")
-    ahead = ahead.select("ticker", "split", "split_pos", "_ahead")
-    cut = horizon_windows(df, seq_len, near, **options).drop("target_price", "y")
+def many_horizons(
+    df: DataFrame,
+    seq_len: int,
+    horizons: Sequence[int],
+    columns: Sequence[str] = ALL_COLUMNS,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Price windows for several horizons at once: cut in one pass, then one row per horizon."""
+    out = _cut_windows(df, seq_len, horizons, columns, rows_per_block)
     pairs = F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("h"), F.col("_ahead").alias("p"))
-    rows = cut.join(ahead, ["ticker", "split", "split_pos"]).withColumn("_t", F.explode(pairs))
+    rows = out.withColumn("_t", F.explode(pairs))
     rows = rows.withColumns({"horizon": F.col("_t.h"), "target_price": F.col("_t.p")}).drop("_t", "_ahead")
     rows = rows.filter(F.col("target_price").isNotNull())
     return rows.withColumn("y", ratio(F.col("target_price"), F.col("y_base")) - 1)

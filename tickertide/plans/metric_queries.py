@@ -34,7 +34,9 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join(f"({cells(row)})" for row in rows) + ")"
 
 
-def measures_sql(pred: str = "pred", true: str = "y", short: bool = False, prefix: str = "") -> str:
+def measures_sql(
+    pred: str = "pred", true: str = "y", short: bool = False, prefix: str = "", digits: int = 6
+) -> str:
     e = f"({pred} - {true})"
     cols = {
         "mse": f"avg({e} * {e})",
@@ -48,7 +50,7 @@ def measures_sql(pred: str = "pred", true: str = "y", short: bool = False, prefi
         )
         cols["sharpe_pred"] = f"coalesce(avg({pred}) / nullif(stddev_pop({pred}), 0), 0)"
         cols["sharpe_true"] = f"coalesce(avg({true}) / nullif(stddev_pop({true}), 0), 0)"
-    return ", ".join(f"{r(v)} AS {prefix}{k}" for k, v in cols.items())
+    return ", ".join(f"{r(v, digits)} AS {prefix}{k}" for k, v in cols.items())
 
 
 fx.CTES["fx_pred"] = (
@@ -96,7 +98,7 @@ def _(spark, folder):
 
 
 @query("persistence_close__i1_i8", "SELECT split, count(*) AS n, "
-       + measures_sql("last_close", "next_close", short=True).replace(", 6)", ", 4)")
+       + measures_sql("last_close", "next_close", short=True, digits=4)
        + " FROM (SELECT w.split, w.last_close, f.next_close FROM fx_windows w JOIN fx_feat f ON f.ticker = w.ticker "
        "AND f.rn = w.rn WHERE w.split IS NOT NULL) GROUP BY 1", digits=4)
 def _(spark, folder):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tickertide.functions.columns import as_instant, instant_date
 from tickertide.operators.news import in_years
 from tickertide.operators.sentiment import not_yet_scored
 
@@ -80,12 +81,13 @@ def daily_sentiment_stream(events: DataFrame, out: str, checkpoint: str, waterma
     row per ticker and day. A watermark bounds the state of an endless stream, at the price of
     dropping rows later than it.
     """
+    events = events.withColumn("ts", as_instant("ts"))
     if watermark:
         events = events.withWatermark("ts", watermark)
     daily = events.groupBy("ticker", F.window("ts", "1 day")).agg(
         F.avg("sentiment").alias("daily_sentiment"), F.count("*").alias("n_articles")
     )
-    rows = daily.select("ticker", F.to_date("window.start").alias("date"), "daily_sentiment", "n_articles")
+    rows = daily.select("ticker", instant_date("window.start").alias("date"), "daily_sentiment", "n_articles")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -127,6 +129,7 @@ def read_first_urls(spark: SparkSession, out: str) -> DataFrame:
 def first_urls_bounded(news: DataFrame, watermark: str) -> DataFrame:
     """Stream of first arrivals per URL, forgetting URLs older than the watermark.
 
-    For endless streams; ``news`` needs a ``ts`` column. The first row to arrive wins.
+    For endless streams; ``news`` needs a ``ts`` column (UTC). The first row to arrive wins.
     """
-    return news.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["url"])
+    timed = news.withColumn("ts", as_instant("ts")).withWatermark("ts", watermark)
+    return timed.dropDuplicatesWithinWatermark(["url"])
