@@ -81,8 +81,11 @@ def positioned_bars(bars: DataFrame, sentiment: DataFrame, fill: str = "ffill")
     """
     if fill not in SENTIMENT_FILLS:
         raise ValueError(f"fill must be one of {SENTIMENT_FILLS}, got {fill!r}")
-    carry = ["daily_sentiment"] if fill == "ffill" else []
-    numbered = with_positions(join_sentiment(bars, sentiment), carry)
+    if fill == "ffill":
+        numbered = with_positions(join_sentiment(bars, sentiment), ["daily_sentiment"])
+    else:
+        # Nothing to carry: number the bars alone, so counting them needs no join.
+        numbered = join_sentiment(with_positions(bars), sentiment)
     return numbered.withColumns(
         {
             "daily_sentiment": F.coalesce("daily_sentiment", F.lit(0.0)),

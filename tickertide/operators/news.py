@@ -241,16 +241,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
     All bins are listed, also the empty ones.
     """
-    low = df.agg(F.min(column)).scalar().cast("double")
-    high = df.agg(F.max(column)).scalar().cast("double")
-    value = F.col(column).cast("double")
-    width = (F.col("_high") - F.col("_low")) / bins
-    placed = df.select(value.alias("_v"), low.alias("_low"), high.alias("_high")).select(
-        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-        .otherwise(0)
-        .cast("int")
-        .alias("bin")
-    )
+    ends = F.struct(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
+    bounds = df.agg(ends.alias("ends")).scalar()
+    placed = df.select(F.col(column).cast("double").alias("_v"), bounds.alias("_e"))
+    width = (F.col("_e.high") - F.col("_e.low")) / bins
+    step = F.floor((F.col("_v") - F.col("_e.low")) / F.nullif(width, F.lit(0.0)))
+    inside = F.when(width > 0, F.least(step, F.lit(bins - 1))).otherwise(0)
+    placed = placed.select(inside.cast("int").alias("bin"))
     filled = placed.groupBy("bin").agg(F.count("*").alias("n"))
     axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return axis.join(filled, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))

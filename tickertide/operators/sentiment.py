@@ -80,7 +80,7 @@ def _decay(span: int) -> tuple[float, int]:
 
 def ewm_reach(spans: Sequence[int]) -> int:
     """Rows of history an exponential mean needs: the whole previous stretch of each span."""
-    return max(2 * _decay(k)[1] for k in spans)
+    return max((2 * _decay(k)[1] for k in spans), default=0)
 
 
 def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str, span: int, name: str) -> DataFrame:

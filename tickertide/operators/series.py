@@ -139,10 +139,11 @@ def over_blocks(
 def dense_index(df: DataFrame, column: str, name: str, levels: Sequence[Column] | None = None) -> DataFrame:
     """0-based alphabetical index of each distinct value: one row per value.
 
-    Values are bucketed by growing prefixes, so no task sorts all of them.
+    Values are bucketed by growing prefixes, so no task sorts all of them: two more characters
+    per level keep every step to the pairs of characters in use.
     """
     distinct = df.select(as_column(column).alias(column)).distinct()
     if levels is None:
-        levels = [F.substring(column, 1, k) for k in (1, 3, 5)]
+        levels = [F.substring(column, 1, k) for k in (2, 4, 6, 8)]
     out = running_total(distinct, column, levels, name=name)
     return out.withColumn(name, F.col(name).cast("bigint"))

@@ -34,46 +34,59 @@ def sentence_table(
 
 # ---- summaries ---------------------------------------------------------------
 
+BLOCK_CELLS = 4_000_000  # largest dense block held while comparing sentences
+
+
+def _weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sentence, word and idf-weighted frequency of every word in every sentence, by word."""
+    n = len(terms)
+    owner = np.repeat(np.arange(n), [len(words) for words in terms])
+    word, vocabulary = pd.factorize(np.array([w for words in terms for w in words], dtype=object))
+    size = max(len(vocabulary), 1)
+    cell, count = np.unique(word.astype(np.int64) * n + owner, return_counts=True)
+    col, row = cell // n, cell % n
+    top = np.ones(n)
+    np.maximum.at(top, row, count)
+    idf = np.log(n / (1 + np.bincount(col, minlength=size)))
+    return row, col, count / top[row] * idf[col], size
+
+
+def _links(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sentences whose cosine exceeds the threshold, compared in bounded dense blocks."""
+    n = len(terms)
+    row, col, value, size = _weighted_terms(terms)
+    norm = np.sqrt(np.bincount(row, value * value, minlength=n))
+    rows_at_once = max(1, min(n, BLOCK_CELLS // n))
+    words_at_once = max(1, BLOCK_CELLS // n)
+    sources, ends = [], []
+    for first in range(0, n, rows_at_once):
+        last = min(first + rows_at_once, n)
+        dots = np.zeros((last - first, n))
+        for start in range(0, size, words_at_once):
+            lo, hi = np.searchsorted(col, [start, start + words_at_once])
+            dense = np.zeros((n, min(words_at_once, size - start)))
+            dense[row[lo:hi], col[lo:hi] - start] = value[lo:hi]
+            dots += dense[first:last] @ dense.T
+        near, far = np.nonzero(dots > EDGE_THRESHOLD * np.outer(norm[first:last], norm))
+        sources.append(near + first)
+        ends.append(far)
+    return np.concatenate(sources), np.concatenate(ends)
+
+
 def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
     """Positions of the most central sentences of one text, in text order.
 
-    Sentences are linked where their idf-weighted cosine exceeds the threshold, and ranked by
-    power iteration on the row-normalised graph (Erkan and Radev, 2004). Similarities come from
-    an inverted index, one sentence at a time.
+    Linked sentences share their rank evenly among their links, iterated until it settles
+    (power iteration on the thresholded similarity graph; Erkan and Radev, 2004).
     """
     n = len(terms)
     if n <= keep:
         return list(range(n))
-    postings: dict[str, list[tuple[int, float]]] = {}
-    for i, words in enumerate(terms):
-        counts: dict[str, int] = {}
-        for word in words:
-            counts[word] = counts.get(word, 0) + 1
-        top = max(counts.values(), default=1)
-        for word, c in counts.items():
-            postings.setdefault(word, []).append((i, c / top))
-    rows: list[list[tuple[np.ndarray, np.ndarray, float]]] = [[] for _ in range(n)]
-    norm = np.zeros(n)
-    for where in postings.values():
-        ids = np.array([i for i, _ in where], dtype=np.int32)
-        idf = np.log(n / (1 + len(where)))
-        weights = np.array([t for _, t in where]) * idf
-        norm[ids] += weights * weights
-        for i, weight in zip(ids, weights):
-            rows[i].append((ids, weights, weight))
-    norm = np.sqrt(norm)
-    links = []
-    for i in range(n):
-        dots = np.zeros(n)
-        for ids, weights, weight in rows[i]:
-            dots[ids] += weights * weight
-        links.append(np.flatnonzero(dots > EDGE_THRESHOLD * norm[i] * norm))
+    source, end = _links(terms)
+    degree = np.maximum(np.bincount(source, minlength=n), 1)
     rank, change = np.full(n, 1.0 / n), 1.0
     while change > TOLERANCE:
-        spread = np.zeros(n)
-        for i, linked in enumerate(links):
-            if linked.size:
-                spread[linked] += rank[i] / linked.size
+        spread = np.bincount(end, rank[source] / degree[source], minlength=n)
         change = float(np.linalg.norm(spread - rank))
         rank = spread
     best = np.argsort(-rank, kind="stable")[:keep]
@@ -108,7 +121,8 @@ def summarise(
     picked = F.transform("_best", lambda i: F.get(F.col("_parts"), i))
     summary = F.when(F.col("_parts").isNull(), F.col(text)).otherwise(F.array_join(picked, " "))
     # A text that yields no sentence at all falls back to its beginning.
-    summary = F.when(F.size(F.coalesce("_parts", F.array(F.lit("")))) == 0, F.substring(text, 1, FALLBACK_CHARS)).otherwise(summary)
+    no_sentence = F.coalesce(F.size("_parts") == 0, F.lit(False))
+    summary = F.when(no_sentence, F.substring(text, 1, FALLBACK_CHARS)).otherwise(summary)
     return ranked.select("article_index", one_line(summary).alias("summary"))
 
 

@@ -50,12 +50,16 @@ def _stack(columns: Sequence[str]) -> Column:
 
 
 def stack_windows(df: DataFrame, w: WindowSpec, seq_len: int, columns: Sequence[str]) -> DataFrame:
-    """Add ``x``: the last ``seq_len`` feature rows, null when short or holding a null."""
+    """Add ``x``, the last ``seq_len`` feature rows, and ``complete``: enough rows and no null.
+
+    The flag does not depend on ``x``, so plans that only need to know which windows exist do
+    not stack them.
+    """
     frame = w.rowsBetween(-(seq_len - 1), 0)
     complete = (F.count("*").over(frame) == seq_len) & (
         F.max(any_null(columns).cast("int")).over(frame) == 0
     )
-    return df.withColumn("x", F.when(complete, F.collect_list(_stack(columns)).over(frame)))
+    return df.withColumns({"x": F.collect_list(_stack(columns)).over(frame), "complete": complete})
 
 
 def sliding_windows(
@@ -80,7 +84,7 @@ def sliding_windows(
         return stack_windows(target(price_features(df, w), w, target_kind), w, seq_len, columns)
 
     out = over_blocks(base, compute, LOOKBACK + seq_len - 1, 1, rows_per_block=rows_per_block)
-    return out.filter(F.col("x").isNotNull() & F.col("target").isNotNull()).select(
+    return out.filter(F.col("complete") & F.col("target").isNotNull()).select(
         "ticker",
         "date",
         "x",

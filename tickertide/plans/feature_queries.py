@@ -461,11 +461,10 @@ def _(spark, folder):
     return win.class_distribution(out.filter("split = 'train'"))
 
 
-@query("denormalised_targets__g14", f"SELECT ticker, split, split_pos, {r('target_price + 1.3e-6', 5)} AS price FROM fx_horizon", digits=5)
+@query("denormalised_targets__g14", f"SELECT ticker, split, split_pos, {r('target_price', 5)} AS price FROM fx_horizon", digits=5)
 def _(spark, folder):
     out = price_windows(spark, folder)
-    # A small shift keeps prices off the borders of rounding.
-    price = win.denormalise(F.col("y"), F.col("y_base")) + 1.3e-6
+    price = win.denormalise(F.col("y"), F.col("y_base"))
     return out.select("ticker", "split", "split_pos", price.alias("price"))
 
 

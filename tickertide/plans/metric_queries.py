@@ -128,11 +128,11 @@ _BASE = {
 
 
 @query("price_baselines__i3_i4_i5", "SELECT ticker, split, split_pos, "
-       + ", ".join(f"{r(e + ' + 1.3e-6', 5)} AS {n}" for n, e in _BASE.items()) + " FROM fx_horizon", digits=5)
+       + ", ".join(f"{r(e, 5)} AS {n}" for n, e in _BASE.items()) + " FROM fx_horizon", digits=5)
 def _(spark, folder):
     out = fq.price_windows(spark, folder)
     for name, fn in (("naive", ops.naive_price), ("mean", ops.moving_average_price), ("momentum", ops.momentum_price)):
-        out = fn(out).withColumn(name, F.col("pred_price") + 1.3e-6)
+        out = fn(out).withColumn(name, F.col("pred_price"))
     return out.select("ticker", "split", "split_pos", *_BASE)
 
 

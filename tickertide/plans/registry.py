@@ -27,13 +27,22 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query
     return register
 
 
+def tie_shift(digits: int) -> float:
+    """Added before rounding on both sides.
+
+    Exact decimal ties (means of dyadic fractions) would round by the last bit of the sum, which
+    depends on the order of the rows; the shift moves them off the border.
+    """
+    return float(f"1.3e-{digits + 3}")
+
+
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     """Plain comparable columns: rounded doubles, dates and arrays as text, flags as numbers."""
     cols = []
     for field in df.schema.fields:
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            rounded = F.round(c.cast("double"), digits)
+            rounded = F.round(c.cast("double") + tie_shift(digits), digits)
             c = F.when(rounded == 0, 0.0).otherwise(rounded)
         elif isinstance(kind, T.DateType):
             c = c.cast("string")
@@ -51,7 +60,8 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, digits: int = 6) -> str:
     """SQL for a rounded double without negative zero."""
-    return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0e0 ELSE round({expr}, {digits}) END"
+    rounded = f"round(({expr}) + {tie_shift(digits)!r}, {digits})"
+    return f"CASE WHEN {rounded} = 0 THEN 0.0e0 ELSE {rounded} END"
 
 
 def i(expr: str) -> str:
