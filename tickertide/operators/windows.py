@@ -22,6 +22,7 @@ FEATURE_SETS = {
 RELATIVE = ("close", "volume")
 ARTICLE_SCALE = 10.0
 TINY = 1e-8
+EPSILON = 2.0**-52  # relative precision of a double
 
 
 def feature_set(name: str) -> list[str]:
@@ -122,8 +123,11 @@ def split_sizes(windows: DataFrame) -> DataFrame:
 
 # ---- scaling -----------------------------------------------------------------
 
-def _unit_if_flat(deviation: Column) -> Column:
-    return F.when(deviation == 0, 1.0).otherwise(deviation)
+def _scale(value: Column) -> Column:
+    """Population deviation; 1 for a constant feature, rounding noise counting as constant."""
+    n, var = F.count(value).cast("double"), F.var_pop(value)
+    noise = n * EPSILON * var + F.pow(n * F.avg(value) * EPSILON, F.lit(2.0))
+    return F.when(var <= noise, 1.0).otherwise(F.sqrt(var))
 
 
 def fit_scalers(windows: DataFrame, n_features: int, per_ticker: bool = True) -> DataFrame:
@@ -137,7 +141,7 @@ def fit_scalers(windows: DataFrame, n_features: int, per_ticker: bool = True) ->
     grouped = steps.groupBy("ticker") if per_ticker else steps.groupBy()
     out = grouped.agg(
         F.array(*[F.avg(c) for c in cells]).alias("mean"),
-        F.array(*[_unit_if_flat(F.stddev_pop(c)) for c in cells]).alias("scale"),
+        F.array(*[_scale(c) for c in cells]).alias("scale"),
     )
     return out if per_ticker else out.withColumn("ticker", F.lit(None).cast("string"))
 
@@ -174,7 +178,7 @@ def apply_scalers(windows: DataFrame, scalers: DataFrame, per_ticker: bool = Tru
 def fit_target_scalers(windows: DataFrame) -> DataFrame:
     train = windows.filter(F.col("split") == "train")
     return train.groupBy("ticker").agg(
-        F.avg("y").alias("y_mean"), _unit_if_flat(F.stddev_pop("y")).alias("y_scale")
+        F.avg("y").alias("y_mean"), _scale(F.col("y")).alias("y_scale")
     )
 
 
