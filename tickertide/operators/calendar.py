@@ -94,6 +94,15 @@ def ticker_days(assigned: DataFrame) -> DataFrame:
     return pairs.groupBy("ticker", "market_day").agg(F.count("*").alias("n"))
 
 
+def busiest_tickers(counts: DataFrame, k: int = 10) -> list[str]:
+    """Names of the ``k`` tickers with most articles: the columns of the wide table.
+
+    Only these ``k`` names come to the driver.
+    """
+    totals = counts.groupBy("ticker").agg(F.sum("n").alias("total"))
+    return [r.ticker for r in totals.orderBy(F.desc("total"), "ticker").limit(k).collect()]
+
+
 def wide_ticker_days(counts: DataFrame, calendar: DataFrame, tickers: Sequence[str]) -> DataFrame:
     """One row per market day and one column per ticker, zero-filled over the whole calendar."""
     cells = [F.sum(F.when(F.col("ticker") == t, F.col("n"))).alias(t) for t in tickers]

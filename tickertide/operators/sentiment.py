@@ -155,13 +155,21 @@ def cumulative_features(
 
 
 def combine_with_bars(bars: DataFrame, features: DataFrame) -> DataFrame:
-    """Bars with cumulative features: running ones are carried over gaps, the others become zero."""
+    """Bars with cumulative features: running ones are carried over gaps, the others become zero.
+
+    What is carried is only the date of the last bar that had news, so the features are computed
+    once and fetched by that date. Features must be free of nulls (see ``cumulative_features``).
+    """
     upper = bars.withColumn("ticker", F.upper("ticker"))
     news = features.withColumn("ticker", F.upper("ticker"))
     carried = [c for c in news.columns if any(part in c for part in CARRIED_PARTS)]
     zeroed = [c for c in news.columns if c in ZERO_FILLED]
-    filled = with_positions(upper.join(news, ["ticker", "date"], "left"), carried)
-    return filled.fillna(0, subset=[*carried, *zeroed]).drop("pos", "n_rows")
+    days = news.select("ticker", "date", F.col("date").alias("_news"))
+    marked = with_positions(upper.join(days, ["ticker", "date"], "left"), ["_news"])
+    fetched = marked.join(news.withColumnRenamed("date", "_news"), ["ticker", "_news"], "left")
+    fresh = F.col("_news") == F.col("date")
+    out = fetched.withColumns({c: F.when(fresh, F.col(c)) for c in zeroed})
+    return out.fillna(0, subset=[*carried, *zeroed]).drop("_news", "pos", "n_rows")
 
 
 def news_coverage(combined: DataFrame) -> DataFrame:

@@ -156,8 +156,8 @@ def scaler_records(scalers: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _scaled(x: Column, mean: Column, scale: Column) -> Column:
-    centred = lambda step: F.zip_with(step, mean, lambda v, m: v - m)
-    return F.transform(x, lambda step: F.zip_with(centred(step), scale, lambda v, s: v / s))
+    cell = lambda v, i: (v - F.get(mean, i)) / F.get(scale, i)
+    return F.transform(x, lambda step: F.transform(step, cell))
 
 
 def apply_scalers(windows: DataFrame, scalers: DataFrame, per_ticker: bool = True) -> DataFrame:

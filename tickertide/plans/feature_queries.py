@@ -406,7 +406,9 @@ def horizon_sql(horizon: int, length: int = LONG) -> str:
         f"{lead('close', length - 1)} AS last_price, {lead('close', length - 1 + horizon)} AS target_price, "
         f"{lead('close', length - 2)} / close - 1 AS x_last, {_relative_sum(length - 1)} AS cs, "
         + ", ".join(f"{lead('close', length - 1 - j)} / close - 1 AS x_{j}" for j in range(1, 6))
-        + f", {lead('daily_sentiment', length - 2)} AS s_last FROM fx_split {_HW}) WHERE target_price IS NOT NULL"
+        + f", {lead('daily_sentiment', length - 2)} AS s_last, ("
+        + " + ".join(f"{lead('close', k)} / close - 1" for k in range(length - 1))
+        + f") / {length - 1} AS x_mean FROM fx_split {_HW}) WHERE target_price IS NOT NULL"
     )
 
 

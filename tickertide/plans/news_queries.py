@@ -412,7 +412,7 @@ _WIDE = ["AFRI", "AMER", "ASIA", "EURO", "MIDD"]
        "ON a.market_day = c.date GROUP BY 1")
 def _(spark, folder):
     counted = days.ticker_days(assigned(spark, folder))
-    return days.wide_ticker_days(counted, fx.calendar(spark, folder), _WIDE)
+    return days.wide_ticker_days(counted, fx.calendar(spark, folder), days.busiest_tickers(counted))
 
 
 @query("ticker_set_operations__k4",
