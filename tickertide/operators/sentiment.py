@@ -83,27 +83,31 @@ def ewm_reach(spans: Sequence[int]) -> int:
     return max((2 * _decay(k)[1] for k in spans), default=0)
 
 
-def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str, span: int, name: str) -> DataFrame:
-    """Bias-adjusted exponentially weighted mean, in time linear in the rows.
+def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str, spans: Sequence[int]) -> DataFrame:
+    """Bias-adjusted exponentially weighted means, in time linear in the rows.
 
     Rows are cut into stretches of ``reach`` rows by position. Inside one stretch the weighted
     sum is a running sum of values scaled up by q^-j and scaled back down; of the earlier
-    stretches only the previous one still has weights that count. The sum of all weights has
-    a closed form.
+    stretches only the previous one, kept at its last row, still has weights that count. The sum
+    of all weights has a closed form.
     """
-    q, reach = _decay(span)
     p = F.col("pos") - 1
-    j = (p % reach).cast("double")
-    stretch = "_stretch"
-    df = df.withColumn(stretch, F.floor(p / F.lit(reach)).cast("bigint"))
-    inside = Window.partitionBy(*partition, stretch).orderBy("pos")
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous = Window.partitionBy(*partition).orderBy(stretch).rangeBetween(-1, -1)
-    base = F.lit(q)
-    own = F.pow(base, j) * F.sum(F.col(value) * F.pow(base, -j)).over(inside)
-    older = F.coalesce(F.sum(F.col(value) * F.pow(base, reach - 1 - j)).over(previous), F.lit(0.0))
-    weights = (1 - F.pow(base, F.col("pos").cast("double"))) / (1 - q)
-    return df.withColumn(name, (own + F.pow(base, j + 1) * older) / weights).drop(stretch)
+    ends, means = {}, {}
+    for k in spans:
+        q, reach = _decay(k)
+        base, j = F.lit(q), (p % reach).cast("double")
+        df = df.withColumn("_stretch", F.floor(p / F.lit(reach)).cast("bigint"))
+        inside = Window.partitionBy(*partition, "_stretch").orderBy("pos")
+        inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.pow(base, j) * F.sum(F.col(value) * F.pow(base, -j)).over(inside)
+        df = df.withColumn(f"_own_{k}", own)
+        ends[f"_end_{k}"] = F.when(p % reach == reach - 1, F.col(f"_own_{k}"))
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        older = F.coalesce(F.last(f"_end_{k}", ignorenulls=True).over(earlier), F.lit(0.0))
+        weights = (1 - F.pow(base, F.col("pos").cast("double"))) / (1 - q)
+        means[f"sentiment_ewm_{k}d"] = (F.col(f"_own_{k}") + F.pow(base, j + 1) * older) / weights
+    df = df.withColumns(ends).withColumns(means)
+    return df.drop("_stretch", *ends, *[f"_own_{k}" for k in spans])
 
 
 def cumulative_features(
@@ -145,8 +149,8 @@ def cumulative_features(
                 "sentiment_acceleration": F.coalesce(F.col("_step") - F.lag("_step", 1).over(w), zero),
             }
         )
-        for k in spans:
-            df = _add_ewm(df, w, ["ticker", "_block"], "daily_sentiment", k, f"sentiment_ewm_{k}d")
+        if spans:
+            df = _add_ewm(df, w, ["ticker", "_block"], "daily_sentiment", spans)
         return df.drop("_sum5", "_step")
 
     reach = max(ewm_reach(spans), 22, *spans)
