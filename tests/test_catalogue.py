@@ -34,7 +34,7 @@ def test_same_rows_as_sql(spark, con, folder, name):
 PLANNED = [
     "selected_bars__b1_b7", "pruned_urls__h2", "articles_per_day__d15", "market_days__c7", "price_features__e1_e16",
     "cumulative_sentiment__f1_f12", "combined_features__c2_f13", "calendar_split__g8", "scaled_windows__g10_c9",
-    "roc_area_of_windows__i11", "all_runs__i19", "text_to_daily_sentiment__h7_h9_d12_c3_d13",
+    "roc_area_of_windows__i11", "all_runs__i19_k3", "text_to_daily_sentiment__h7_h9_d12_c3_d13",
 ]
 
 

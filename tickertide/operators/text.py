@@ -89,7 +89,8 @@ def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
         spread = np.bincount(end, rank[source] / degree[source], minlength=n)
         change = float(np.linalg.norm(spread - rank))
         rank = spread
-    best = np.argsort(-rank, kind="stable")[:keep]
+    # Ranks equal up to rounding noise keep text order.
+    best = np.argsort(-np.round(rank, 12), kind="stable")[:keep]
     return sorted(int(i) for i in best)
 
 

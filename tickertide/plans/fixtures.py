@@ -208,6 +208,10 @@ CTES: dict[str, str] = {
 }
 
 
+# Views computed once where several steps read them.
+STORED: set[str] = set()
+
+
 def with_views(body: str) -> str:
     """Put in front of a statement the views it uses, directly or through other views."""
     needed: list[str] = []
@@ -221,4 +225,5 @@ def with_views(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + " " + body
+    kind = {n: "AS MATERIALIZED" if n in STORED else "AS" for n in needed}
+    return "WITH " + ", ".join(f"{n} {kind[n]} ({CTES[n]})" for n in needed) + " " + body

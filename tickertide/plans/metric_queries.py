@@ -335,7 +335,7 @@ def run_metrics(spark, folder):
     return studies.all_runs(run_predictions(spark, folder), samples(spark, folder))
 
 
-@query("all_runs__i19", "SELECT * FROM fx_run_metrics")
+@query("all_runs__i19_k3", "SELECT * FROM fx_run_metrics")
 def _(spark, folder):
     return run_metrics(spark, folder)
 

@@ -57,7 +57,43 @@ def _(spark, folder):
     return clean.select("article_index", F.md5("summary").alias("text_md5"))
 
 
-@query("summaries__h5")
+# The sentence graph, step by step: word weights, linked pairs, ranks. Ranks settle within a few
+# rounds; a text that has settled keeps its ranks in the later ones.
+ROUNDS = 8
+fx.CTES["fx_long"] = (
+    "SELECT doc_id AS d, parts, len(parts) AS n FROM fx_sentences JOIN documents USING (doc_id) "
+    "WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 100"
+)
+fx.CTES["fx_words"] = (
+    "SELECT d, n, i, w, count(*) AS c FROM (SELECT d, n, sentence_no AS i, "
+    "unnest(regexp_extract_all(lower(sentence), '\\p{L}+')) AS w FROM fx_sentence_rows JOIN fx_long ON article_index = d) GROUP BY ALL"
+)
+fx.CTES["fx_weights"] = (
+    "SELECT d, i, w, c / max(c) OVER (PARTITION BY d, i) * ln(n / (1.0e0 + count(*) OVER (PARTITION BY d, w))) AS v FROM fx_words"
+)
+fx.CTES["fx_norms"] = "SELECT d, i, sqrt(sum(v * v)) AS norm FROM fx_weights GROUP BY 1, 2"
+fx.CTES["fx_links"] = (
+    "SELECT p.d, p.i, p.j, count(*) OVER (PARTITION BY p.d, p.i) AS degree FROM (SELECT a.d, a.i, b.i AS j, sum(a.v * b.v) AS dot "
+    "FROM fx_weights a JOIN fx_weights b ON a.d = b.d AND a.w = b.w GROUP BY ALL) p JOIN fx_norms x ON x.d = p.d AND x.i = p.i "
+    "JOIN fx_norms y ON y.d = p.d AND y.i = p.j WHERE dot > 0.1e0 * x.norm * y.norm"
+)
+fx.CTES["fx_rank0"] = "SELECT d, unnest(range(n)) AS i, 1.0e0 / n AS rank, true AS moving FROM fx_long"
+for _k in range(1, ROUNDS + 1):
+    fx.CTES[f"fx_rank{_k}"] = (
+        "SELECT d, i, CASE WHEN moving THEN spread ELSE rank END AS rank, moving AND "
+        "sqrt(sum((spread - rank) * (spread - rank)) OVER (PARTITION BY d)) > 0.1e0 AS moving FROM (SELECT r.d, r.i, r.rank, r.moving, "
+        f"coalesce(s.spread, 0) AS spread FROM fx_rank{_k - 1} r LEFT JOIN (SELECT l.d, l.j, sum(q.rank / l.degree) AS spread "
+        f"FROM fx_links l JOIN fx_rank{_k - 1} q ON q.d = l.d AND q.i = l.i GROUP BY 1, 2) s ON s.d = r.d AND s.j = r.i)"
+    )
+fx.STORED |= {"fx_sentences", "fx_weights", "fx_links"} | {f"fx_rank{k}" for k in range(ROUNDS + 1)}
+_BEST = (
+    "SELECT d, string_agg(sentence, ' ' ORDER BY i) AS summary FROM (SELECT d, i, parts[i + 1] AS sentence, row_number() OVER "
+    f"(PARTITION BY d ORDER BY round(rank, 12) DESC, i) AS place FROM fx_rank{ROUNDS} JOIN fx_long USING (d)) WHERE place <= 5 GROUP BY 1"
+)
+
+
+@query("summaries__h5", "SELECT doc_id AS article_index, trim(regexp_replace(coalesce(summary, text, ''), '\\s+', ' ', 'g')) AS summary "
+       f"FROM documents LEFT JOIN ({_BEST}) ON d = doc_id")
 def _(spark, folder):
     articles = documents(spark, folder).withColumnRenamed("summary", "article")
     return ops.summarise(articles)
