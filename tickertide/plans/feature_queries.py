@@ -301,12 +301,12 @@ def _(spark, folder):
 
 def _records_sql(source: str, ticker: str) -> str:
     items = ", ".join(
-        f"{{'feature': '{c}', 'mean': {r('mean_' + c)}, 'scale': {r('scale_' + c)}}}" for c in feats.FEATURES
+        f"{{'feature': '{c}', 'mean': {r('mean_' + c, 4)}, 'scale': {r('scale_' + c, 4)}}}" for c in feats.FEATURES
     )
     return f"SELECT {ticker} AS ticker, unnest([{items}], recursive := true) FROM {source}"
 
 
-@query("ticker_scalers__g9_a22", _records_sql("fx_scalers", "ticker"))
+@query("ticker_scalers__g9_a22", _records_sql("fx_scalers", "ticker"), digits=4)
 def _(spark, folder):
     path = shared_dir(spark, "scalers")
     scalers = win.fit_scalers(split_windows(spark, folder), N)
@@ -317,7 +317,7 @@ def _(spark, folder):
 _GLOBAL = fx.CTES["fx_scalers"].replace("SELECT ticker, ", "SELECT ").replace(" GROUP BY 1", "")
 
 
-@query("global_scaler__g9_a22", _records_sql(f"({_GLOBAL})", "NULL"))
+@query("global_scaler__g9_a22", _records_sql(f"({_GLOBAL})", "NULL"), digits=4)
 def _(spark, folder):
     scaler = win.fit_scalers(split_windows(spark, folder), N, per_ticker=False)
     return win.scaler_records(scaler, feats.FEATURES)

@@ -1,5 +1,7 @@
 """Queries over predictions: baselines, measures, comparisons of runs, studies."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tickertide.operators import features as feats
@@ -8,10 +10,16 @@ from tickertide.operators import studies
 from tickertide.operators import windows as win
 from tickertide.plans import feature_queries as fq
 from tickertide.plans import fixtures as fx
-from tickertide.plans.registry import i, query, r, s
+from tickertide.plans import registry
+from tickertide.plans.registry import i, s
 from tickertide.session import shared_dir
 from tickertide.sources import writers
 
+# Sums of squares reach millions, so measures are compared to four decimals.
+DIGITS = 4
+r = partial(registry.r, digits=DIGITS)
+query = partial(registry.query, digits=DIGITS)
+
 # (run, hidden size, layers, shrink, shift): a prediction is last return * shrink + shift.
 RUNS = [
     ("run_0", 32, 1, 0.50, 0.0),
@@ -35,7 +43,7 @@ def _values(rows) -> str:
 
 
 def measures_sql(
-    pred: str = "pred", true: str = "y", short: bool = False, prefix: str = "", digits: int = 6
+    pred: str = "pred", true: str = "y", short: bool = False, prefix: str = ""
 ) -> str:
     e = f"({pred} - {true})"
     cols = {
@@ -50,7 +58,7 @@ def measures_sql(
         )
         cols["sharpe_pred"] = f"coalesce(avg({pred}) / nullif(stddev_pop({pred}), 0), 0)"
         cols["sharpe_true"] = f"coalesce(avg({true}) / nullif(stddev_pop({true}), 0), 0)"
-    return ", ".join(f"{r(v, digits)} AS {prefix}{k}" for k, v in cols.items())
+    return ", ".join(f"{r(v)} AS {prefix}{k}" for k, v in cols.items())
 
 
 fx.CTES["fx_pred"] = (
@@ -98,9 +106,9 @@ def _(spark, folder):
 
 
 @query("persistence_close__i1_i8", "SELECT split, count(*) AS n, "
-       + measures_sql("last_close", "next_close", short=True, digits=4)
+       + measures_sql("last_close", "next_close", short=True)
        + " FROM (SELECT w.split, w.last_close, f.next_close FROM fx_windows w JOIN fx_feat f ON f.ticker = w.ticker "
-       "AND f.rn = w.rn WHERE w.split IS NOT NULL) GROUP BY 1", digits=4)
+       "AND f.rn = w.rn WHERE w.split IS NOT NULL) GROUP BY 1")
 def _(spark, folder):
     close = win.sliding_windows(*fq.inputs(spark, folder), seq_len=fq.SEQ, target_kind="close")
     sets = win.calendar_split(close, fq.TRAIN, fq.TEST)
@@ -128,7 +136,7 @@ _BASE = {
 
 
 @query("price_baselines__i3_i4_i5", "SELECT ticker, split, split_pos, "
-       + ", ".join(f"{r(e, 5)} AS {n}" for n, e in _BASE.items()) + " FROM fx_horizon", digits=5)
+       + ", ".join(f"{r(e, digits=5)} AS {n}" for n, e in _BASE.items()) + " FROM fx_horizon", digits=5)
 def _(spark, folder):
     out = fq.price_windows(spark, folder)
     for name, fn in (("naive", ops.naive_price), ("mean", ops.moving_average_price), ("momentum", ops.momentum_price)):
@@ -157,7 +165,7 @@ def _(spark, folder):
 _PRICE_PRED = "(x_last * 0.9e0 + 0.01e0)"
 
 
-def price_measures_sql(pred: str, by: str = "") -> str:
+def price_measures_sql(pred: str, rounded: bool = True) -> str:
     t, p, n = "target_price", f"(({pred} + 1) * y_base)", "((x_last + 1) * y_base)"
     y = "(target_price / y_base - 1)"
     pct = lambda v: f"avg(abs(({t} - {v}) / {t})) * 100"
@@ -170,7 +178,7 @@ def price_measures_sql(pred: str, by: str = "") -> str:
         "mape_vs_naive": f"{pct(p)} - {pct(n)}",
         "direction_accuracy": f"avg(CAST(({pred} > x_last) = ({y} > x_last) AS DOUBLE)) * 100",
     }
-    return "count(*) AS n, " + ", ".join(f"{r(v)} AS {k}" for k, v in cols.items())
+    return "count(*) AS n, " + ", ".join(f"{r(v) if rounded else v} AS {k}" for k, v in cols.items())
 
 
 def price_predictions(spark, folder, horizon=1):
@@ -379,6 +387,11 @@ fx.CTES["fx_ablation"] = (
 )
 
 
+fx.CTES["fx_ablation_raw"] = fx.CTES["fx_ablation"].replace(
+    price_measures_sql("(x_last * pw + s_last * sw)"), price_measures_sql("(x_last * pw + s_last * sw)", rounded=False)
+)
+
+
 def ablation(spark, folder):
     last = F.element_at("x", -1)
     rows = fq.price_windows(spark, folder).filter("split = 'test'")
@@ -418,7 +431,7 @@ fx.CTES["fx_dir_groups"] = (
        f"SELECT {r('gain')} AS sentiment_gain, best AS best_feature_set, {r('vs')} AS best_vs_baseline, "
        "CAST(vs > 2 AS BIGINT) AS direction_beats_baseline, CAST(gain > 0.1 AS BIGINT) AS sentiment_helps FROM (SELECT "
        "max(mape) FILTER (feature_set = 'price_only') - max(mape) FILTER (feature_set = 'price_volume_sentiment') AS gain, "
-       "arg_min(feature_set, mape) AS best, (SELECT max(vs_baseline) FROM fx_dir_groups) AS vs FROM fx_ablation)")
+       "arg_min(feature_set, mape) AS best, (SELECT max(vs_baseline) FROM fx_dir_groups) AS vs FROM fx_ablation_raw)")
 def _(spark, folder):
     direction = ops.direction_metrics(fx.directions(spark, folder), ["grp"])
     return studies.suite_findings(ablation(spark, folder), direction)
