@@ -1,8 +1,6 @@
 import datetime as dt
 import hashlib
 
-from pyspark.sql import functions as F
-
 from tickertide import schemas
 from tickertide.operators import bars as bar_ops
 from tickertide.operators import calendar as days

@@ -2,7 +2,6 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,12 +49,7 @@ def test_ranking_equals_the_pairwise_definition(monkeypatch, cells):
     words = [f"w{k}" for k in range(40)]
     for n in (6, 9, 25, 60):
         terms = [list(rng.choice(words, rng.integers(0, 12))) for _ in range(n)]
-        rounded = ops._central_sentences(terms, 5)
-        assert len(rounded) == 5 and rounded == sorted(rounded)
-        source, end = ops._links(terms)
-        assert (source == end).sum() <= n
-        want = brute_force_central(terms, 5)
-        assert len(set(rounded) & set(want)) >= 4  # equal ranks may be told apart by rounding
+        assert ops._central_sentences(terms, 5) == brute_force_central(terms, 5)
 
 
 def test_summary_of_documents_equals_brute_force(spark, folder):
@@ -74,11 +68,7 @@ def test_summary_of_documents_equals_brute_force(spark, folder):
         terms = [re.findall(r"[^\W\d_]+", s.lower()) for s in row.s]
         want = " ".join(lines[k] for k in brute_force_central(terms, 5))
         equal += summary == want
-        at = -1
-        for s in [x for x in lines if x in summary]:
-            assert summary.find(s) >= 0
-        assert len(summary) <= sum(len(x) + 1 for x in lines)
-    assert equal >= 0.9 * len(parts)  # the rest: sentences of equal rank
+    assert equal == len(parts)
 
 
 def test_short_and_missing_texts(spark):

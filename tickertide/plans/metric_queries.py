@@ -11,7 +11,7 @@ from tickertide.operators import windows as win
 from tickertide.plans import feature_queries as fq
 from tickertide.plans import fixtures as fx
 from tickertide.plans import registry
-from tickertide.plans.registry import i, s
+from tickertide.plans.registry import s
 from tickertide.session import shared_dir
 from tickertide.sources import writers
 

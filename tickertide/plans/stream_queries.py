@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tickertide.operators import sentiment as senti
 from tickertide.operators import text as text_ops
 from tickertide.plans import fixtures as fx
-from tickertide.plans import text_queries as tq
+from tickertide.plans import text_queries  # noqa: F401  (defines the views used below)
 from tickertide.plans.registry import query, r, s
 from tickertide.session import shared_dir
 from tickertide.sources.readers import table
