@@ -67,3 +67,25 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+
+
+def in_batches(df: DataFrame, fn, fields: Sequence[tuple[str, str]], columns: Sequence[str] | None = None, text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+    """Run ``fn`` over Arrow batches: rows of ``columns`` (all if None) with new columns behind them.
+
+    ``fn`` gets the texts of at most about ``max_bytes`` and returns an array per entry of ``fields``
+    (name, type); a new column takes the place of an old one of the same name.
+    """
+    names = [name for name, _ in fields]
+    kept = [c for c in (df.columns if columns is None else columns) if c not in names]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{name}` {kind}" for name, kind in fields])
+
+    def run(batches):
+        step = fn()
+        for batch in batches:
+            for piece in pieces(batch, "__text", max_bytes):
+                made = step(texts_of(piece, "__text"))
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + list(made), [*kept, *names])
+
+    return rows.mapInArrow(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertide.llm import exact_dedup, mixing, sharding
+from tickertide.llm import exact_dedup, mixing, pieces_coding, sharding, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -94,7 +95,7 @@ takes AS (
   FROM (SELECT *, unnest(generate_series(first_block, first_block + in_shard - 1)) AS idx FROM shard_quotas WHERE in_shard > 0)),
 placed AS (
   SELECT z.doc_id, z.source, z.size, s.place, s.source_size, s.target, s.block,
-    s.start + sum(z.size) OVER (PARTITION BY z.source, z.shard ORDER BY z.draw, z.doc_id ROWS UNBOUNDED PRECEDING) AS stop
+    s.start + (sum(z.size) OVER (PARTITION BY z.source, z.shard ORDER BY z.draw, z.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
   FROM sizes z JOIN shard_quotas s ON z.source IS NOT DISTINCT FROM s.source AND z.shard = s.shard),
 cut AS (
   SELECT *, unnest(generate_series((stop - size) // block, (stop - 1) // block)) AS idx FROM placed WHERE size > 0),
@@ -105,5 +106,22 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(sums.taken, 0)::BIGIN
 FROM placed p LEFT JOIN sums USING (doc_id)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op5_mixing": op5_mixing}
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces_coding.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces_coding.encode(_table(spark, folder, "documents"), model, columns=["doc_id"])
+    out = pieces_coding.decode(encoded, model, ["doc_id", "n_tokens", "ids"])
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    return toxicity.score(docs, model, columns=["doc_id"]).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
 CHECKS = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL}
