@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertide.llm import exact_dedup, mixing, pieces_coding, sharding, toxicity
+from tickertide.llm import exact_dedup, mixing, pieces_coding, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,29 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.dedup_substrings(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT doc_id, p, md5(array_to_string(words[p:p + 19], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS p FROM d WHERE len(words) >= 20)),
+late AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS p FROM late),
+kept AS (
+  SELECT d.doc_id, string_agg(d.word, ' ' ORDER BY d.p) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM d) d
+  LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.p = d.p
+  WHERE gone.p IS NULL GROUP BY d.doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mixing.mix(_table(spark, folder, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -123,5 +146,5 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
-CHECKS = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
+CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
