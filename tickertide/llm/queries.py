@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertide.llm import exact_dedup, mixing, pieces_coding, sharding, substrings, toxicity
+from tickertide.llm import exact_dedup, language, mixing, pieces_coding, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    out = language.identify(docs, language.fit(docs), columns=["doc_id"])
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.dedup_substrings(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -146,5 +152,5 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
 CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
