@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertide.llm import exact_dedup, language, mixing, pieces_coding, sharding, substrings, toxicity
+from tickertide.llm import exact_dedup, language, mixing, near_dups, pieces_coding, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -135,6 +135,10 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(sums.taken, 0)::BIGIN
 FROM placed p LEFT JOIN sums USING (doc_id)
 """
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_classes(_table(spark, folder, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces_coding.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = pieces_coding.encode(_table(spark, folder, "documents"), model, columns=["doc_id"])
@@ -152,5 +156,5 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_ngram_jaccard": op6_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
 CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
