@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertide.llm import chat, exact_dedup, language, mixing, near_dups, pieces_coding, sharding, substrings, toxicity
+from tickertide.llm import ann, chat, exact_dedup, language, mixing, near_dups, pieces_coding, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -139,6 +139,10 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_classes(_table(spark, folder, "documents"))
 
 
+def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(_table(spark, folder, "embeddings"))
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces_coding.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = pieces_coding.encode(_table(spark, folder, "documents"), model, columns=["doc_id"])
@@ -167,5 +171,5 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
-    "op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_ngram_jaccard": op6_ngram_jaccard, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
+    "op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_ann": op7_ann, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
 CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
