@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from tickertide.llm import ann, chat, exact_dedup, language, mixing, near_dups, pieces_coding, sharding, substrings, toxicity
 
 
@@ -170,6 +171,16 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_ann": op7_ann,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
-    "op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_mixing": op5_mixing, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_ann": op7_ann, "op8_sentencepiece": op8_sentencepiece, "op9_toxicity": op9_toxicity}
+    "pipeline": corpus_pipeline.run,
+}
 CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
