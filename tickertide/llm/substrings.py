@@ -146,6 +146,8 @@ def _spans(records: np.ndarray) -> np.ndarray:
 def _ordered(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records by key, content and place, and which of them are the first of their content."""
     records = records[np.lexsort((records["at"], records["salt"], records["doc"], records["same"], records["key"]))]
+    if len(records):
+        records = records[np.concatenate([[True], records[1:] != records[:-1]])]  # rows given twice are one document
     first = np.ones(len(records), bool)
     first[1:] = (records["key"][1:] != records["key"][:-1]) | (records["same"][1:] != records["same"][:-1])
     return records, first
