@@ -26,9 +26,48 @@ def test_scores_are_added_once(spark, tmp_path):
     jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
     assert sorted(seen) == [1, 2, 3]
     assert {r.article_index: r.sentiment for r in jobs.read_scores(spark, out).collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
-    add_files(spark, [(2, "changed")], schema, src)
-    jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark, force=True)
-    assert {r.article_index: r.sentiment for r in jobs.read_scores(spark, out).collect()}[2] == 7.0
+
+
+def test_force_scores_everything_again(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    struct = add_files(spark, [(1, "a"), (2, "bb")], schemas.SUMMARIES, src)
+    by = lambda k: lambda batch: batch.select("article_index", (F.length("summary") * k).cast("double").alias("sentiment"))
+    for k in (1, 10, 100):
+        jobs.score_new_articles(jobs.file_stream(spark, src, struct), by(k), out, mark, force=k > 1)
+        assert {r.article_index: r.sentiment for r in jobs.read_scores(spark, out).collect()} == {1: 1.0 * k, 2: 2.0 * k}
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_another_checkpoint_keeps_stored_rows(spark, tmp_path):
+    src, later, out = (str(tmp_path / n) for n in ("src", "later", "out"))
+    seen = []
+
+    def score(batch):
+        seen.extend(r.article_index for r in batch.collect())
+        return batch.select("article_index", F.length("summary").cast("double").alias("sentiment"))
+
+    struct = add_files(spark, [(1, "a"), (2, "bb")], schemas.SUMMARIES, src)
+    add_files(spark, [(2, "bbbb"), (3, "ccc")], schemas.SUMMARIES, later)
+    for path, mark in ((src, "m1"), (later, "m2"), (src, "m3")):
+        jobs.score_new_articles(jobs.file_stream(spark, path, struct), score, out, str(tmp_path / mark))
+    assert sorted(seen) == [1, 2, 3]
+    assert {r.article_index: r.sentiment for r in jobs.read_scores(spark, out).collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
+
+
+def test_a_repeated_batch_replaces_its_own_rows_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata").write_text('{"id":"%s"}' % name)
+    one, two = (jobs.BatchTable(out, str(tmp_path / name)) for name in ("a", "b"))
+    rows = lambda *ids: spark.createDataFrame([(i, 1.0) for i in ids], "article_index bigint, sentiment double")
+    assert one.stored(spark, 0) is None
+    one.write(rows(1, 2), 0)
+    assert one.stored(spark, 0) is None
+    two.write(rows(3), 0)
+    one.write(rows(1), 0)
+    assert sorted(r.article_index for r in spark.read.parquet(out).collect()) == [1, 3]
+    assert [r.article_index for r in one.stored(spark, 0).collect()] == [3]
 
 
 def test_daily_means_take_late_rows(spark, tmp_path):

@@ -18,11 +18,11 @@ def stream_of(spark, folder, name):
     return jobs.file_stream(spark, f"{folder}/{name}.parque[t]", schema)
 
 
-def stored_stream(spark, df, label, parts=3):
-    """Write a derived table as several files and stream those."""
+def stored_stream(spark, df, label, files_per_batch=4):
+    """Write a derived table with the partitions it has and stream its files."""
     path = shared_dir(spark, label)
-    df.repartition(parts).write.parquet(path)
-    return jobs.file_stream(spark, path, df.schema, files_per_batch=1)
+    df.write.parquet(path)
+    return jobs.file_stream(spark, path, df.schema, files_per_batch)
 
 
 @query("news_filter_stream__j1", "SELECT rn, url, date_raw FROM fx_news_years")
@@ -67,8 +67,10 @@ def _(spark, folder):
 @query("first_arrivals_stream__j4", "SELECT DISTINCT url FROM fx_news WHERE url IS NOT NULL")
 def _(spark, folder):
     out, mark = shared_dir(spark, "stream-first"), shared_dir(spark, "stream-first-mark")
-    rows = fx.news_raw(spark, folder).filter("url IS NOT NULL").select("url")
-    rows = rows.withColumn("ts", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    # Arrival times follow the row numbers: copies of a URL lie within the watermark, far rows do not.
+    rows = fx.news_raw(spark, folder).filter("url IS NOT NULL").select("url", "rn")
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    rows = rows.select("url", F.timestamp_add("MINUTE", F.col("rn").cast("int"), start).alias("ts"))
     bounded = jobs.first_urls_bounded(stored_stream(spark, rows, "stream-first-in"), "1 day")
     query = (
         bounded.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,6 +31,58 @@ def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
     query.awaitTermination()
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders at a path, on any file system Spark can reach."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    return [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()]
+
+
+class BatchTable:
+    """A table of batches: each batch of each run owns one folder, so only a repeat replaces it.
+
+    A run is a checkpoint (its query id); runs are numbered by their first batch, and rows of a later
+    run, then of a later batch, are newer. Another checkpoint on the same table never touches the
+    folders of earlier ones.
+    """
+
+    PLACE = ("started", "run", "batch")
+
+    def __init__(self, out: str, checkpoint: str):
+        self.out, self.checkpoint = out, checkpoint
+
+    def _run(self, spark: SparkSession) -> tuple[int, str]:
+        run = json.loads(spark.read.text(f"{self.checkpoint}/metadata").first()[0])["id"]
+        started = [int(name.split("=")[1]) for name in _folders(spark, self.out) if name.startswith("started=")]
+        for n in started:
+            if f"run={run}" in _folders(spark, f"{self.out}/started={n}"):
+                return n, run
+        return max(started, default=-1) + 1, run
+
+    def stored(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """All rows but those of this batch; None while there are none."""
+        started, run = self._run(spark)
+        others = [n for n in _folders(spark, self.out) if n.startswith("started=") and n != f"started={started}"]
+        earlier = [n for n in _folders(spark, f"{self.out}/started={started}/run={run}") if n != f"batch={batch_id}"]
+        if not others and not earlier:
+            return None
+        own = (F.col("started") == started) & (F.col("run") == run) & (F.col("batch") == batch_id)
+        return spark.read.parquet(self.out).filter(~own)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        started, run = self._run(rows.sparkSession)
+        rows.write.mode("overwrite").parquet(f"{self.out}/started={started}/run={run}/batch={batch_id}")
+
+
+def _newest(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the row of the newest run and batch."""
+    fields = [c for c in stored.columns if c not in (*keys, *BatchTable.PLACE)]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*BatchTable.PLACE)).alias("r"))
+    return newest.select(*keys, "r.*")
+
+
 def filter_news_stream(news: DataFrame, first_year: int, last_year: int, out: str, checkpoint: str) -> None:
     """Append the rows within the years to a parquet table; files are committed once."""
     query = (
@@ -48,30 +102,27 @@ def score_new_articles(
 ) -> None:
     """Score articles not scored before and add them to the table at ``out``.
 
-    Each batch owns one folder of the table, so a repeated batch replaces its own rows and the
-    result does not change. With ``force`` articles are scored again and the newest batch wins
-    (see ``read_scores``).
+    Scores of other checkpoints on the table count as done and are kept. With ``force`` everything
+    there is is read and scored again, under a checkpoint of its own below the given one, and the
+    newest run wins (see ``read_scores``).
     """
+    if force:
+        checkpoint = f"{checkpoint}/refresh-{uuid.uuid4().hex}"
+    table = BatchTable(out, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates(["article_index"])
-        # The marker is written only after a batch, so look at the folder of an earlier one.
-        if batch_id > 0 and not force:
-            done = spark.read.parquet(out).filter(F.col("batch") < batch_id)
+        done = None if force else table.stored(batch.sparkSession, batch_id)
+        if done is not None:
             fresh = not_yet_scored(fresh, done)
-        scored = score(fresh)
-        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        table.write(score(fresh), batch_id)
 
     run_available(articles, checkpoint, write)
 
 
 def read_scores(spark: SparkSession, out: str) -> DataFrame:
-    """One score per article: the one of its newest batch."""
-    stored = spark.read.parquet(out)
-    fields = [c for c in stored.columns if c not in ("article_index", "batch")]
-    newest = stored.groupBy("article_index").agg(F.max_by(F.struct(*fields), "batch").alias("r"))
-    return newest.select("article_index", "r.*")
+    """One score per article: the one of its newest run and batch."""
+    return _newest(spark.read.parquet(out), ["article_index"])
 
 
 def daily_sentiment_stream(events: DataFrame, out: str, checkpoint: str, watermark: str | None = None) -> None:
@@ -89,17 +140,12 @@ def daily_sentiment_stream(events: DataFrame, out: str, checkpoint: str, waterma
     )
     rows = daily.select("ticker", instant_date("window.start").alias("date"), "daily_sentiment", "n_articles")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_available(rows, checkpoint, write, "update")
+    run_available(rows, checkpoint, BatchTable(out, checkpoint).write, "update")
 
 
 def read_daily_sentiment(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of every (ticker, day)."""
-    value = F.struct("daily_sentiment", "n_articles")
-    newest = spark.read.parquet(out).groupBy("ticker", "date").agg(F.max_by(value, "batch").alias("r"))
-    return newest.select("ticker", "date", "r.*")
+    return _newest(spark.read.parquet(out), ["ticker", "date"])
 
 
 def first_urls_stream(news: DataFrame, out: str, checkpoint: str) -> None:
@@ -109,11 +155,13 @@ def first_urls_stream(news: DataFrame, out: str, checkpoint: str) -> None:
     smallest over batches is exact whatever order the files arrive in (see ``read_first_urls``).
     """
 
+    table = BatchTable(out, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         firsts = batch.groupBy("url").agg(
             F.min("rn").alias("rn"), F.min_by(F.struct("title", "date_raw"), "rn").alias("r")
         )
-        firsts.select("url", "rn", "r.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        table.write(firsts.select("url", "rn", "r.*"), batch_id)
 
     run_available(news.filter(F.col("url").isNotNull()), checkpoint, write)
 
