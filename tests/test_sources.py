@@ -1,5 +1,7 @@
+import pytest
 import os
 
+from tickertide.session import shared_dir
 from tickertide.operators import studies
 from tickertide.sources import readers, writers
 
@@ -64,3 +66,21 @@ def test_run_metrics_round_trip(spark, tmp_path):
     writers.write_run_metrics(studies.metric_records(metrics, ["run_id"]), path)
     assert os.path.isdir(f"{path}/run_id=r1")
     assert writers.read_run_metrics(spark, path).filter("metric = 'mse'").count() == 2
+
+
+def test_tables_go_below_the_warehouse_unless_it_is_local_to_a_cluster_machine(spark):
+    class Elsewhere:
+        """The session as a cluster would have it."""
+
+        class sparkContext:
+            master, _jvm, _jsc = "yarn", spark.sparkContext._jvm, spark.sparkContext._jsc
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default if key == "spark.checkpoint.dir" else spark.conf.get(key)
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        assert shared_dir(spark, "x").startswith(spark.conf.get("spark.sql.warehouse.dir"))
+    with pytest.raises(ValueError):
+        shared_dir(Elsewhere, "x")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,9 +33,17 @@ def build_session(app: str = "tickertide", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for a written table, in the folder named by ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests on one machine) a temporary folder is used instead.
+    Where that setting is absent, tables go below the warehouse folder. On a cluster that folder must
+    not be on the disk of one machine: executors would each write to their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "tickertide")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tickertide"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) and _on_one_machine(spark, root):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _on_one_machine(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"

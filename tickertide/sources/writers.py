@@ -55,7 +55,8 @@ def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_by_ticker(combined: DataFrame, path: str) -> None:
-    """One folder per ticker; rows of a large ticker may still fill several files."""
+    """One folder per ticker, a file per year of it: large tickers are spread, small ones not scattered."""
+    combined = combined.repartition(F.col("ticker"), F.year("date")) if "date" in combined.columns else combined
     combined.write.mode("overwrite").partitionBy("ticker").parquet(path)
 
 
