@@ -1,5 +1,7 @@
 """Features, cumulative sentiment and windows against pandas and numpy on awkward frames."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -47,32 +49,57 @@ def data(spark):
     )
 
 
-def pandas_features(bars, news):
+def mean(values):
+    return sum(values) / len(values)
+
+
+def deviation(values):
+    """Sample standard deviation; None for fewer than two values."""
+    if len(values) < 2:
+        return None
+    m = mean(values)
+    return (sum((x - m) ** 2 for x in values) / (len(values) - 1)) ** 0.5
+
+
+def features_of_row(rows, i):
+    """Features of row i of one ticker, from the rows before it and itself."""
+    now, before = rows[i], rows[:i]
+    closes = [r["close"] for r in before]
+    returns = [None] + [rows[k]["close"] / rows[k - 1]["close"] - 1 for k in range(1, i + 1)]
+    out = {"return": returns[i], "log_volume": math.log(1 + now["volume"])}
+    out["intraday_range"] = (now["high"] - now["low"]) / now["close"]
+    out["volatility_5"] = deviation([x for x in returns[max(0, i - 5) : i] if x is not None]) or 0.0
+    for k in (5, 20):
+        out[f"ma_{k}"] = mean(closes[-k:]) if before else None
+    # Moves of the last 14 earlier rows; the first row of a ticker has no move.
+    moves = [rows[k]["close"] - rows[k - 1]["close"] for k in range(max(1, i - 14), i)]
+    gain, loss = (mean([max(sign * m, 0) for m in moves]) if moves else 0 for sign in (1, -1))
+    out["rsi_14"] = 100 - 100 / (1 + gain / loss) if loss else 50.0
+    if before:
+        half = 2 * (deviation(closes[-20:]) or 0.0)
+        out["bb_upper"], out["bb_lower"] = out["ma_20"] + half, out["ma_20"] - half
+    else:
+        out["bb_upper"] = out["bb_lower"] = None
+    for name, k in (("roc_10", 10), ("momentum_5", 5), ("momentum_10", 10)):
+        out[name] = closes[-1] / closes[-1 - k] - 1 if len(closes) > k else 0.0
+    usual = mean([r["volume"] for r in before[-20:]]) if before else None
+    out["volume_spike"] = 1.0 if usual is not None and now["volume"] > 1.5 * usual else 0.0
+    return out
+
+
+def looped_features(bars, news):
+    """Features, filled sentiment and next-day return, row by row from their written definitions."""
+    said = {(r.ticker, r.date): (r.daily_sentiment, r.n_articles) for r in news.itertuples()}
     out = []
-    for ticker, g in bars.groupby("ticker", sort=False):
-        g = g.sort_values("date").reset_index(drop=True)
-        c, v = g["close"], g["volume"].astype(float)
-        past = lambda s, k: s.rolling(k, min_periods=1)
-        g["return"] = c.pct_change()
-        g["log_volume"] = np.log1p(v)
-        g["intraday_range"] = (g["high"] - g["low"]) / c
-        g["volatility_5"] = past(g["return"], 5).std().shift(1).fillna(0)
-        g["ma_5"], g["ma_20"] = past(c, 5).mean().shift(1), past(c, 20).mean().shift(1)
-        d = c.diff()
-        up, down = past(d.clip(lower=0), 14).mean(), past(-d.clip(upper=0), 14).mean()
-        g["rsi_14"] = (100 - 100 / (1 + up / down.replace(0, np.nan))).fillna(50).shift(1).fillna(50)
-        mid, sd = past(c, 20).mean(), past(c, 20).std().fillna(0)
-        g["bb_upper"], g["bb_lower"] = (mid + 2 * sd).shift(1), (mid - 2 * sd).shift(1)
-        g["roc_10"] = c.pct_change(10).shift(1).fillna(0)
-        g["momentum_5"] = (c / c.shift(5) - 1).shift(1).fillna(0)
-        g["momentum_10"] = (c / c.shift(10) - 1).shift(1).fillna(0)
-        g["volume_spike"] = (v > 1.5 * past(v, 20).mean().shift(1)).astype(float)
-        g = g.merge(news[news.ticker == ticker][["date", "daily_sentiment", "n_articles"]], on="date", how="left")
-        g["daily_sentiment"] = g["daily_sentiment"].ffill().fillna(0)
-        g["n_articles"] = g["n_articles"].fillna(0)
-        g["target"] = c.shift(-1) / c - 1
-        out.append(g)
-    return pd.concat(out, ignore_index=True)
+    for ticker in bars["ticker"].unique():
+        rows = sorted(bars[bars.ticker == ticker].to_dict("records"), key=lambda r: r["date"])
+        seen = 0.0
+        for i, row in enumerate(rows):
+            sentiment, n = said.get((ticker, row["date"]), (None, 0))
+            seen = seen if sentiment is None else sentiment
+            after = rows[i + 1]["close"] / row["close"] - 1 if i + 1 < len(rows) else None
+            out.append({**row, **features_of_row(rows, i), "daily_sentiment": seen, "n_articles": n, "target": after})
+    return pd.DataFrame(out)
 
 
 def same(got, want, cols, tol=1e-9):
@@ -86,10 +113,10 @@ def same(got, want, cols, tol=1e-9):
 
 
 @pytest.mark.parametrize("size", [25, 4096])
-def test_price_features_match_pandas(data, size):
+def test_price_features_match_loops(data, size):
     bars, news, sbars, snews = data
     got = feats.feature_table(sbars, snews, rows_per_block=size).toPandas()
-    same(got, pandas_features(bars, news), feats.FEATURES)
+    same(got, looped_features(bars, news), feats.FEATURES)
 
 
 def test_flat_prices_give_neutral_rsi(data):
@@ -112,34 +139,45 @@ def test_unknown_options_are_refused(data):
         win.resolve_columns(sbars.drop("close"), ["close"])
 
 
+def cumulative_of_row(rows, i, spans):
+    """Running sentiment features of row i of one ticker; frames count rows and end at row i."""
+    s, n = [r["daily_sentiment"] for r in rows[: i + 1]], [float(r["n_articles"]) for r in rows[: i + 1]]
+    out = {**rows[i], "sentiment_strength": abs(s[i]) * math.log(1 + n[i])}
+    for k in spans:
+        near = s[-k:]
+        out[f"sentiment_cum_{k}d"], out[f"sentiment_ma_{k}d"] = sum(near), mean(near)
+        out[f"sentiment_vol_{k}d"] = deviation(near) or 0.0
+        out[f"news_intensity_{k}d"] = sum(n[-k:])
+        top = bottom = 0.0
+        for x in s:  # each step takes every earlier weight down by the same share
+            top, bottom = top * (1 - 2 / (k + 1)) + x, bottom * (1 - 2 / (k + 1)) + 1
+        out[f"sentiment_ewm_{k}d"] = top / bottom
+    week = [sum(s[max(0, k - 4) : k + 1]) for k in range(max(0, i - 2), i + 1)]
+    steps = [b - a for a, b in zip(week, week[1:])]
+    out["sentiment_momentum"] = steps[-1] if steps else 0.0
+    out["sentiment_acceleration"] = steps[-1] - steps[-2] if len(steps) > 1 else 0.0
+    out["sentiment_surprise"] = s[i] - mean(s[-20:])
+    away = (n[i] - mean(n[-20:])) / (deviation(n[-20:]) or 1.0)
+    out["news_spike"] = min(3.0, max(-3.0, away))
+    out["has_news"], out["strong_sentiment"] = int(n[i] > 0), int(abs(s[i]) > 0.3)
+    return out
+
+
 @pytest.mark.parametrize("size", [50, 4096])
-def test_cumulative_features_match_pandas(spark, size):
+def test_cumulative_features_match_loops(spark, size):
     rng = np.random.default_rng(5)
     parts = []
-    for ticker, n in (("MANY", 1800), ("ONE", 1), ("FEW", 7)):
+    for ticker, n in (("MANY", 900), ("ONE", 1), ("FEW", 7)):
         days = pd.date_range("2001-01-01", periods=n).date
         parts.append(pd.DataFrame({"ticker": ticker, "date": days, "daily_sentiment": rng.uniform(-1, 1, n), "n_articles": rng.integers(1, 9, n)}))
     daily = pd.concat(parts, ignore_index=True)
     sdf = spark.createDataFrame(daily, "ticker string, date date, daily_sentiment double, n_articles bigint")
     got = senti.cumulative_features(sdf, rows_per_block=size).toPandas()
     want = []
-    for _, g in daily.groupby("ticker", sort=False):
-        s, n = g["daily_sentiment"], g["n_articles"].astype(float)
-        g = g.assign(sentiment_strength=s.abs() * np.log1p(n))
-        for k in senti.SPANS:
-            roll = s.rolling(k, min_periods=1)
-            g[f"sentiment_cum_{k}d"], g[f"sentiment_ma_{k}d"] = roll.sum(), roll.mean()
-            g[f"sentiment_vol_{k}d"] = roll.std().fillna(0)
-            g[f"sentiment_ewm_{k}d"] = s.ewm(span=k, min_periods=1).mean()
-            g[f"news_intensity_{k}d"] = n.rolling(k, min_periods=1).sum()
-        mom = s.rolling(5, min_periods=1).sum().diff()
-        g["sentiment_momentum"], g["sentiment_acceleration"] = mom.fillna(0), mom.diff().fillna(0)
-        g["sentiment_surprise"] = s - s.rolling(20, min_periods=1).mean()
-        n20 = n.rolling(20, min_periods=1)
-        g["news_spike"] = ((n - n20.mean()) / n20.std().fillna(1).replace(0, 1)).clip(-3, 3)
-        g["has_news"], g["strong_sentiment"] = (n > 0).astype(int), (s.abs() > 0.3).astype(int)
-        want.append(g)
-    want = pd.concat(want, ignore_index=True)
+    for ticker in daily["ticker"].unique():
+        rows = daily[daily.ticker == ticker].to_dict("records")
+        want += [cumulative_of_row(rows, i, senti.SPANS) for i in range(len(rows))]
+    want = pd.DataFrame(want)
     same(got, want, [c for c in want.columns if c not in ("ticker", "date")])
 
 
@@ -165,7 +203,7 @@ def numpy_windows(table, length):
 @pytest.mark.parametrize("size", [30, 4096])
 def test_sliding_windows_match_numpy(data, size):
     bars, news, sbars, snews = data
-    want = numpy_windows(pandas_features(bars, news), 6)
+    want = numpy_windows(looped_features(bars, news), 6)
     rows = win.sliding_windows(sbars, snews, 6, rows_per_block=size).collect()
     assert {(r.ticker, r.date) for r in rows} == set(want)
     for r in rows:
@@ -239,3 +277,25 @@ def test_many_horizons_equal_single_ones(data):
         one = win.horizon_windows(rows, 5, h).select("ticker", "split", "split_pos", "y")
         assert one.exceptAll(many.filter(F.col("horizon") == h).select(one.columns)).count() == 0
         assert one.count() == many.filter(F.col("horizon") == h).count()
+
+
+def test_a_span_of_one_is_the_value_itself(data):
+    _, _, _, snews = data
+    got = senti.cumulative_features(snews, spans=[1, 3])
+    assert got.filter("abs(sentiment_ewm_1d - daily_sentiment) > 1e-12").count() == 0
+    assert "sentiment_ewm_3d" in got.columns
+
+
+def test_scale_does_not_depend_on_the_number_of_rows(spark):
+    """A deviation of 0.005 around 1e6 stays what it is, over 1e4 and over 1e8 rows."""
+    for n in (10**4, 10**8):
+        values = spark.range(n).select((F.lit(1e6) + F.when(F.col("id") % 2 == 0, 0.005).otherwise(-0.005)).alias("v"))
+        assert np.isclose(values.agg(win._scale(F.col("v"))).first()[0], 0.005, rtol=1e-3)
+    assert spark.range(9).select(F.lit(7.5).alias("v")).agg(win._scale(F.col("v"))).first()[0] == 1.0
+
+
+def test_bars_without_a_ticker_are_kept(data):
+    _, _, sbars, snews = data
+    lost = sbars.filter("ticker = 'TWO'").withColumn("ticker", F.lit(None).cast("string"))
+    got = feats.feature_table(sbars.unionByName(lost), snews)
+    assert got.filter("ticker IS NULL").count() == feats.feature_table(sbars, snews).filter("ticker = 'TWO'").count()

@@ -110,3 +110,13 @@ def test_pooling(spark):
         assert df.select(fit.pooled("x", 2, how).alias("v")).first().v == values
     with pytest.raises(ValueError):
         fit.pooled("x", 2, "median")
+
+
+def test_missing_scores_labels_and_groups(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 1, None), ("a", None, 0.5), (None, 1, 7.0), (None, 0, -3.0), (None, 0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    got = {r.g: r for r in ops.direction_metrics(df, ["g"]).collect()}
+    assert set(got) == {"a", None}
+    assert got["a"].auc == 100.0 and got["a"].tp + got["a"].tn == 2
+    assert got[None].auc == 75.0
+    assert {r.g: r.n_unscored for r in ops.count_unscored(df, ["g"]).collect()} == {"a": 2, None: 0}

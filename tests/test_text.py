@@ -141,3 +141,20 @@ def test_dates_do_not_depend_on_the_session_zone(spark, zone):
         assert {r.d for r in rows} == {"2020-03-08", None}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_one_failing_text_does_not_touch_the_others(spark):
+    def scorer(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return [[0.8, 0.1, 0.1] for _ in texts]
+
+    table = spark.createDataFrame([(1, 0, "good"), (1, 1, "bad"), (2, 0, "fine")], "article_index bigint, sentence_no int, sentence string")
+    got = {r.sentence_no + 10 * r.article_index: (r.label, r.failed) for r in ops.score_with(table.coalesce(1), scorer).collect()}
+    assert got == {10: ("positive", False), 11: ("neutral", True), 20: ("positive", False)}
+
+
+def test_lexicon_words_keep_their_accents(spark):
+    table = spark.createDataFrame([(1, 0, "Un été au café")], "article_index bigint, sentence_no int, sentence string")
+    lexicon = spark.createDataFrame([("été", 1.0), ("caf", -1.0), ("t", -1.0)], "word string, weight double")
+    assert ops.score_by_lexicon(table, lexicon).first().weight == 0.5

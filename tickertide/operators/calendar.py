@@ -62,10 +62,10 @@ def market_day_map(calendar: DataFrame) -> DataFrame:
 def assign_market_day(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Latest market day on or before ``date``; earlier dates go to the first one.
 
-    Dates after the last market day are dropped; see ``count_unassigned``.
+    Dates after the last market day and rows without a date are dropped; see ``count_unassigned``.
     """
     first = calendar.agg(F.min("date")).scalar()
-    keyed = df.withColumn("_key", F.greatest(F.col("date"), first))
+    keyed = df.filter(F.col("date").isNotNull()).withColumn("_key", F.greatest(F.col("date"), first))
     days = market_day_map(calendar).withColumnRenamed("date", "_key")
     return keyed.join(days, "_key").drop("_key")
 
@@ -74,7 +74,7 @@ def count_unassigned(df: DataFrame, calendar: DataFrame) -> DataFrame:
     last = calendar.agg(F.max("date")).scalar()
     return df.agg(
         F.count_if(F.col("date") <= last).alias("n_assigned"),
-        F.count_if(F.col("date") > last).alias("n_dropped"),
+        F.count_if((F.col("date") > last) | F.col("date").isNull()).alias("n_dropped"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertide.operators.series import running_total
+from tickertide.operators.series import null_safe_join, running_total
 from tickertide.operators.windows import denormalise, unscale
 
 # Fixed value: share of right directions expected from guessing.
@@ -175,14 +175,18 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", proba: str = "p
     """Area under the ROC curve in percent, ties at half; 50 where one class is missing.
 
     Equal scores are merged first. The count of lower-scored negatives is a running total over
-    ever finer ranges of the score, so no task ranks all predictions.
+    ever finer ranges between the smallest and the largest score, so no task ranks all predictions.
+    Rows without a label or a score are left out, as in all measures of direction.
     """
     by = list(by)
+    df = df.filter(F.col(y).isNotNull() & F.col(proba).isNotNull())
     positive = F.sum(F.when(F.col(y) == 1, 1).otherwise(0))
     scores = df.groupBy(*by, proba).agg(
         positive.alias("_pos"), (F.count("*") - positive).alias("_neg")
     )
-    ranges = [F.floor(F.col(proba) * 2.0**bits) for bits in (10, 20, 30)]
+    low, high = (scores.agg(f(proba).cast("double")).scalar() for f in (F.min, F.max))
+    share = F.coalesce((F.col(proba) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    ranges = [F.floor(share * 2.0**bits) for bits in (10, 20, 30)]
     ranked = running_total(scores, proba, ranges, F.col("_neg"), by, "_below")
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
@@ -211,14 +215,24 @@ def confusion_metrics(df: DataFrame, by: Sequence[str] = (), threshold: float =
 
 
 def direction_metrics(df: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
-    """Confusion measures, ROC area, majority accuracy and the gain over it."""
+    """Confusion measures, ROC area, majority accuracy and the gain over it.
+
+    Rows without a label or a score are left out (``count_unscored`` tells how many).
+    """
     by = list(by)
+    df = df.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
     share = lambda v: F.avg((F.col("y") == v).cast("double"))
     majority = df.groupBy(*by).agg((F.greatest(share(1), share(0)) * 100).alias("baseline_accuracy"))
     parts = [confusion_metrics(df, by, threshold), roc_auc(df, by), majority]
     if by:
-        out = parts[0].join(parts[1], by).join(parts[2], by)
+        out = null_safe_join(null_safe_join(parts[0], parts[1], by), parts[2], by)
     else:
         one = lambda d, c: d.select(c).scalar().alias(c)
         out = parts[0].select("*", one(parts[1], "auc"), one(parts[2], "baseline_accuracy"))
     return out.withColumn("vs_baseline", F.col("accuracy") - F.col("baseline_accuracy"))
+
+
+def count_unscored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows without a label or a score, which the measures of direction leave out."""
+    missing = F.col("y").isNull() | F.col("p").isNull()
+    return df.groupBy(*by).agg(F.count_if(missing).alias("n_unscored"))

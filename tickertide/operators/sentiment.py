@@ -75,6 +75,8 @@ def with_article_counts(daily: DataFrame) -> DataFrame:
 def _decay(span: int) -> tuple[float, int]:
     """Weight ratio of an exponential mean, and the rows after which weights are negligible."""
     q = 1.0 - 2.0 / (span + 1)
+    if q == 0.0:  # span 1: only the value itself has weight
+        return q, 1
     return q, math.ceil(math.log(EWM_CUTOFF) / math.log(q))
 
 
@@ -95,6 +97,9 @@ def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str,
     ends, means = {}, {}
     for k in spans:
         q, reach = _decay(k)
+        if q == 0.0:
+            means[f"sentiment_ewm_{k}d"] = F.col(value)
+            continue
         base, j = F.lit(q), (p % reach).cast("double")
         df = df.withColumn("_stretch", F.floor(p / F.lit(reach)).cast("bigint"))
         inside = Window.partitionBy(*partition, "_stretch").orderBy("pos")
@@ -107,7 +112,7 @@ def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str,
         weights = (1 - F.pow(base, F.col("pos").cast("double"))) / (1 - q)
         means[f"sentiment_ewm_{k}d"] = (F.col(f"_own_{k}") + F.pow(base, j + 1) * older) / weights
     df = df.withColumns(ends).withColumns(means)
-    return df.drop("_stretch", *ends, *[f"_own_{k}" for k in spans])
+    return df.drop("_stretch", *ends, *[f"_own_{k}" for k in spans if f"_end_{k}" in ends])
 
 
 def cumulative_features(

@@ -21,6 +21,14 @@ from tickertide.functions.columns import as_column
 ROWS_PER_BLOCK = 4096
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where null equals null; the columns appear once."""
+    other = {c: f"_on_{i}" for i, c in enumerate(on)}
+    renamed = right.withColumnsRenamed(other)
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]
+    return left.join(renamed, same, how).drop(*other.values())
+
+
 def running_total(
     df: DataFrame,
     order: str,
@@ -58,14 +66,14 @@ def running_total(
         step = step.drop("_sum")
         if offsets is not None:
             upper = offsets.withColumnRenamed("_offset", "_upper")
-            step = step.join(upper, parent).withColumn("_offset", F.col("_offset") + F.col("_upper"))
+            step = null_safe_join(step, upper, parent).withColumn("_offset", F.col("_offset") + F.col("_upper"))
             step = step.drop("_upper")
         offsets = step
 
     inside = Window.partitionBy(*keys, *marks).orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     out = base.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), zero))
-    out = out.join(offsets, [*keys, *marks]).withColumn(name, F.col("_offset") + F.col("_inside"))
+    out = null_safe_join(out, offsets, [*keys, *marks]).withColumn(name, F.col("_offset") + F.col("_inside"))
     if total:
         out = out.withColumnRenamed("_total", total)
     return out.drop(*marks, "_value", "_inside", "_offset")
@@ -100,7 +108,7 @@ def with_positions(
     )
     inside = Window.partitionBy(key, year).orderBy(order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base.join(offsets, [key, year], "left")
+    out = null_safe_join(base, offsets, [key, year], "left")
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carry_{c}")) for c in carry}
     out = out.withColumns({pos: F.row_number().over(inside) + F.col("_offset"), **filled})
     return out.drop(year, "_offset", *[f"_carry_{c}" for c in carry])

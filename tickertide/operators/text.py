@@ -15,7 +15,7 @@ MIN_TEXT = 100
 SUMMARY_SENTENCES = 5
 EDGE_THRESHOLD = 0.1
 TOLERANCE = 0.1
-FALLBACK_CHARS = 500
+SMALL_LEXICON = 100_000  # words that may be broadcast
 
 LABELS = ("positive", "negative", "neutral")
 
@@ -120,10 +120,8 @@ def summarise(
     parts = articles.withColumn("_parts", F.when(long_enough, sentences(text)))
     ranked = parts.withColumn("_best", central(F.coalesce(terms, F.array().cast("array<array<string>>"))))
     picked = F.transform("_best", lambda i: F.get(F.col("_parts"), i))
-    summary = F.when(F.col("_parts").isNull(), F.col(text)).otherwise(F.array_join(picked, " "))
-    # A text that yields no sentence at all falls back to its beginning.
-    no_sentence = F.coalesce(F.size("_parts") == 0, F.lit(False))
-    summary = F.when(no_sentence, F.substring(text, 1, FALLBACK_CHARS)).otherwise(summary)
+    no_sentence = F.col("_parts").isNull() | (F.size("_parts") == 0)
+    summary = F.when(no_sentence, F.col(text)).otherwise(F.array_join(picked, " "))
     return ranked.select("article_index", one_line(summary).alias("summary"))
 
 
@@ -143,10 +141,13 @@ def score_by_lexicon(table: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Polarity of each sentence from a (word, weight) lexicon.
 
     With P and N the sums of positive and negative word weights, the probabilities are
-    P, N and 1 over (P + N + 1). The words of a sentence are in one task, so the sums combine
-    before the shuffle and one row per sentence is exchanged.
+    P, N and 1 over (P + N + 1). A lexicon of up to ``SMALL_LEXICON`` words is broadcast: the words
+    of a sentence stay in one task, their sums combine there, and one row per sentence is exchanged.
+    A larger one is joined by word.
     """
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z]+"), 0)
+    if lexicon.limit(SMALL_LEXICON + 1).count() <= SMALL_LEXICON:
+        lexicon = F.broadcast(lexicon)
+    words = F.regexp_extract_all(F.lower("sentence"), F.lit(r"\p{L}+"), 0)
     tokens = table.select("article_index", "sentence_no", F.explode_outer(words).alias("word"))
     weight = F.coalesce(F.col("_w"), F.lit(0.0))
     sums = (
@@ -165,15 +166,26 @@ def score_by_lexicon(table: DataFrame, lexicon: DataFrame) -> DataFrame:
 def score_with(table: DataFrame, scorer: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """Polarity from any model: ``scorer`` maps texts to rows of (pos, neg, neutral).
 
-    Runs on Arrow batches in each partition. A batch that fails counts as neutral.
+    Runs on Arrow batches in each partition. If a batch fails its texts are scored one by one;
+    those that fail alone count as neutral and have ``failed`` set.
     """
 
+    def one_by_one(texts: list[str]) -> tuple[np.ndarray, list[bool]]:
+        probs, failed = np.tile([0.0, 0.0, 1.0], (len(texts), 1)), [False] * len(texts)
+        for i, text in enumerate(texts):
+            try:
+                probs[i] = np.asarray(scorer([text]), dtype=float).reshape(3)
+            except Exception:
+                failed[i] = True
+        return probs, failed
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = batch["sentence"].tolist()
             try:
-                probs = np.asarray(scorer(batch["sentence"].tolist()), dtype=float).reshape(-1, 3)
+                probs, failed = np.asarray(scorer(texts), dtype=float).reshape(len(texts), 3), [False] * len(texts)
             except Exception:
-                probs = np.tile([0.0, 0.0, 1.0], (len(batch), 1))
+                probs, failed = one_by_one(texts)
             yield pd.DataFrame(
                 {
                     "article_index": batch["article_index"],
@@ -181,10 +193,11 @@ def score_with(table: DataFrame, scorer: Callable[[list[str]], np.ndarray]) -> D
                     "p_pos": probs[:, 0],
                     "p_neg": probs[:, 1],
                     "p_neu": probs[:, 2],
+                    "failed": failed,
                 }
             )
 
-    schema = "article_index bigint, sentence_no int, p_pos double, p_neg double, p_neu double"
+    schema = "article_index bigint, sentence_no int, p_pos double, p_neg double, p_neu double, failed boolean"
     scored = table.select("article_index", "sentence_no", "sentence").mapInPandas(run, schema)
     parts = polarity(F.col("p_pos"), F.col("p_neg"), F.col("p_neu"))
     return scored.withColumns(parts).drop("p_pos", "p_neg", "p_neu")

@@ -22,7 +22,7 @@ FEATURE_SETS = {
 RELATIVE = ("close", "volume")
 ARTICLE_SCALE = 10.0
 TINY = 1e-8
-EPSILON = 2.0**-52  # relative precision of a double
+ROUNDING = 2.0**-44  # the last bits of a double
 
 
 def feature_set(name: str) -> list[str]:
@@ -124,10 +124,10 @@ def split_sizes(windows: DataFrame) -> DataFrame:
 # ---- scaling -----------------------------------------------------------------
 
 def _scale(value: Column) -> Column:
-    """Population deviation; 1 for a constant feature, rounding noise counting as constant."""
-    n, var = F.count(value).cast("double"), F.var_pop(value)
-    noise = n * EPSILON * var + F.pow(n * F.avg(value) * EPSILON, F.lit(2.0))
-    return F.when(var <= noise, 1.0).otherwise(F.sqrt(var))
+    """Population deviation; 1 for a feature with one value but for rounding, whatever the number of rows."""
+    low, high = F.min(value), F.max(value)
+    rounding = F.greatest(F.abs(low), F.abs(high)) * ROUNDING
+    return F.when(high - low <= rounding, 1.0).otherwise(F.stddev_pop(value))
 
 
 def fit_scalers(windows: DataFrame, n_features: int, per_ticker: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ fx.CTES["fx_word_sums"] = (
     "SELECT article_index, sentence_no, sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) AS pos, "
     "sum(CASE WHEN weight < 0 THEN -weight ELSE 0 END) AS neg FROM (SELECT article_index, sentence_no, "
     "unnest(CASE WHEN len(words) = 0 THEN [''] ELSE words END) AS word FROM (SELECT *, "
-    "regexp_extract_all(lower(sentence), '[a-z]+') AS words FROM fx_sentence_rows)) LEFT JOIN fx_lexicon USING (word) GROUP BY 1, 2"
+    "regexp_extract_all(lower(sentence), '\\p{L}+') AS words FROM fx_sentence_rows)) LEFT JOIN fx_lexicon USING (word) GROUP BY 1, 2"
 )
 fx.CTES["fx_polarity"] = (
     "SELECT article_index, sentence_no, CASE WHEN pos >= neg AND pos >= 1 THEN 'positive' WHEN neg >= 1 THEN 'negative' "
@@ -133,7 +133,7 @@ def _length_scorer(texts):
     return np.stack([n % 7 / 21, n % 5 / 21, 1 - n % 7 / 21 - n % 5 / 21], axis=1)
 
 
-@query("plugged_in_scorer__h9", "SELECT article_index, sentence_no, CASE WHEN p >= q AND p >= u THEN 'positive' WHEN q >= u THEN 'negative' "
+@query("plugged_in_scorer__h9", "SELECT article_index, sentence_no, 0 AS failed, CASE WHEN p >= q AND p >= u THEN 'positive' WHEN q >= u THEN 'negative' "
        f"ELSE 'neutral' END AS label, {r('CASE WHEN p >= q AND p >= u THEN p WHEN q >= u THEN -q ELSE 0 END')} AS weight FROM "
        "(SELECT *, length(sentence) % 7 / 21.0e0 AS p, length(sentence) % 5 / 21.0e0 AS q, "
        "1 - length(sentence) % 7 / 21.0e0 - length(sentence) % 5 / 21.0e0 AS u FROM fx_sentence_rows)")
