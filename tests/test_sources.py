@@ -84,3 +84,14 @@ def test_tables_go_below_the_warehouse_unless_it_is_local_to_a_cluster_machine(s
         assert shared_dir(spark, "x").startswith(spark.conf.get("spark.sql.warehouse.dir"))
     with pytest.raises(ValueError):
         shared_dir(Elsewhere, "x")
+
+
+def test_raw_news_rows_are_numbered_in_file_order(spark, tmp_path):
+    head = "Unnamed: 0,Date,Article_title,Stock_symbol,Url,Publisher,Author,Article,Lsa_summary,Luhn_summary,Textrank_summary,Lexrank_summary\n"
+    for name, rows in (("b", ["2", "3"]), ("a", ["0", "1"])):
+        lines = [f'9,2020-01-0{k} 10:00:00 UTC,t{k},ab,u{k},p,q,"two\nlines {k}",x,x,x,x\n' for k in map(int, (str(int(r) + 1) for r in rows))]
+        (tmp_path / f"{name}.csv").write_text(head + "".join(lines))
+    rows = readers.read_raw_news(spark, str(tmp_path)).orderBy("rn").collect()
+    assert [r.url for r in rows] == ["u1", "u2", "u3", "u4"] and len({r.rn for r in rows}) == 4
+    assert set(rows[0].asDict()) == {"rn", "url", "date_raw", "stock_symbol", "title", "article"}
+    assert rows[0].article == "two\nlines 1" and rows[0].date_raw.startswith("2020-01-01")

@@ -101,6 +101,17 @@ def assigned(spark, folder):
     return days.assign_market_day(ops.dated_tickers(pruned(spark, folder)), fx.calendar(spark, folder))
 
 
+def raw_news(spark, folder):
+    """News written as the raw file has it, without row numbers, and scanned again."""
+    path = shared_dir(spark, "news-raw")
+    old = {new: name for name, new in readers.NEWS_NAMES.items()}
+    rows = fx.news_raw(spark, folder).orderBy("rn").drop("rn").withColumnsRenamed(old)
+    rows.withColumns({c: F.lit("x") for c in readers.NEWS_DROPPED}).write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return readers.read_raw_news(spark, path)
+
+
 def url_columns(df):
     return df.select("url_hash", "url", "title", "date_raw", "tickers", "article_index")
 

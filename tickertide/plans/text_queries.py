@@ -169,6 +169,17 @@ def _(spark, folder):
     return senti.daily_sentiment(scored_urls)
 
 
+@query("raw_news_to_daily_sentiment__a3_d5_d6_d13", f"SELECT ticker, {s('date')} AS date, {r('avg(sentiment)')} AS daily_sentiment, "
+       "count(*) AS n_articles FROM (SELECT unnest(tickers) AS ticker, TRY_CAST(substr(date_raw, 1, 10) AS DATE) AS date, sentiment "
+       "FROM fx_pruned u JOIN fx_scores c ON c.article_index = u.article_index) WHERE date IS NOT NULL GROUP BY 1, 2")
+def _(spark, folder):
+    news = nq.ops.in_years(nq.raw_news(spark, folder), nq.Y1, nq.Y2)
+    urls = nq.ops.number_articles(nq.ops.collapse_urls(news))
+    known = nq.valid(spark, folder)
+    kept = nq.ops.prune_urls(nq.ops.enrich_from_titles(urls, known), known.filter("ticker <> 'euro'"))
+    return senti.daily_sentiment(senti.attach_sentiment(kept, fx.article_scores(spark, folder)))
+
+
 @query("text_to_daily_sentiment__h7_h9_d12_c3_d13",
        f"SELECT ticker, {s('date')} AS date, {r('avg(sentiment)')} AS daily_sentiment, count(*) AS n_articles FROM (SELECT "
        "unnest(tickers) AS ticker, TRY_CAST(substr(date_raw, 1, 10) AS DATE) AS date, sentiment FROM fx_pruned u "
