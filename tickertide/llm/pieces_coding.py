@@ -5,7 +5,7 @@ the beginning of a marked word: the ids of a text are those of its chunks (a run
 word behind it) one after the other. In every piece of a batch the distinct chunks are found, each
 is segmented once by the library, and the ids are joined back by position with array operations.
 Decoding works alike: ids are cut before each piece that begins with a marker, distinct chunks are
-decoded once. ``encode`` refuses a vocabulary with crossing pieces.
+decoded once; ``encode`` can add the decoded text from its own table. It refuses a vocabulary with crossing pieces.
 
 The table belongs to a task and is emptied when it holds ``TABLE`` chunks, so memory is bounded; a
 table for the whole corpus would have to shuffle every word of it.
@@ -25,6 +25,7 @@ from tickertide.llm.common import in_batches, pieces
 
 MARK = "▁"
 TABLE = 200_000
+PIECE = 2 << 20
 
 
 def model_bytes(path: str) -> bytes:
@@ -84,8 +85,19 @@ def edges(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", columns: list[str] | None = None, table: int = TABLE) -> DataFrame:
-    """Rows of ``docs`` with n_tokens and ids: little-endian unsigned 32-bit ids with begin and end."""
+def encode(
+    docs: DataFrame,
+    model: bytes,
+    text: str = "text",
+    columns: list[str] | None = None,
+    decoded: bool = False,
+    table: int = TABLE,
+) -> DataFrame:
+    """Rows of ``docs`` with n_tokens and ids: little-endian unsigned 32-bit ids with begin and end.
+
+    ``decoded`` adds the text that the library makes of the ids, from the same table: a chunk is
+    decoded once, and a blank stands for the marker between chunks.
+    """
     if crossing := crossing_pieces(model):
         raise ValueError(f"pieces cross word markers: {crossing[:5]}")
 
@@ -94,8 +106,17 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", columns: list[str]
 
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         begin, end = (np.array([i], "<u4").tobytes() for i in (lib.bos_id(), lib.eos_id()))
-        lone = np.array([lib.piece_to_id(MARK)], "<u4").tobytes()
-        known: dict[str, bytes] = {}
+        lone = lib.piece_to_id(MARK)
+        known: dict[str, tuple[bytes, str]] = {}
+
+        def learn(words: list[str]) -> None:
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                ids = [x if w else [lone] for w, x in zip(some, lib.encode(some, num_threads=1))]
+                texts = lib.decode(ids, num_threads=1) if decoded else [""] * len(ids)
+                flat = np.array([i for x in ids for i in x], "<u4").tobytes()
+                at = edges(np.fromiter(map(len, ids), np.int64, len(ids))).tolist()
+                known.update((w, (flat[4 * a : 4 * b], t)) for w, a, b, t in zip(some, at[:-1], at[1:], texts))
 
         def step(texts: pa.Array):
             words, counts = chunks_of(texts)
@@ -103,20 +124,23 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", columns: list[str]
             distinct = coded.dictionary.to_pylist()
             if len(known) > table:
                 known.clear()
-            new = [w for w in distinct if w not in known]
-            for w, ids in zip(new, lib.encode(new, num_threads=1)):
-                known[w] = np.array(ids, "<u4").tobytes() if w else lone
-            rows = [known[w] for w in distinct]
+            learn([w for w in distinct if w not in known])
+            rows = [known[w][0] for w in distinct]
             lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
             codes = coded.indices.to_numpy()
             flat = np.frombuffer(b"".join(rows), "<u4")[by_position(lengths, codes)].tobytes()
             at = edges(lengths[codes])[edges(counts)] * 4
             packed = [begin + flat[a:b] + end for a, b in zip(at[:-1], at[1:])]
-            return pa.array(np.diff(at) // 4 + 2, pa.int64()), pa.array(packed, pa.binary())
+            made = [pa.array(np.diff(at) // 4 + 2, pa.int64()), pa.array(packed, pa.binary())]
+            if decoded:
+                chunks = pa.array([known[w][1] for w in distinct], pa.string()).take(coded.indices)
+                made.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges(counts), pa.int32()), chunks), " "))
+            return made
 
         return step
 
-    return in_batches(docs, task, [("n_tokens", "bigint"), ("ids", "binary")], columns, text)
+    fields = [("n_tokens", "bigint"), ("ids", "binary")] + [("decoded", "string")] * decoded
+    return in_batches(docs, task, fields, columns, text, PIECE)
 
 
 def decode(encoded: DataFrame, model: bytes, columns: list[str], ids: str = "ids", table: int = TABLE) -> DataFrame:
@@ -145,7 +169,7 @@ def decode(encoded: DataFrame, model: bytes, columns: list[str], ids: str = "ids
             return " ".join([known[k] for k in keys])
 
         for batch in batches:
-            for piece in pieces(batch, ids):
+            for piece in pieces(batch, ids, PIECE):
                 made = [text_of(p or b"") for p in piece.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), pa.array(made, pa.string())], [*columns, "decoded"])
 

@@ -146,8 +146,7 @@ def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces_coding.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces_coding.encode(_table(spark, folder, "documents"), model, columns=["doc_id"])
-    out = pieces_coding.decode(encoded, model, ["doc_id", "n_tokens", "ids"])
+    out = pieces_coding.encode(_table(spark, folder, "documents"), model, columns=["doc_id"], decoded=True)
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
