@@ -29,7 +29,7 @@ from tickertide.llm.ngrams import code_points, hashed
 
 SIZES = range(3, 6)
 BITS = 20
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 FEATURES = 20_000
 MIN_DOCS = 4
 FOLDS = 5
@@ -73,18 +73,30 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     return rows.join(F.broadcast(chosen), "_id")  # at most max_rows rows of two numbers
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float = 20.0, rounds: int = 300):
-    """Logistic regression by accelerated gradient steps; ``rows`` sorted. Ends when the gradient is small."""
-    n = len(y)
+def _logistic(lists: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, l2: float = 20.0, rounds: int = 300, block: int = 1000):
+    """Logistic regression on ratio * presence by accelerated gradient steps, over blocks of rows.
+
+    ``lists``: the features present in each row. Ends when the gradient is small.
+    """
+    n, width = len(y), len(ratios)
     w, bias = np.zeros(width), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    norms = np.bincount(rows, values**2, n)
-    rate = 1.0 / (0.25 * max(norms.max(initial=0.0), 1.0) * 0.25 + l2 / n)
+    most = max((float((ratios[x] ** 2).sum()) for x in lists), default=0.0)
+    rate = 1.0 / (max(most, 1.0) / 16 + l2 / n)
     look, last, speed, look_b, last_b = w.copy(), w, 1.0, bias, bias
+    blocks = [np.concatenate(lists[i : i + block]) for i in range(0, n, block)]
+    sizes = np.array([len(x) for x in lists])
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * look[cols], n) + look_b, -30, 30)))
-        gap = (p - y) / n
-        slope, slope_b = np.bincount(cols, values * gap[rows], width) + l2 / n * look, gap.sum()
-        if max(np.abs(slope).max(initial=0.0), abs(slope_b)) < 1e-6:
+        weights, slope, slope_b = ratios * look, np.zeros(width), 0.0
+        for i, cols in zip(range(0, n, block), blocks):
+            own = sizes[i : i + block]
+            row = np.repeat(np.arange(len(own)), own)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[cols], len(own)) + look_b, -30, 30)))
+            gap = (p - y[i : i + block]) / n
+            slope += np.bincount(cols, gap[row], width)
+            slope_b += gap.sum()
+        slope = slope * ratios + l2 / n * look
+        if max(np.abs(slope).max(initial=0.0), abs(slope_b)) < 1e-5:
             break
         w, bias = look - rate * slope, look_b - 4 * slope_b
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
@@ -104,6 +116,8 @@ def fit(
     features: int = FEATURES,
     folds: int = FOLDS,
 ) -> Model:
+    if features > 65_536:
+        raise ValueError("at most 65,536 features")
     sample = _sample(docs, labels, doc_id, text, label, max_rows, folds)
     sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
@@ -139,16 +153,14 @@ def fit(
                 texts = plain(pc.fill_null(piece.column("text"), ""))
                 row, bucket = grams_present(texts, wanted)
                 at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
-                lists = [np.searchsorted(buckets, bucket[a:b]).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+                lists = [np.searchsorted(buckets, bucket[a:b]).astype("<u2").tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_label"), pa.array(lists, pa.binary())], ["id", "label", "cols"])
 
     id_type = sample.schema["_id"].dataType.simpleString()
     rows = sample.select("_id", "_label", "text").mapInArrow(present, f"id {id_type}, label int, cols binary").collect()
     rows.sort(key=lambda r: (str(r[0]), r[2]))
-    lists = [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    cols = np.concatenate(lists)
-    w, bias = _logistic(row, cols, ratios[cols], np.array([float(r[1]) for r in rows]), len(buckets))
+    lists = [np.frombuffer(r[2], "<u2") for r in rows]
+    w, bias = _logistic(lists, ratios, np.array([float(r[1]) for r in rows]))
     return Model(buckets, w * ratios, float(bias))
 
 
