@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,7 +66,7 @@ def test_summary_of_documents_equals_brute_force(spark, folder):
             equal += 1
             continue
         lines = [re.sub(r"\s+", " ", s).strip() for s in row.s]
-        terms = [re.findall(r"[^\W\d_]+", s.lower()) for s in row.s]
+        terms = [[w for w in re.findall(r"[^\W\d_]+", s.lower()) if w not in ops.STOP_WORDS] for s in row.s]
         want = " ".join(lines[k] for k in brute_force_central(terms, 5))
         equal += summary == want
     assert equal == len(parts)
@@ -158,3 +159,14 @@ def test_lexicon_words_keep_their_accents(spark):
     table = spark.createDataFrame([(1, 0, "Un été au café")], "article_index bigint, sentence_no int, sentence string")
     lexicon = spark.createDataFrame([("été", 1.0), ("caf", -1.0), ("t", -1.0)], "word string, weight double")
     assert ops.score_by_lexicon(table, lexicon).first().weight == 0.5
+
+
+def test_a_text_of_many_sentences_keeps_to_its_memory(monkeypatch):
+    """All pairs of 700 linked sentences would take 8 MB as index pairs; a block takes 160 kB."""
+    monkeypatch.setattr(ops, "BLOCK_CELLS", 20_000)
+    terms = [["all", f"w{k % 3}"] for k in range(700)] + [["y"]] * 3
+    tracemalloc.start()
+    assert len(ops._central_sentences(terms, 5)) == 5
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 4e6

@@ -17,6 +17,16 @@ EDGE_THRESHOLD = 0.1
 TOLERANCE = 0.1
 SMALL_LEXICON = 100_000  # words that may be broadcast
 
+# English function words, left out of the sentence graph unless other words are given.
+STOP_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by "
+    "can could did do does doing down during each few for from further had has have having he her here hers herself him "
+    "himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other "
+    "our ours ourselves out over own same she should so some such than that the their theirs them themselves then there "
+    "these they this those through to too under until up very was we were what when where which while who whom why will "
+    "with would you your yours yourself yourselves"
+).split()
+
 LABELS = ("positive", "negative", "neutral")
 
 
@@ -51,26 +61,33 @@ def _weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.
     return row, col, count / top[row] * idf[col], size
 
 
-def _links(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sentences whose cosine exceeds the threshold, compared in bounded dense blocks."""
+def _near_blocks(terms: list[list[str]]) -> Callable[[], Iterator[tuple[int, np.ndarray]]]:
+    """Which sentences have a cosine over the threshold, by blocks of rows: first row, mask.
+
+    A graph that fits one block is kept; of a larger one only a block at a time is held, and it is
+    made anew whenever it is read, so memory does not grow with the pairs.
+    """
     n = len(terms)
     row, col, value, size = _weighted_terms(terms)
     norm = np.sqrt(np.bincount(row, value * value, minlength=n))
     rows_at_once = max(1, min(n, BLOCK_CELLS // n))
     words_at_once = max(1, BLOCK_CELLS // n)
-    sources, ends = [], []
-    for first in range(0, n, rows_at_once):
-        last = min(first + rows_at_once, n)
-        dots = np.zeros((last - first, n))
-        for start in range(0, size, words_at_once):
-            lo, hi = np.searchsorted(col, [start, start + words_at_once])
-            dense = np.zeros((n, min(words_at_once, size - start)))
-            dense[row[lo:hi], col[lo:hi] - start] = value[lo:hi]
-            dots += dense[first:last] @ dense.T
-        near, far = np.nonzero(dots > EDGE_THRESHOLD * np.outer(norm[first:last], norm))
-        sources.append(near + first)
-        ends.append(far)
-    return np.concatenate(sources), np.concatenate(ends)
+
+    def made() -> Iterator[tuple[int, np.ndarray]]:
+        for first in range(0, n, rows_at_once):
+            last = min(first + rows_at_once, n)
+            dots = np.zeros((last - first, n))
+            for start in range(0, size, words_at_once):
+                lo, hi = np.searchsorted(col, [start, start + words_at_once])
+                dense = np.zeros((n, min(words_at_once, size - start)))
+                dense[row[lo:hi], col[lo:hi] - start] = value[lo:hi]
+                dots += dense[first:last] @ dense.T
+            yield first, dots > EDGE_THRESHOLD * np.outer(norm[first:last], norm)
+
+    if rows_at_once < n:
+        return made
+    kept = list(made())
+    return lambda: iter(kept)
 
 
 def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
@@ -82,11 +99,13 @@ def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
     n = len(terms)
     if n <= keep:
         return list(range(n))
-    source, end = _links(terms)
-    degree = np.maximum(np.bincount(source, minlength=n), 1)
+    near = _near_blocks(terms)
+    degree = np.maximum(np.concatenate([mask.sum(axis=1) for _, mask in near()]), 1)
     rank, change = np.full(n, 1.0 / n), 1.0
     while change > TOLERANCE:
-        spread = np.bincount(end, rank[source] / degree[source], minlength=n)
+        share, spread = rank / degree, np.zeros(n)
+        for first, mask in near():
+            spread += share[first : first + len(mask)] @ mask
         change = float(np.linalg.norm(spread - rank))
         rank = spread
     # Ranks equal up to rounding noise keep text order.
@@ -98,7 +117,7 @@ def summarise(
     articles: DataFrame,
     text: str = "article",
     keep: int = SUMMARY_SENTENCES,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Summary of each article: its most central sentences in text order, on one line.
 

@@ -66,7 +66,7 @@ fx.CTES["fx_long"] = (
 )
 fx.CTES["fx_words"] = (
     "SELECT d, n, i, w, count(*) AS c FROM (SELECT d, n, sentence_no AS i, "
-    "unnest(regexp_extract_all(lower(sentence), '\\p{L}+')) AS w FROM fx_sentence_rows JOIN fx_long ON article_index = d) GROUP BY ALL"
+    "unnest(regexp_extract_all(lower(sentence), '\\p{L}+')) AS w FROM fx_sentence_rows JOIN fx_long ON article_index = d) WHERE w NOT IN (" + ", ".join(f"'{w}'" for w in ops.STOP_WORDS) + ") GROUP BY ALL"
 )
 fx.CTES["fx_weights"] = (
     "SELECT d, i, w, c / max(c) OVER (PARTITION BY d, i) * ln(n / (1.0e0 + count(*) OVER (PARTITION BY d, w))) AS v FROM fx_words"
