@@ -163,17 +163,19 @@ def cumulative_features(
     return out.drop("pos", "n_rows")
 
 
-def combine_with_bars(bars: DataFrame, features: DataFrame) -> DataFrame:
+def combine_with_bars(bars: DataFrame, features: DataFrame, daily: DataFrame | None = None) -> DataFrame:
     """Bars with cumulative features: running ones are carried over gaps, the others become zero.
 
-    What is carried is only the date of the last bar that had news, so the features are computed
-    once and fetched by that date. Features must be free of nulls (see ``cumulative_features``).
+    What is carried is only the date of the last bar that had news, so the features are fetched by
+    that date. The dates come from ``daily``, the table the features were made of, if it is given;
+    the features are then computed once. Features must be free of nulls (see ``cumulative_features``).
     """
     upper = bars.withColumn("ticker", F.upper("ticker"))
     news = features.withColumn("ticker", F.upper("ticker"))
     carried = [c for c in news.columns if any(part in c for part in CARRIED_PARTS)]
     zeroed = [c for c in news.columns if c in ZERO_FILLED]
-    days = news.select("ticker", "date", F.col("date").alias("_news"))
+    dated = news if daily is None else daily.withColumn("ticker", F.upper("ticker"))
+    days = dated.select("ticker", "date", F.col("date").alias("_news"))
     marked = with_positions(upper.join(days, ["ticker", "date"], "left"), ["_news"])
     fetched = marked.join(news.withColumnRenamed("date", "_news"), ["ticker", "_news"], "left")
     fresh = F.col("_news") == F.col("date")

@@ -185,24 +185,23 @@ fx.CTES["fx_combined"] = (
 def combined(spark, folder):
     bars, daily = inputs(spark, folder)
     lower = senti.cumulative_features(daily).withColumn("ticker", F.lower("ticker"))
-    return senti.combine_with_bars(bars, lower)
+    return senti.combine_with_bars(bars, lower, daily)
 
 
-@query("combined_features__c2_f13", f"SELECT ticker, {s('date')} AS date, {i('floor(close)')} AS close, {_cumulative_columns()} "
+@query("combined_features__c2_f13", f"SELECT ticker, {s('date')} AS date, {r('close')} AS close, {_cumulative_columns()} "
        "FROM fx_combined")
 def _(spark, folder):
     out = combined(spark, folder)
-    return out.select("ticker", "date", F.floor("close").alias("close"), *_DOUBLES, *_WHOLE)
+    return out.select("ticker", "date", "close", *_DOUBLES, *_WHOLE)
 
 
 @query("news_coverage__a12", f"SELECT ticker, count(*) AS n_rows, {r('avg(CAST(n_articles > 0 AS DOUBLE)) * 100')} "
        "AS coverage_pct FROM fx_combined GROUP BY 1")
 def _(spark, folder):
     path = shared_dir(spark, "combined")
-    joined = feats.positioned_bars(*inputs(spark, folder), fill="zero")
-    group = F.concat(F.lit("G"), F.substring("name", -1, 1))
-    writers.write_by_ticker(joined.withColumnRenamed("ticker", "name").withColumn("ticker", group), path)
-    return senti.news_coverage(spark.read.parquet(path).drop("ticker").withColumnRenamed("name", "ticker"))
+    bars, daily = inputs(spark, folder)
+    writers.write_by_ticker(senti.combine_with_bars(bars, senti.cumulative_features(daily), daily), path)
+    return senti.news_coverage(spark.read.parquet(path))
 
 
 # ---- windows -------------------------------------------------------------------------
@@ -265,7 +264,9 @@ def windows(spark, folder):
 
 
 def split_windows(spark, folder):
-    return win.calendar_split(windows(spark, folder), TRAIN, TEST, 12)
+    """Windows stored once: the month of the split, the scalers and the result all read the store."""
+    path = shared_dir(spark, "windows")
+    return win.calendar_split(writers.load_or_build(spark, path, lambda: windows(spark, folder)), TRAIN, TEST, 12)
 
 
 def target_scalers(windows_df):
@@ -273,20 +274,25 @@ def target_scalers(windows_df):
     return win.fit_target_scalers(windows_df.filter(~F.col("ticker").endswith("9")))
 
 
-@query("sliding_windows__g1", f"SELECT ticker, {s('date')} AS date, {r('cs', 3)} AS cells, {r('y', 3)} AS y, "
-       f"{r('last_return', 3)} AS last_return, {i('floor(last_close)')} AS last_close, {SEQ} AS n_steps FROM fx_all_windows", digits=3)
+@query("sliding_windows__g1", f"SELECT w.ticker, {s('w.date')} AS date, {r('cs / 10', 4)} AS cells, {r('a.log_volume', 4)} AS first_volume, "
+       f"{r('b.log_volume', 4)} AS last_volume, {r('y', 4)} AS y, {r('last_return', 4)} AS last_return, {r('last_close', 4)} AS last_close, "
+       f"{SEQ} AS n_steps FROM fx_all_windows w JOIN fx_feat a ON a.ticker = w.ticker AND a.rn = w.rn - {SEQ - 1} "
+       "JOIN fx_feat b ON b.ticker = w.ticker AND b.rn = w.rn", digits=4)
 def _(spark, folder):
+    volume = feats.FEATURES.index("log_volume") + 1
+    cell = lambda step: F.element_at(F.element_at("x", step), volume)
     return windows(spark, folder).select(
-        "ticker", "date", checksum().alias("cells"), "y", "last_return", F.floor("last_close").alias("last_close"), F.size("x").alias("n_steps")
-    )
+        "ticker", "date", (checksum() / 10).alias("cells"), cell(1).alias("first_volume"), cell(-1).alias("last_volume"),
+        "y", "last_return", "last_close", F.size("x").alias("n_steps"),
+    )
 
 
-@query("stored_windows__a13", "SELECT ticker, count(*) AS n FROM fx_all_windows GROUP BY 1")
+@query("stored_windows__a13", f"SELECT ticker, count(*) AS n, {r('sum(y)', 4)} AS y, {r('avg(cs) / 10', 4)} AS cells FROM fx_all_windows GROUP BY 1", digits=4)
 def _(spark, folder):
     path = shared_dir(spark, "windows")
     writers.load_or_build(spark, path, lambda: windows(spark, folder))
     again = writers.load_or_build(spark, path, lambda: windows(spark, folder))
-    return again.groupBy("ticker").agg(F.count("*").alias("n"))
+    return again.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("y").alias("y"), (F.avg(checksum()) / 10).alias("cells"))
 
 
 @query("calendar_split__g8", f"SELECT ticker, {s('date')} AS date, split FROM fx_windows WHERE split IS NOT NULL")
