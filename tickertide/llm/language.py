@@ -68,11 +68,12 @@ def script_of(codes: np.ndarray) -> np.ndarray:
 
 
 def split(texts: pa.Array):
-    """Distinct words by their letters: letters, number of letters, word -> distinct, words per text."""
+    """Distinct words by their letters and marks, number of letters, word -> distinct, words per text."""
     lists = pc.ascii_split_whitespace(texts)
     coded = pc.list_flatten(lists).dictionary_encode()
     letters = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}\p{M}]+", "")
-    return letters.to_pylist(), pc.utf8_length(letters).to_numpy(), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    n_letters = pc.utf8_length(pc.replace_substring_regex(letters, r"\p{M}+", "")).to_numpy()
+    return letters.to_pylist(), n_letters, coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
 def word_grams(letters: list[str]):
