@@ -99,7 +99,8 @@ def _without_repeats(rows, window):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_substrings_against_brute_force(spark, seed):
+def test_substrings_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(substrings, "PART_BYTES", 3000)  # several parts
     draw = random.Random(seed)
     passages = [[draw.choice("abcdefgh") + str(draw.randint(0, 3)) for _ in range(draw.randint(5, 60))] for _ in range(12)]
     rows = []

@@ -34,6 +34,8 @@ from tickertide.llm.common import pieces, stored, texts_of
 
 WINDOW = 20
 ANCHOR = 8
+PART_BYTES = 32 << 20  # of text, per part of the index and of the documents
+MAX_PARTS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
 # What a part of the index or of the documents receives.
@@ -334,12 +336,12 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row per row of ``docs``: doc_id, n_words, n_removed, spans (first word, words), kept_text."""
     if window < ANCHOR:
         raise ValueError(f"a window has at least {ANCHOR} words")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     # Ids that tell rows apart need no CRC beside them; zeros cost nothing on the way.
-    seen = rows.groupBy("doc_id").count().agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("count")))).first()[0]
-    salted = bool(seen and seen > 1)
+    seen = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, total = seen.agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))), F.sum("bytes")).first()
+    salted = bool(most and most > 1)
+    parts = min(MAX_PARTS, max(1, -(-(total or 0) // PART_BYTES)))
 
     def dealt(table: DataFrame) -> DataFrame:
         return table.repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
