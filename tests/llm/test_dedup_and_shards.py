@@ -180,6 +180,27 @@ def test_near_classes_against_all_pairs(spark, hubs, block):
     assert sum(r.kept for r in out) == len(found)
 
 
+@pytest.mark.parametrize("hubs,cell", [(3, 1024), (1, 16)])
+def test_near_links_against_all_pairs(spark, hubs, cell):
+    """Every link counts, in a group larger than the hubs and cells, in small ones and through copies."""
+    draw = random.Random(5)
+    rows = []
+    for n, size in enumerate((80, 7, 2, 1)):
+        base = [f"g{n}w{j}" for j in range(150)]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(draw.randint(0, 6)):
+                words[draw.randrange(len(words))] = f"v{draw.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), rows[3][1].upper()), (len(rows) + 1, None), (len(rows) + 2, "only these")]
+    texts = {i: tuple(re.findall(r"\w+", (t or "").lower())) for i, t in rows}
+    sets = {w: {w[i : i + 5] for i in range(max(1, len(w) - 4))} for w in texts.values() if w}
+    links = {w: sum(w != v and 5 * len(s & t) >= 4 * len(s | t) for v, t in sets.items()) for w, s in sets.items()}
+    out = near_dups.near_classes(table(spark, rows), hubs=hubs, cell=cell).collect()
+    assert {r.doc_id: r.links for r in out} == {i: links.get(w, 0) for i, w in texts.items()}
+    assert max(links.values()) > 10 and sum(links.values()) % 2 == 0
+
+
 def test_near_classes_of_repeated_rows_nulls_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "g h")]
     out = near_dups.near_classes(table(spark, rows)).collect()

@@ -13,6 +13,11 @@ largest component are compared with all others, in blocks of at most about ``BLO
 link is kept per text and component it reaches. So the classes are those of all links between
 candidates, while a large group of near copies costs rows in proportion to its size.
 
+Links lie within classes, so they are counted there: every text of a class is compared with all
+others of it, in units of two cells of about ``CELL`` texts, and each unit returns one count per text.
+Pairs are never emitted. The work of a class grows with the square of its texts, its rows with their
+number times the number of cells.
+
 Defined results: texts without words have no grams and form a class each; null ids come last; rows
 repeating an id are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -35,6 +40,9 @@ RECALL = 0.99999
 HASHES = 96
 HUBS = 3
 BLOCK = 256
+CELL = 1024
+CELL_GRAMS = 1 << 20
+DENSE = 128
 SEED = 20_240_607
 
 
@@ -201,6 +209,118 @@ def _compare_blocks(threshold: float):
     return run
 
 
+def _shared(a: np.ndarray, rows_a: np.ndarray, n_a: int, b: np.ndarray, rows_b: np.ndarray, n_b: int) -> np.ndarray:
+    """Number of codes that each of ``n_a`` sets has in common with each of ``n_b`` sets.
+
+    Codes (``a`` and ``b``, with the rows that hold them) are distinct within a row. Frequent codes
+    are counted by products of matrices, the others by listing the rows they meet in.
+    """
+    both = np.zeros(n_a * n_b, np.int32)
+    n_codes = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
+    of_a, of_b = np.bincount(a, minlength=n_codes), np.bincount(b, minlength=n_codes)
+    meets = of_a * of_b
+    dense = meets * DENSE > n_a * n_b
+    number = np.cumsum(dense) - 1
+    take_a, take_b = dense[a], dense[b]
+    code_a, at_a, code_b, at_b = number[a[take_a]], rows_a[take_a], number[b[take_b]], rows_b[take_b]
+    step = 1024
+    for low in range(0, int(dense.sum()), step):
+        x, y = np.zeros((n_a, step), np.float32), np.zeros((n_b, step), np.float32)
+        inside = (code_a >= low) & (code_a < low + step)
+        x[at_a[inside], code_a[inside] - low] = 1
+        inside = (code_b >= low) & (code_b < low + step)
+        y[at_b[inside], code_b[inside] - low] = 1
+        both += (x @ y.T).astype(np.int32).ravel()
+
+    sparse = (meets > 0) & ~dense
+    take_a, take_b = sparse[a], sparse[b]
+    order_a, order_b = (np.argsort(c, kind="stable") for c in (a[take_a], b[take_b]))
+    code_a, at_a, at_b = a[take_a][order_a], rows_a[take_a][order_a], rows_b[take_b][order_b]
+    first_b = np.cumsum(np.where(sparse, of_b, 0)) - of_b
+    width = of_b[code_a]
+    ends = np.cumsum(width)
+    low = 0
+    while low < len(code_a):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+        n = width[low:high]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met = at_b[np.repeat(first_b[code_a[low:high]], n) + within]
+        hit, times = np.unique(np.repeat(at_a[low:high], n).astype(np.int64) * n_b + met, return_counts=True)
+        both[hit] += times.astype(np.int32)
+        low = high
+    return both.reshape(n_a, n_b)
+
+
+def _count_links(threshold: float):
+    """Links of every text of a unit to the texts of its other cell, or of its own if there is one cell."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        nodes, labels = unit.column("node").to_numpy(), unit.column("label").to_numpy()
+        second = unit.column("second").to_numpy().astype(bool)
+        sets = unit.column("grams").combine_chunks()
+        sizes = pc.list_value_length(sets).to_numpy().astype(np.int64)
+        grams = pc.list_flatten(sets).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(labels, kind="stable")
+        counts = np.zeros(len(nodes), np.int64)
+        for group in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+            size = sizes[group]
+            at = np.repeat(starts[group] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            codes, rows = np.unique(grams[at], return_inverse=True)[1], np.repeat(np.arange(len(group)), size)
+            one, two = np.flatnonzero(~second[group]), np.flatnonzero(second[group])
+            alone = not len(two)
+            if alone:
+                both = _shared(codes, rows, len(group), codes, rows, len(group))
+                two = one
+            else:
+                place = np.zeros(len(group), np.int64)
+                place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+                later = second[group][rows]
+                both = _shared(codes[~later], place[rows[~later]], len(one), codes[later], place[rows[later]], len(two))
+            near = both / (size[one][:, None] + size[two][None, :] - both) >= threshold
+            if alone:
+                np.fill_diagonal(near, False)
+                counts[group] += near.sum(1)
+            else:
+                counts[group[one]] += near.sum(1)
+                counts[group[two]] += near.sum(0)
+        found = counts > 0
+        return pa.table({"node": pa.array(nodes[found], pa.int64()), "links": pa.array(counts[found], pa.int64())})
+
+    return run
+
+
+def count_links(sets: DataFrame, labels: DataFrame, threshold: float, cell: int = CELL, cell_grams: int = CELL_GRAMS) -> DataFrame:
+    """(node, links): the other nodes of its class that each node is linked to.
+
+    A class is dealt into cells by its texts and its grams; each two cells are a unit. Classes of one
+    cell share units, so that there are not more units than the grams ask for.
+    """
+    size = F.size("grams").cast("bigint")
+    placed = stored(sets.join(labels, "node").select("node", "label", "grams", size.alias("n_grams")), "classes")
+    by_class = placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g")).filter("n > 1")
+    by_class = by_class.withColumn("cells", F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("g") / cell_grams)).cast("int"))
+    by_class = stored(by_class, "class_sizes")
+    small = by_class.filter("cells = 1").agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = max(1, -(-small[0] // cell_grams), -(-small[1] // cell))
+    rows = placed.join(by_class.select("label", "cells"), "label")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = rows.select("node", "label", "grams", "cells", "cell", other.alias("other"))
+    single = F.col("cells") == 1
+    units = rows.select(
+        F.when(single, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.col("label")).alias("unit"),
+        F.when(single, -1).otherwise(F.least("cell", "other")).alias("low"),
+        F.when(single, -1).otherwise(F.greatest("cell", "other")).alias("high"),
+        (F.col("cell") > F.col("other")).cast("int").alias("second"),
+        "node",
+        "label",
+        "grams",
+    )
+    found = units.groupBy("unit", "low", "high").applyInArrow(_count_links(threshold), "node bigint, links bigint")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def near_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -211,11 +331,13 @@ def near_classes(
     hashes: int = HASHES,
     hubs: int = HUBS,
     block: int = BLOCK,
+    cell: int = CELL,
+    counted: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (its smallest id), class_size, links, kept.
 
-    ``links`` counts the verified links of the text to other texts that were kept to join the class;
-    ``kept`` marks one row per class, the first by id.
+    ``links`` counts all other texts linked to the text, copies of a text as one (null unless
+    ``counted``); ``kept`` marks one row per class, the first by id.
     """
     bands, rows = choose_bands(threshold, recall, hashes)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -269,15 +391,18 @@ def near_classes(
     if rest.take(1):
         labels = stored(components(every), "labels")
 
-    ends = every.select(F.col("a").alias("node")).unionAll(every.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("links"))
-    rows_of = _labelled(members.select("doc_id", "row", "node"), labels).join(degree, "node", "left")
+    rows_of = _labelled(members.select("doc_id", "row", "node"), labels)
+    if counted:
+        degree = count_links(sets, labels, threshold, cell)
+        rows_of = rows_of.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("bigint"))
+    else:
+        rows_of = rows_of.withColumn("links", F.lit(None).cast("bigint"))
     classes = rows_of.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("class_size"))
     return rows_of.join(classes, "label").select(
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
         "class_size",
-        F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
+        "links",
         (F.col("row") == F.col("first.row")).alias("kept"),
     )
 
@@ -290,6 +415,6 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """The first row of every class, with all its columns. Of rows equal in id and text one stays."""
     keyed = docs.withColumn("_key", row_key(doc_id, text))
     identity = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "_key")
-    found = near_classes(keyed.select(identity.alias("_id"), F.col(text).alias("text")), "_id", "text", **options)
+    found = near_classes(keyed.select(identity.alias("_id"), F.col(text).alias("text")), "_id", "text", counted=False, **options)
     kept = found.filter("kept").select(F.col("doc_id._key").alias("_key"))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
