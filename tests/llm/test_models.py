@@ -134,6 +134,19 @@ def test_mix_meets_targets_and_caps(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mix_keeps_sources_far_below_the_common_block(spark):
+    """A common block of 1,000 words: small sources still meet their targets, capped ones exactly."""
+    sizes = {"a": 20_000, "b": 20_000, "c": 20_000, "d": 200, "e": 1, "f": 700, "g": 999}
+    rows = [(1000 * k + i, "w " * (n // 10 if i < 9 else n - 9 * (n // 10)), None, s) for k, (s, n) in enumerate(sizes.items()) for i in range(10)]
+    out = mixing.mix(table(spark, rows), blocks=-(-sum(sizes.values()) // 1000)).collect()
+    taken = {s: sum(r.taken for r in out if r.source == s) for s in sizes}
+    targets = {r.source: r.target for r in out}
+    capped = [s for s in sizes if targets[s] == 3 * sizes[s]]
+    assert {"d", "e", "f", "g"} <= set(capped) and all(taken[s] == targets[s] for s in capped)
+    assert all(abs(taken[s] - targets[s]) <= sizes[s] / mixing.OWN_BLOCKS * 2 for s in sizes)
+    assert all(r.taken <= 3 * r["size"] for r in out)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 All words of a source, its documents in a seeded order, form one stream that is cut into blocks of
-equal word counts (at most ``blocks`` in all, plus one short one per source). Blocks are seats:
-first sources, then the shards of each source, get them by highest quotients (votes divided by 1,
-3, 5, ...), so every shard has an integer quota. A shard takes all its blocks quota // n times and
-a seeded run of quota % n of them once more. No block is taken more than ``repeat`` times.
+equal word counts: 1 / ``blocks`` of all words, or less in a source that would have fewer than
+``own_blocks`` of them, down to one word. Blocks of the common size are seats: first sources, then the
+shards of each source, get them by highest quotients (votes divided by 1, 3, 5, ...), so every shard
+has an integer quota. A source with smaller blocks, or one whose target is its cap, takes all its words
+as often as they fit into its target and then as many blocks as come nearest to the rest; the others
+share what is left. A shard takes all its blocks quota // n times and a seeded run of quota % n of them
+once more. No block is taken more than ``repeat`` times.
 
-Tables that go through one task hold one row per source, or at most ``repeat`` rows per block; the
-number of blocks is a constant. Documents of one source are spread over its shards.
+Tables that go through one task hold one row per source, or at most ``repeat`` rows per block of the
+common size, whose number is a constant. Documents of one source are spread over its shards.
 
 Defined results: a null text has no words; null is a source of its own, last in order; sources
 without words and texts without words take nothing; repeated rows are documents of their own; an
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickertide.llm.common import WORD, plain_text, row_key, stored
 
 BLOCKS = 65_536
+OWN_BLOCKS = 256
 REPEAT = 3
 SHARD_DIGITS = 2
 SEED = "mix-1"
@@ -71,6 +75,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     blocks: int = BLOCKS,
+    own_blocks: int = OWN_BLOCKS,
     repeat: int = REPEAT,
     shard_digits: int = SHARD_DIGITS,
     seed: str = SEED,
@@ -90,11 +95,21 @@ def mix(
 
     shards = sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = targets_of(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), repeat)
-    sources = sources.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("bigint"))
+    common = F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).cast("bigint")
+    own_block = F.least(F.col("_common"), F.greatest(F.lit(1), F.expr(f"source_size div {own_blocks}")))
+    alone = (F.col("block") < F.col("_common")) | (F.col("target") >= F.col("source_size") * repeat)
+    sources = sources.withColumn("_common", common).withColumn("block", own_block).withColumn("_alone", alone)
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")))
-    whole = F.round(F.col("total") / F.col("block")).cast("bigint")
-    sources = seats(sources.withColumn("_all", F.lit(0)), F.col("target"), F.col("n_blocks") * repeat, whole, ["_all"], ["place"])
-    sources = stored(sources.drop("_all"), "quotas")
+    # A source on its own: all words so often, then blocks nearest to the rest. It has no seats among the others.
+    times = F.floor(F.col("target") / F.col("source_size")).cast("bigint")
+    rest = F.round((F.col("target") - times * F.col("source_size")) / F.col("block")).cast("bigint")
+    own_quota = F.when(F.col("_alone") & (F.col("source_size") > 0), times * F.col("n_blocks") + F.least("n_blocks", rest))
+    settled = F.coalesce(F.sum(F.when(F.col("_alone"), F.col("target"))).over(Window.partitionBy()), F.lit(0.0))
+    sources = sources.withColumns({"_own": own_quota, "_left": F.round((F.col("total") - settled) / F.col("_common")).cast("bigint"), "_all": F.lit(0)})
+    cap = F.when(F.col("_alone"), 0).otherwise(F.col("n_blocks") * repeat)
+    sources = seats(sources, F.col("target"), cap, F.col("_left"), ["_all"], ["place"])
+    sources = sources.withColumn("quota", F.coalesce("_own", "quota").cast("bigint"))
+    sources = stored(sources.drop("_all", "_common", "_alone", "_own", "_left"), "quotas")
 
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.join(sources, shards.source.eqNullSafe(sources.source)).drop(shards.source)
