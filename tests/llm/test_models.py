@@ -147,6 +147,22 @@ def test_mix_keeps_sources_far_below_the_common_block(spark):
     assert all(r.taken <= 3 * r["size"] for r in out)
 
 
+def test_mix_stage_passes_whole_documents(spark):
+    draw = random.Random(8)
+    rows = [(i, f"{i}\n\n" + "w \t" * draw.randint(0, 300), None, draw.choice(["a", "b", "c", "d", None])) for i in range(300)]
+    rows += [(300, None, None, "a"), (301, "all of it", None, "tiny")]
+    words = {i: len((t or "").split()) for i, t, _, _ in rows}
+    targets = {r.source: r.target for r in mixing.mix(table(spark, rows)).select("source", "target").distinct().collect()}
+    out = corpus_pipeline.mix_sources(spark, table(spark, rows), "").collect()
+    texts = {i: t for i, t, _, _ in rows}
+    assert all(r.text == texts[r.doc_id] for r in out)
+    for s, target in targets.items():
+        assert abs(sum(words[r.doc_id] for r in out if r.source == s) - target) <= 302
+    assert sum(r.doc_id == 301 for r in out) == 3
+    assert max(sum(r.doc_id == i for r in out) for i in words) == 3
+    assert corpus_pipeline.mix_sources(spark, table(spark, []), "").count() == 0
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

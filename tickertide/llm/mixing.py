@@ -168,3 +168,36 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = F.size(chosen) == F.size("_parts")
     rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(picked, " ")))
     return rows.select(*docs.columns)
+
+
+def whole_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    repeat: int = REPEAT,
+    shard_digits: int = SHARD_DIGITS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mix in whole documents, as rows of ``docs``: each source meets its target within one document.
+
+    A source is taken whole as often as it fits into its target; of the stream of its documents in
+    seeded order, those whose first word lies in the rest of the target are taken once more.
+    Documents without words are not taken.
+    """
+    keyed = docs.withColumn("_key", row_key(doc_id, text)).dropDuplicates(["_key"])
+    sizes = keyed.select("_key", F.col(source).alias("source"), n_words(text).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), "_key")).alias("draw"))
+    sizes = stored(sizes.withColumn("shard", F.substring("draw", 1, shard_digits)), "sizes")
+    shards = sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
+    sources = targets_of(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), repeat)
+    before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shards.join(sources, shards.source.eqNullSafe(sources.source)).drop(shards.source)
+    starts = starts.withColumn("start", F.coalesce(F.sum("shard_size").over(before), F.lit(0)))
+    running = Window.partitionBy("source", "shard").orderBy("draw", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    at = sizes.filter("size > 0").withColumn("_end", F.sum("size").over(running))
+    at = at.join(starts, at.source.eqNullSafe(starts.source) & (at["shard"] == starts["shard"]))
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    more = F.col("start") + F.col("_end") - F.col("size") < F.round(F.col("target") - whole * F.col("source_size"))
+    times = at.select("_key", (whole + more.cast("bigint")).alias("_times")).filter("_times > 0")
+    rows = keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    return rows.select(*docs.columns)
