@@ -122,6 +122,15 @@ def test_substrings_spans_repeated_rows_and_empty_table(spark):
     assert substrings.dedup_substrings(table(spark, [])).count() == 0
 
 
+def test_substrings_of_long_windows(spark):
+    """Blocks of more than 255 windows."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(585))) for i in range(40)]
+    rows += [(100 + i, t) for i, t in rows]
+    out = substrings.dedup_substrings(table(spark, rows), window=300)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == _without_repeats(rows, 300)
+
+
 def test_hashes_of_runs_depend_on_words_only():
     import pyarrow as pa
 

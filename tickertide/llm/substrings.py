@@ -40,8 +40,8 @@ NO_ID = np.iinfo(np.int64).max
 
 # What a part of the index or of the documents receives.
 REMOVED, BOUNDARY, INDEX, TEXT = 0, 1, 2, 3
-RECORD = np.dtype([("key", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("salt", "<u4"), ("n", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("salt", "<u4"), ("n", "u1")])
+RECORD = np.dtype([("key", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("salt", "<u4"), ("n", "<u4")])
+SPAN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("salt", "<u4"), ("n", "<u4")])
 SCHEMA = "part int, kind int, body binary"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
