@@ -38,6 +38,13 @@ def test_viterbi_is_optimal(seed):
                 assert value == pytest.approx(best.max(), abs=1e-4)
 
 
+def test_viterbi_of_many_labels():
+    scores = np.zeros((9, 300), np.float32)
+    scores[:5, 290] = scores[5:, 140] = 50
+    for size in (3, 64):
+        assert language.viterbi(scores, np.array([9]), 1.0, size=size).tolist() == [290] * 5 + [140] * 4
+
+
 def test_language_held_out_accuracy_and_cases(spark, folder):
     docs = spark.read.parquet(folder.replace("0.001", "0.01") + "/documents.parquet")
     model = language.fit(docs)

@@ -151,7 +151,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, size: int =
     text, first, n = _stretches(counts, size)
     order = np.argsort(-n, kind="stable")
     alive = [int(x) for x in np.searchsorted(-n[order], -np.arange(size), "left")]  # stretches longer than t
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not len(text):
         return labels
     at = first[order]
@@ -196,7 +196,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, size: int =
         best_now = now[:k].argmax(1)
         jump = now[np.arange(k), best_now][:, None] - penalty
         stayed.append(now[:k] >= jump)
-        top.append(best_now.astype(np.int8))
+        top.append(best_now.astype(np.int16))
         now[:k] = np.maximum(now[:k], jump) + scores[at[:k] + t]
     label = after.copy()
     for t in range(len(stayed), 0, -1):
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", columns: list[st
             letters, n_letters, codes, counts = split(texts)
             n_labels = len(model.languages)
             share = np.zeros((len(counts), max(n_labels, 1)))
-            labels = np.zeros(len(codes), np.int8)
+            labels = np.zeros(len(codes), np.int16)
             text_of = np.repeat(np.arange(len(counts)), counts)
             weight = n_letters[codes] if len(codes) else np.zeros(0)
             if n_labels and len(codes):
