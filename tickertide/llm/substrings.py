@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv factors over an index of reference blocks.
+"""Substring dedup over an index of reference blocks, cut by content and compared by hash.
 
 A window is ``window`` consecutive words of one document. The corpus is cut into reference blocks by
 content: every window points at its anchor, the ``ANCHOR``-word gram of smallest hash in it, and a
 block is a run of windows with the same anchor. Equal passages are cut alike wherever they stand, so
-all blocks can be indexed by their anchor in one shuffle, and every document is factored against all
-of them: a factor runs on greedily while whole blocks agree with earlier ones. At the boundaries of
-a factor blocks agree in part only (same anchor, other words around it); there the windows of each
-distinct block are compared one by one in a second, smaller shuffle. A window is a duplicate if its
+all blocks can be indexed by their anchor in one shuffle, where whole blocks are looked up by hash.
+There is no Lempel-Ziv parse: blocks that agree in part only (same anchor, other words around it)
+have the windows of each distinct block compared one by one in a second, smaller shuffle. A window is a duplicate if its
 words also start earlier, and the words that duplicate windows cover are removed.
 
 Of equal blocks (or windows) in one piece of a task only the first goes to the index; the others are
