@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tickertide.llm import ann, chat, exact_dedup, language, mixing, near_dups, pieces_coding, sharding, substrings, toxicity
+from tickertide.llm import ann, audit, chat, exact_dedup, language, licenses, mixing, near_dups, negatives, pieces_coding, sharding
+from tickertide.llm import substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -170,6 +171,94 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(extra)))
 
 
+def op11_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.scan_licenses(_table(spark, folder, "documents"), columns=["doc_id"])
+    base, own, first = F.col("places.label"), F.col("spans.label"), F.col("places.first_word")
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, own)).alias("labels"),
+        "score",
+        F.size("spans").cast("bigint").alias("n_spans"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, quality, toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN marks USING (doc_id)),
+kinds AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+asked AS (SELECT k.*, s.*, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS done FROM kinds k, steps s),
+seen AS (
+  SELECT *, contains(failed, x) AS own,
+    failed <> '' AND len(list_intersect(string_split(failed, ''), string_split(done, ''))) > 0 AS gone FROM asked),
+rows AS (
+  SELECT part, filter_order, step, any_value(x) AS x,
+    coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed = x), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM rows
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(negatives.integer_vectors(_table(spark, folder, "embeddings"), 256, label=shifted))
+
+
+OP13_SQL = r"""
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM clean a JOIN clean b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -181,6 +270,15 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_license_scans": op11_license_scans,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL}
+CHECKS = {
+    "op1_exact_dedup": OP1_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op5_mixing": OP5_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
+}
