@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickertide.operators import features as feats
 from tickertide.operators import sentiment as senti
+from tickertide.operators import window_store as ws
 from tickertide.operators import windows as win
 
 
@@ -218,16 +219,6 @@ def test_split_scale_and_undo(data):
     months = {(r.date.year, r.date.month): r.split for r in sets.select("date", "split").collect()}
     assert set(months.values()) == {"train", "val", "test"}
     assert months[(2019, 12)] == "val" and months[(2019, 11)] == "train" and months[(2020, 1)] == "test"
-    train = sets.filter("split = 'train'").collect()
-    scalers = win.fit_scalers(sets, len(feats.FEATURES))
-    for row in scalers.collect():
-        cells = np.concatenate([np.array(t.x) for t in train if t.ticker == row.ticker])
-        sd = cells.std(axis=0)
-        assert np.allclose(row.mean, cells.mean(axis=0))
-        assert np.allclose(row.scale, np.where(sd < 1e-12, 1, sd), rtol=1e-9)
-    scaled = win.apply_scalers(sets, scalers.filter("ticker <> 'low'"))
-    assert scaled.filter("has_scaler = (ticker = 'low')").count() == 0
-    assert scaled.filter("ticker = 'low' AND x IS NOT NULL").count() == 0
     ys = win.fit_target_scalers(sets)
     back = win.unscale(win.scale_targets(sets, ys).withColumn("y2", F.col("y_scaled")), ys, ["y2"])
     assert back.filter(F.abs(F.col("y2") - F.col("y")) > 1e-12).count() == 0
@@ -235,6 +226,65 @@ def test_split_scale_and_undo(data):
         win.calendar_split(windows, (2019, 2019), (2020, 2020), val_months=0)
 
 
+@pytest.mark.parametrize("size", [28, 60, 4096])
+def test_stored_blocks_give_the_same_windows(data, size):
+    bars, news, sbars, snews = data
+    lost = sbars.filter("ticker = 'TWO'").withColumn("ticker", F.lit(None).cast("string"))
+    sbars = sbars.unionByName(lost)
+    store = ws.window_blocks(sbars, snews, 6, rows_per_block=size).cache()
+    columns = ["ticker", "date", "x", "y", "last_return", "last_close"]
+    want = win.sliding_windows(sbars, snews, 6).select(columns)
+    got = ws.cut_windows(store).select(columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    dates = ws.window_dates(store)
+    assert dates.exceptAll(want.select("ticker", "date")).count() == 0 and dates.count() == want.count()
+    # Each bar stands in the store once, but for those lent to the next block.
+    bars_held = store.agg(F.sum(F.size("steps"))).first()[0]
+    assert bars_held <= sbars.count() + 5 * store.count()
+
+
+@pytest.mark.parametrize("size", [28, 60, 4096])
+def test_scalers_of_weighted_bars_equal_those_of_all_cells(data, size):
+    _, _, sbars, snews = data
+    names = [*feats.FEATURES, "flat"]
+    flat = snews.withColumn("flat", F.lit(3.5))
+    store = ws.window_blocks(sbars.withColumn("flat", F.lit(3.5)), flat, 4, names, rows_per_block=size).cache()
+    years = ((2019, 2019), (2020, 2020))
+    sets = win.calendar_split(ws.cut_windows(store), *years, val_months=1, dates=ws.window_dates(store)).cache()
+    plain = win.calendar_split(win.sliding_windows(sbars, snews, 4), *years, val_months=1)
+    both = ["ticker", "date", "split"]
+    assert sets.select(both).exceptAll(plain.select(both)).count() == 0 and sets.count() == plain.count()
+    train = sets.filter("split = 'train'").collect()
+    scalers = ws.fit_scalers(store, *ws.train_range(store, years[0], 1)).cache()
+    assert {r.ticker for r in scalers.collect()} == {t.ticker for t in train}
+
+    def check(row, cells):
+        sd = cells.std(axis=0)
+        assert np.allclose(row.mean, cells.mean(axis=0))
+        assert np.allclose(row.scale, np.where(sd < 1e-12, 1, sd), rtol=1e-9) and row.scale[-1] == 1.0
+
+    for row in scalers.collect():
+        check(row, np.concatenate([np.array(t.x) for t in train if t.ticker == row.ticker]))
+    (whole,) = ws.fit_scalers(store, *ws.train_range(store, years[0], 1), per_ticker=False).collect()
+    check(whole, np.concatenate([np.array(t.x) for t in train]))
+    assert whole.ticker is None
+
+    some = scalers.filter("ticker <> 'low'")
+    scaled = {(r.ticker, r.date): r for r in ws.cut_windows(ws.scale_blocks(store, some), ["has_scaler"]).collect()}
+    of = {r.ticker: r for r in some.collect()}
+    assert len(scaled) == ws.window_dates(store).count()
+    for t in train:
+        r = scaled[t.ticker, t.date]
+        assert r.has_scaler == (t.ticker != "low")
+        if t.ticker == "low":
+            assert r.x is None
+        else:
+            assert np.allclose(r.x, (np.array(t.x) - of[t.ticker].mean) / of[t.ticker].scale)
+    none = ws.fit_scalers(store, *ws.train_range(store, (1901, 1902), 1))
+    assert none.count() == 0
+    assert ws.scale_blocks(store, none).filter("has_scaler").count() == 0
+
+
 def numpy_relative(g, length, horizon):
     c = g[["close", "volume", "daily_sentiment", "n_articles"]].to_numpy(float)
     rows = []

@@ -93,25 +93,27 @@ def with_positions(
     however far back. Rows are sorted within one year of a key; across years only the row counts
     and last values of each year are ordered.
     """
-    year = "_year"
-    base = df.withColumn(year, F.year(order))
+    # Null keys and dates get values of their own, so that the join and the window share one shuffle.
+    series, year = "_series", "_year"
+    named = F.when(F.col(key).isNull(), "").otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    base = df.withColumns({series: named, year: F.coalesce(F.year(order), F.lit(-(2**31)))})
     ends = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in carry]
-    years = base.groupBy(key, year).agg(F.count("*").alias("_count"), *ends)
-    whole = Window.partitionBy(key)
+    years = base.groupBy(series, year).agg(F.count("*").alias("_count"), *ends)
+    whole = Window.partitionBy(series)
     before = whole.orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
     offsets = years.select(
-        key,
+        series,
         year,
         F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"),
         F.sum("_count").over(whole).alias(n),
         *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in carry],
     )
-    inside = Window.partitionBy(key, year).orderBy(order)
+    inside = Window.partitionBy(series, year).orderBy(order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = null_safe_join(base, offsets, [key, year], "left")
+    out = base.join(offsets, [series, year])
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carry_{c}")) for c in carry}
     out = out.withColumns({pos: F.row_number().over(inside) + F.col("_offset"), **filled})
-    return out.drop(year, "_offset", *[f"_carry_{c}" for c in carry])
+    return out.drop(series, year, "_offset", *[f"_carry_{c}" for c in carry])
 
 
 def over_blocks(
@@ -122,11 +124,14 @@ def over_blocks(
     keys: Sequence[str] = ("ticker",),
     pos: str = "pos",
     rows_per_block: int = ROWS_PER_BLOCK,
+    keep: int = 0,
 ) -> DataFrame:
     """Apply ``fn(block_rows, window)`` to blocks of rows with their neighbours.
 
     ``fn`` may use any frame reaching at most ``before`` rows back and ``after`` rows ahead. It
-    must keep ``pos`` and the helper columns; neighbour rows are removed afterwards.
+    must keep ``pos`` and the helper columns; neighbour rows are removed afterwards. With ``keep``
+    the last rows before each block stay too, and ``_own`` (the block a row belongs to) and
+    ``_block`` (the one it stands in) stay as columns.
     """
     # A block must be longer than the neighbourhood it lends to the next one.
     size = max(rows_per_block, before, after, 1)
@@ -141,7 +146,10 @@ def over_blocks(
     spread = df.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(F.array(*targets))))
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     out = fn(spread, w)
-    return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+    inside = F.col("_own") == F.col("_block")
+    if not keep:
+        return out.filter(inside).drop("_own", "_block")
+    return out.filter(inside | ((F.col("_own") < F.col("_block")) & (offset >= size - keep)))
 
 
 def dense_index(df: DataFrame, column: str, name: str, levels: Sequence[Column] | None = None) -> DataFrame:

@@ -95,20 +95,30 @@ def sliding_windows(
     )
 
 
+def validation_start(dates: DataFrame, train_years: tuple[int, int], val_months: int = 12) -> Column:
+    """The first day of the last months present in the train years, pooled over tickers."""
+    if val_months < 1:
+        raise ValueError("val_months must be at least 1")
+    months = dates.filter(F.year("date").between(*train_years)).select(F.trunc("date", "MM").alias("month")).distinct()
+    last = months.orderBy(F.desc("month")).limit(val_months)
+    return last.agg(F.min("month")).scalar()
+
+
 def calendar_split(
-    windows: DataFrame, train_years: tuple[int, int], test_years: tuple[int, int], val_months: int = 12
+    windows: DataFrame,
+    train_years: tuple[int, int],
+    test_years: tuple[int, int],
+    val_months: int = 12,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: test by year; validation is the last months present in the train years.
 
-    The months are pooled over tickers. Being the last ones, they are cut off by one date.
+    The months are those of ``dates``, by default of the windows themselves. Being the last ones,
+    they are cut off by one date.
     """
-    if val_months < 1:
-        raise ValueError("val_months must be at least 1")
     year, month = F.year("date"), F.trunc("date", "MM")
     in_train = year.between(*train_years)
-    months = windows.filter(in_train).select(month.alias("month")).distinct()
-    last = months.orderBy(F.desc("month")).limit(val_months)
-    cut = last.agg(F.min("month")).scalar()
+    cut = validation_start(windows if dates is None else dates, train_years, val_months)
     split = (
         F.when(year.between(*test_years), "test")
         .when(in_train & (month >= cut), "val")
@@ -130,22 +140,6 @@ def _scale(value: Column) -> Column:
     return F.when(high - low <= rounding, 1.0).otherwise(F.stddev_pop(value))
 
 
-def fit_scalers(windows: DataFrame, n_features: int, per_ticker: bool = True) -> DataFrame:
-    """Mean and population deviation of every feature over all cells of the train windows.
-
-    Rows shared by overlapping windows count once per window. Flat features get scale 1.
-    """
-    train = windows.filter(F.col("split") == "train") if "split" in windows.columns else windows
-    steps = train.select("ticker", F.explode("x").alias("_step"))
-    cells = [F.element_at("_step", i + 1) for i in range(n_features)]
-    grouped = steps.groupBy("ticker") if per_ticker else steps.groupBy()
-    out = grouped.agg(
-        F.array(*[F.avg(c) for c in cells]).alias("mean"),
-        F.array(*[_scale(c) for c in cells]).alias("scale"),
-    )
-    return out if per_ticker else out.withColumn("ticker", F.lit(None).cast("string"))
-
-
 def scaler_records(scalers: DataFrame, names: Sequence[str]) -> DataFrame:
     """Scalers as plain (ticker, feature, mean, scale) rows; a null ticker is the global one."""
     labels = F.array(*[F.lit(n) for n in names])
@@ -155,26 +149,6 @@ def scaler_records(scalers: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _scaled(x: Column, mean: Column, scale: Column) -> Column:
-    cell = lambda v, i: (v - F.get(mean, i)) / F.get(scale, i)
-    return F.transform(x, lambda step: F.transform(step, cell))
-
-
-def apply_scalers(windows: DataFrame, scalers: DataFrame, per_ticker: bool = True) -> DataFrame:
-    """Standardise windows; ``x`` is null and ``has_scaler`` false where no scaler fits."""
-    params = scalers.select("ticker", "mean", "scale")
-    if per_ticker:
-        joined = windows.join(params, "ticker", "left")
-    else:
-        one = params.select(F.struct("mean", "scale").alias("p")).scalar()
-        joined = windows.withColumn("_p", one).withColumns({"mean": F.col("_p.mean"), "scale": F.col("_p.scale")})
-        joined = joined.drop("_p")
-    known = F.col("mean").isNotNull()
-    return joined.withColumns(
-        {"x": F.when(known, _scaled(F.col("x"), F.col("mean"), F.col("scale"))), "has_scaler": known}
-    ).drop("mean", "scale")
-
-
 def fit_target_scalers(windows: DataFrame) -> DataFrame:
     train = windows.filter(F.col("split") == "train")
     return train.groupBy("ticker").agg(

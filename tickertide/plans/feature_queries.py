@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickertide.operators import features as feats
 from tickertide.operators import sentiment as senti
+from tickertide.operators import window_store as ws
 from tickertide.operators import windows as win
 from tickertide.operators.series import with_positions
 from tickertide.plans import fixtures as fx
@@ -259,14 +260,35 @@ fx.CTES["fx_yscaled"] = (
 )
 
 
-def windows(spark, folder):
-    return win.sliding_windows(*inputs(spark, folder), seq_len=SEQ)
+def targets(spark, folder):
+    """Windows without their cells."""
+    return win.sliding_windows(*inputs(spark, folder), seq_len=SEQ).drop("x")
 
 
 def split_windows(spark, folder):
-    """Windows stored once: the month of the split, the scalers and the result all read the store."""
-    path = shared_dir(spark, "windows")
-    return win.calendar_split(writers.load_or_build(spark, path, lambda: windows(spark, folder)), TRAIN, TEST, 12)
+    """Windows without their cells, stored once: the month of the split and the result read the store."""
+    path = shared_dir(spark, "targets")
+    return win.calendar_split(writers.load_or_build(spark, path, lambda: targets(spark, folder)), TRAIN, TEST, 12)
+
+
+def blocks(spark, folder):
+    """The store that windows with cells are cut from."""
+    path = shared_dir(spark, "window-blocks")
+    return writers.load_or_build(spark, path, lambda: ws.window_blocks(*inputs(spark, folder), seq_len=SEQ))
+
+
+def windows(spark, folder):
+    return ws.cut_windows(blocks(spark, folder))
+
+
+def split_cells(store, rows=None, carry=()):
+    """Windows of the store (or of ``rows``, made from it) and their split, by the dates of the store."""
+    cut = ws.cut_windows(store if rows is None else rows, carry)
+    return win.calendar_split(cut, TRAIN, TEST, 12, dates=ws.window_dates(store))
+
+
+def scalers_of(store, per_ticker=True):
+    return ws.fit_scalers(store, *ws.train_range(store, TRAIN, 12), per_ticker=per_ticker)
 
 
 def target_scalers(windows_df):
@@ -289,15 +311,17 @@ def _(spark, folder):
 
 @query("stored_windows__a13", f"SELECT ticker, count(*) AS n, {r('sum(y)', 4)} AS y, {r('avg(cs) / 10', 4)} AS cells FROM fx_all_windows GROUP BY 1", digits=4)
 def _(spark, folder):
-    path = shared_dir(spark, "windows")
-    writers.load_or_build(spark, path, lambda: windows(spark, folder))
-    again = writers.load_or_build(spark, path, lambda: windows(spark, folder))
-    return again.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("y").alias("y"), (F.avg(checksum()) / 10).alias("cells"))
+    path = shared_dir(spark, "window-blocks")
+    built = writers.load_or_build(spark, path, lambda: ws.window_blocks(*inputs(spark, folder), seq_len=SEQ))
+    again = writers.load_or_build(spark, path, lambda: built.limit(0))
+    return ws.cut_windows(again).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("y").alias("y"), (F.avg(checksum()) / 10).alias("cells"))
 
 
 @query("calendar_split__g8", f"SELECT ticker, {s('date')} AS date, split FROM fx_windows WHERE split IS NOT NULL")
 def _(spark, folder):
-    return split_windows(spark, folder).select("ticker", "date", "split")
+    dates = targets(spark, folder).select("ticker", "date")
+    stored = writers.load_or_build(spark, shared_dir(spark, "dates"), lambda: dates)
+    return win.calendar_split(stored, TRAIN, TEST, 12)
 
 
 @query("split_sizes__d23", "SELECT split, count(*) AS n FROM fx_windows WHERE split IS NOT NULL GROUP BY 1")
@@ -315,7 +339,7 @@ def _records_sql(source: str, ticker: str) -> str:
 @query("ticker_scalers__g9_a22", _records_sql("fx_scalers", "ticker"), digits=4)
 def _(spark, folder):
     path = shared_dir(spark, "scalers")
-    scalers = win.fit_scalers(split_windows(spark, folder), N)
+    scalers = scalers_of(blocks(spark, folder))
     win.scaler_records(scalers, feats.FEATURES).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -325,8 +349,7 @@ _GLOBAL = fx.CTES["fx_scalers"].replace("SELECT ticker, ", "SELECT ").replace("
 
 @query("global_scaler__g9_a22", _records_sql(f"({_GLOBAL})", "NULL"), digits=4)
 def _(spark, folder):
-    scaler = win.fit_scalers(split_windows(spark, folder), N, per_ticker=False)
-    return win.scaler_records(scaler, feats.FEATURES)
+    return win.scaler_records(scalers_of(blocks(spark, folder), per_ticker=False), feats.FEATURES)
 
 
 def _scaled_sql(source: str, join: str) -> str:
@@ -342,16 +365,18 @@ def _scaled_sql(source: str, join: str) -> str:
 
 @query("scaled_windows__g10_c9", _scaled_sql("fx_windows", "JOIN fx_scalers z ON z.ticker = f.ticker AND f.ticker NOT LIKE '%9'"), digits=4)
 def _(spark, folder):
-    sets = split_windows(spark, folder)
-    scalers = win.fit_scalers(sets, N).filter(~F.col("ticker").endswith("9"))
-    out = win.apply_scalers(sets, scalers)
+    store = blocks(spark, folder)
+    scalers = scalers_of(store).filter(~F.col("ticker").endswith("9"))
+    scaled = ws.scale_blocks(store, scalers)
+    out = split_cells(store, scaled, ["has_scaler"])
     return out.select("ticker", "date", "split", checksum().alias("cells"), "has_scaler")
 
 
 @query("globally_scaled_windows__g10", _scaled_sql("fx_windows", f"CROSS JOIN ({_GLOBAL})"), digits=4)
 def _(spark, folder):
-    sets = split_windows(spark, folder)
-    out = win.apply_scalers(sets, win.fit_scalers(sets, N, per_ticker=False), per_ticker=False)
+    store = blocks(spark, folder)
+    scaled = ws.scale_blocks(store, scalers_of(store, per_ticker=False), per_ticker=False)
+    out = split_cells(store, scaled, ["has_scaler"])
     return out.select("ticker", "date", "split", checksum().alias("cells"), "has_scaler")
 
 
@@ -373,7 +398,7 @@ def _(spark, folder):
 @query("ticker_index__g13", f"SELECT ticker, {s('date')} AS date, dense_rank() OVER (ORDER BY ticker) - 1 AS ticker_idx "
        "FROM fx_all_windows")
 def _(spark, folder):
-    return win.ticker_index(windows(spark, folder)).select("ticker", "date", "ticker_idx")
+    return win.ticker_index(targets(spark, folder)).select("ticker", "date", "ticker_idx")
 
 
 @query("target_statistics__g15", f"SELECT split, count(*) AS n, {r('avg(y)')} AS y_mean, {r('stddev_pop(y)')} AS y_std, "

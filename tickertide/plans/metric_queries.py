@@ -89,8 +89,8 @@ def _each(values, names, value=None):
     return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in values]))
 
 
-def run_predictions(spark, folder):
-    rows = samples(spark, folder).drop("pred", "last_close")
+def run_predictions(rows):
+    rows = rows.drop("pred", "last_close")
     rows = rows.withColumn("c", _each(RUNS, ["run_id", "hidden_size", "num_layers", "shrink", "shift"]))
     pred = F.col("base_pred") * F.col("c.shrink") + F.col("c.shift")
     return rows.select("c.run_id", "ticker", "date", "split", "y", "base_pred", pred.alias("pred"))
@@ -102,7 +102,7 @@ def run_predictions(spark, folder):
        + " FROM fx_all_windows GROUP BY 1")
 def _(spark, folder):
     """Bars with sentiment, features, windows and next-day target; persistence per ticker."""
-    return ops.regression_metrics(ops.persistence(fq.windows(spark, folder)), ["ticker"])
+    return ops.regression_metrics(ops.persistence(fq.targets(spark, folder)), ["ticker"])
 
 
 @query("persistence_close__i1_i8", "SELECT split, count(*) AS n, "
@@ -110,8 +110,9 @@ def _(spark, folder):
        + " FROM (SELECT w.split, w.last_close, f.next_close FROM fx_windows w JOIN fx_feat f ON f.ticker = w.ticker "
        "AND f.rn = w.rn WHERE w.split IS NOT NULL) GROUP BY 1")
 def _(spark, folder):
-    close = win.sliding_windows(*fq.inputs(spark, folder), seq_len=fq.SEQ, target_kind="close")
-    sets = win.calendar_split(close, fq.TRAIN, fq.TEST)
+    close = win.sliding_windows(*fq.inputs(spark, folder), seq_len=fq.SEQ, target_kind="close").drop("x")
+    stored = writers.load_or_build(spark, shared_dir(spark, "closes"), lambda: close)
+    sets = win.calendar_split(stored, fq.TRAIN, fq.TEST)
     return ops.regression_metrics(ops.persistence(sets, "close"), ["split"], short=True)
 
 
@@ -340,7 +341,8 @@ fx.CTES["fx_run_metrics"] = (
 
 
 def run_metrics(spark, folder):
-    return studies.all_runs(run_predictions(spark, folder), samples(spark, folder))
+    rows = samples(spark, folder)
+    return studies.all_runs(run_predictions(rows), rows)
 
 
 @query("all_runs__i19_k3", "SELECT * FROM fx_run_metrics")
