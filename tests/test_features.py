@@ -182,6 +182,45 @@ def test_cumulative_features_match_loops(spark, size):
     same(got, want, [c for c in want.columns if c not in ("ticker", "date")])
 
 
+@pytest.mark.parametrize("size", [50, 4096])
+def test_exponential_means_lose_no_weight(spark, size):
+    """Values 1e20 apart, and spans far longer than a block: every earlier row counts."""
+    rng = np.random.default_rng(9)
+    spans = (2, 3, 20, 400, 100_000)
+    days = pd.date_range("2001-01-01", periods=6000).date
+    values = np.where(rng.random(6000) < 0.002, 1e20, 1.0) * rng.uniform(-1, 1, 6000)
+    values[3000:] = rng.uniform(-1, 1, 3000) * 1e-20
+    rows = pd.DataFrame({"ticker": "LONG", "date": days, "daily_sentiment": values, "n_articles": 1})
+    lost = rows.head(40).assign(ticker=None)
+    sdf = spark.createDataFrame(pd.concat([rows, lost]), "ticker string, date date, daily_sentiment double, n_articles bigint")
+    got = senti.cumulative_features(sdf, spans, rows_per_block=size).orderBy("date").toPandas()
+    long = got[got.ticker == "LONG"].reset_index(drop=True)
+    assert len(long) == 6000 and len(got) == 6040
+    for k in spans:
+        top = bottom = 0.0
+        want = []
+        for x in values:
+            top, bottom = top * (1 - 2 / (k + 1)) + x, bottom * (1 - 2 / (k + 1)) + 1
+            want.append(top / bottom)
+        fading = np.zeros(6000)  # errors fade like the values they come from
+        for i, x in enumerate(np.abs(values)):
+            fading[i] = (fading[i - 1] if i else 0.0) * (1 - 2 / (k + 1)) + x
+        away = np.abs(long[f"sentiment_ewm_{k}d"] - np.array(want))
+        assert (away <= 1e-10 * fading).all(), k
+
+
+def test_doubling_reaches_every_earlier_stretch(spark):
+    """A single value, then zeros: what is left of it after many stretches is its exact weight."""
+    days = pd.date_range("2001-01-01", periods=3000).date
+    rows = pd.DataFrame({"ticker": "A", "date": days, "daily_sentiment": [1e200] + [0.0] * 2999, "n_articles": 1})
+    sdf = spark.createDataFrame(rows, "ticker string, date date, daily_sentiment double, n_articles bigint")
+    got = senti.cumulative_features(sdf, (5,), rows_per_block=300).orderBy("date").toPandas()["sentiment_ewm_5d"]
+    top, bottom = 1e200, 1.0
+    for i in range(2500):  # by then the weight alone is far below the smallest double
+        assert np.isclose(got[i], top / bottom, rtol=1e-9, atol=0)
+        top, bottom = top * (2 / 3), bottom * (2 / 3) + 1
+
+
 def test_spans_may_leave_out_five_and_twenty(spark, data):
     _, _, _, snews = data
     got = senti.cumulative_features(snews, spans=[4])

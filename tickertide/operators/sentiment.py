@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from tickertide.functions.columns import clip, leading_date, trim_space
-from tickertide.operators.series import ROWS_PER_BLOCK, over_blocks, with_positions
+from tickertide.operators.series import ROWS_PER_BLOCK, null_safe_join, over_blocks, with_positions
 
 SPANS = (3, 5, 10, 20)  # fixed values: default window lengths in rows
 STRONG = 0.3
-EWM_CUTOFF = 1e-17  # weights below this no longer change a double
+LEAST_WEIGHT = 1e-100  # inside a stretch; its inverse times a value must fit a double
 
 # Columns that become zero on days without news, and name parts of those carried on.
 ZERO_FILLED = [
@@ -72,47 +72,61 @@ def with_article_counts(daily: DataFrame) -> DataFrame:
     return daily.withColumn("n_articles", (F.col("daily_sentiment") != 0).cast("int"))
 
 
-def _decay(span: int) -> tuple[float, int]:
-    """Weight ratio of an exponential mean, and the rows after which weights are negligible."""
-    q = 1.0 - 2.0 / (span + 1)
-    if q == 0.0:  # span 1: only the value itself has weight
-        return q, 1
-    return q, math.ceil(math.log(EWM_CUTOFF) / math.log(q))
+def _ratio(span: int) -> float:
+    """Share of its weight that a value keeps from one row to the next."""
+    return 1.0 - 2.0 / (span + 1)
 
 
-def ewm_reach(spans: Sequence[int]) -> int:
-    """Rows of history an exponential mean needs: the whole previous stretch of each span."""
-    return max((2 * _decay(k)[1] for k in spans), default=0)
+def stretch_length(spans: Sequence[int]) -> int:
+    """Rows of a stretch: so many that no weight in it falls below ``LEAST_WEIGHT``."""
+    ratios = [_ratio(k) for k in spans if _ratio(k) > 0]
+    rows = [math.floor(math.log(LEAST_WEIGHT) / math.log(q)) for q in ratios]
+    return max(1, min([ROWS_PER_BLOCK, *rows]))
 
 
-def _add_ewm(df: DataFrame, w: WindowSpec, partition: Sequence[str], value: str, spans: Sequence[int]) -> DataFrame:
-    """Bias-adjusted exponentially weighted means, in time linear in the rows.
+def _carried_sums(base: DataFrame, value: str, spans: Sequence[int], length: int) -> DataFrame:
+    """Per ticker and stretch the weighted sum of all rows before it (``_carry_<span>``).
 
-    Rows are cut into stretches of ``reach`` rows by position. Inside one stretch the weighted
-    sum is a running sum of values scaled up by q^-j and scaled back down; of the earlier
-    stretches only the previous one, kept at its last row, still has weights that count. The sum
-    of all weights has a closed form.
+    A stretch maps the sum before it to q^length times that sum plus its own. Maps of neighbouring
+    stretches compose, so the sums of 1, 2, 4, ... stretches follow by doubling, each from the one
+    before, until the weight of what is still to be added is zero in a double.
     """
-    p = F.col("pos") - 1
-    ends, means = {}, {}
+    place = (F.col("pos") - 1) % length
+    own = {k: F.sum(F.col(value) * F.pow(F.lit(_ratio(k)), (length - 1 - place).cast("double"))) for k in spans}
+    sums = base.groupBy("ticker", "_stretch").agg(*[own[k].alias(f"_carry_{k}") for k in spans])
+    w = Window.partitionBy("ticker").orderBy("_stretch")
+    zero = F.lit(0.0)
+    sums = sums.withColumns({f"_carry_{k}": F.coalesce(F.lag(f"_carry_{k}").over(w), zero) for k in spans})
+    reach = 1
+    while any(_ratio(k) ** (length * reach) > 0.0 for k in spans):
+        older = {k: F.coalesce(F.lag(f"_carry_{k}", reach).over(w), zero) for k in spans}
+        sums = sums.withColumns(
+            {f"_carry_{k}": F.col(f"_carry_{k}") + F.lit(_ratio(k) ** (length * reach)) * older[k] for k in spans}
+        )
+        reach *= 2
+    return sums
+
+
+def _add_ewm(df: DataFrame, partition: Sequence[str], value: str, spans: Sequence[int], length: int) -> DataFrame:
+    """Bias-adjusted exponentially weighted means, in time linear in the rows and without a cut-off.
+
+    Inside a stretch the weighted sum is a running sum of values scaled up by q^-place and scaled back
+    down; the rows before come as the carried sum. The sum of all weights has a closed form.
+    """
+    place = ((F.col("pos") - 1) % length).cast("double")
+    inside = Window.partitionBy(*partition, "_stretch").orderBy("pos")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = {}
     for k in spans:
-        q, reach = _decay(k)
-        if q == 0.0:
+        q = _ratio(k)
+        if q == 0.0:  # span 1: only the value itself has weight
             means[f"sentiment_ewm_{k}d"] = F.col(value)
             continue
-        base, j = F.lit(q), (p % reach).cast("double")
-        df = df.withColumn("_stretch", F.floor(p / F.lit(reach)).cast("bigint"))
-        inside = Window.partitionBy(*partition, "_stretch").orderBy("pos")
-        inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        own = F.pow(base, j) * F.sum(F.col(value) * F.pow(base, -j)).over(inside)
-        df = df.withColumn(f"_own_{k}", own)
-        ends[f"_end_{k}"] = F.when(p % reach == reach - 1, F.col(f"_own_{k}"))
-        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        older = F.coalesce(F.last(f"_end_{k}", ignorenulls=True).over(earlier), F.lit(0.0))
+        base = F.lit(q)
+        own = F.pow(base, place) * F.sum(F.col(value) * F.pow(base, -place)).over(inside)
         weights = (1 - F.pow(base, F.col("pos").cast("double"))) / (1 - q)
-        means[f"sentiment_ewm_{k}d"] = (F.col(f"_own_{k}") + F.pow(base, j + 1) * older) / weights
-    df = df.withColumns(ends).withColumns(means)
-    return df.drop("_stretch", *ends, *[f"_own_{k}" for k in spans if f"_end_{k}" in ends])
+        means[f"sentiment_ewm_{k}d"] = (own + F.pow(base, place + 1) * F.col(f"_carry_{k}")) / weights
+    return df.withColumns(means)
 
 
 def cumulative_features(
@@ -155,12 +169,18 @@ def cumulative_features(
             }
         )
         if spans:
-            df = _add_ewm(df, w, ["ticker", "_block"], "daily_sentiment", spans)
+            df = _add_ewm(df, ["ticker", "_block"], "daily_sentiment", spans, length)
         return df.drop("_sum5", "_step")
 
-    reach = max(ewm_reach(spans), 22, *spans)
-    out = over_blocks(base, compute, before=reach, rows_per_block=rows_per_block)
-    return out.drop("pos", "n_rows")
+    reach, length = max(22, *spans), stretch_length(spans)
+    faded = [k for k in spans if _ratio(k) > 0]
+    if faded:
+        base = base.withColumn("_stretch", F.floor((F.col("pos") - 1) / F.lit(length)).cast("bigint"))
+        base = null_safe_join(base, _carried_sums(base, "daily_sentiment", faded, length), ["ticker", "_stretch"])
+    # Blocks are whole stretches, so each begins with a carried sum.
+    size = math.ceil(max(rows_per_block, reach) / length) * length
+    out = over_blocks(base, compute, before=reach, rows_per_block=size)
+    return out.drop("pos", "n_rows", "_stretch", *[f"_carry_{k}" for k in faded])
 
 
 def combine_with_bars(bars: DataFrame, features: DataFrame, daily: DataFrame | None = None) -> DataFrame:

@@ -121,12 +121,12 @@ def _cumulative_sql(source: str) -> str:
     cols = ["ticker", "date", "daily_sentiment", "n_articles",
             "abs(daily_sentiment) * ln(1.0e0 + n_articles) AS sentiment_strength"]
     for k in senti.SPANS:
-        q, reach = senti._decay(k)
+        q = 1.0 - 2.0 / (k + 1)
         cols += [
             f"sum(daily_sentiment) {_last(k)} AS sentiment_cum_{k}d",
             f"avg(daily_sentiment) {_last(k)} AS sentiment_ma_{k}d",
-            f"list_sum(list_transform(list(daily_sentiment) {_last(reach)}, lambda x, j: x * pow({q!r}, "
-            f"least(rn, {reach}) - j))) * (1 - {q!r}) / (1 - pow({q!r}, rn)) AS sentiment_ewm_{k}d",
+            f"list_sum(list_transform(list(daily_sentiment) OVER (PARTITION BY ticker ORDER BY date), "
+            f"lambda x, j: x * pow({q!r}, rn - j))) * (1 - {q!r}) / (1 - pow({q!r}, rn)) AS sentiment_ewm_{k}d",
             f"sum(n_articles) {_last(k)} AS news_intensity_{k}d",
             f"coalesce(stddev_samp(daily_sentiment) {_last(k)}, 0) AS sentiment_vol_{k}d",
         ]
