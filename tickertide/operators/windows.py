@@ -303,6 +303,50 @@ def many_horizons(
     return rows.withColumn("y", ratio(F.col("target_price"), F.col("y_base")) - 1)
 
 
+def length_windows(
+    df: DataFrame,
+    seq_lens: Sequence[int],
+    horizon: int = 1,
+    columns: Sequence[str] = ALL_COLUMNS,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Price windows of several lengths at once, with their ``seq_len``.
+
+    A shorter window is the beginning of a longer one, so all are cut in one pass. A window has
+    ``seq_len`` - 1 steps relative to its first row, like those of ``horizon_windows``.
+    """
+    if min(seq_lens) < 2:
+        raise ValueError("windows have at least two rows")
+    names = resolve_columns(df, columns)
+    longest = max(seq_lens)
+
+    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        def end(n: int) -> Column:
+            whole = F.count("close").over(w.rowsBetween(0, n - 1)) == n
+            price = F.lead("close", n - 1 + horizon).over(w)
+            return F.struct(F.lit(n).alias("seq_len"), whole.alias("whole"), price.alias("price"))
+
+        steps = F.collect_list(_stack(names)).over(w.rowsBetween(0, longest - 1))
+        return rows.withColumns({"_steps": steps, "_ends": F.array(*[end(n) for n in seq_lens])})
+
+    reach = longest - 1 + horizon
+    out = over_blocks(fill_news_gaps(df), compute, 0, reach, ["ticker", "split"], "split_pos", rows_per_block)
+    kept = F.filter("_ends", lambda e: e["whole"] & e["price"].isNotNull())
+    out = out.withColumns({"_x": relative_steps(F.col("_steps"), names), "_e": F.explode(kept)})
+    price = F.col("_e.price")
+    return out.select(
+        "ticker",
+        "split",
+        "split_pos",
+        "date",
+        "_e.seq_len",
+        F.slice("_x", F.lit(1), F.col("_e.seq_len") - 1).alias("x"),
+        F.col("close").alias("y_base"),
+        price.alias("target_price"),
+        (ratio(price, F.col("close")) - 1).alias("y"),
+    )
+
+
 def denormalise(y: Column, base: Column) -> Column:
     return (y + 1) * base
 
