@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.columns import one_line, sample_sentences, sentences, trim_space
+from tickertide.functions.stems import stem_table
 
 # Shortest text that is summarised, sentences kept, graph threshold and tolerance.
 MIN_TEXT = 100
@@ -113,35 +114,69 @@ def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
     return sorted(int(i) for i in best)
 
 
+def sentence_terms(
+    articles: DataFrame, text: str = "article", stop_words: Sequence[str] = STOP_WORDS
+) -> DataFrame:
+    """Articles with ``_parts``, the sentences of texts of 100 characters and more, and ``_terms``, their words."""
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+
+    def words(s: Column) -> Column:
+        return F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+"), 0)
+
+    long_enough = F.length(trim_space(text)) >= MIN_TEXT
+    parts = articles.withColumn("_parts", F.when(long_enough, sentences(text)))
+    terms = F.transform("_parts", lambda s: F.filter(words(s), lambda t: ~F.array_contains(stop, t)))
+    return parts.withColumn("_terms", F.coalesce(terms, F.array().cast("array<array<string>>")))
+
+
+def word_stems(parts: DataFrame) -> DataFrame:
+    """(article_index, word, stem) of the distinct words of each article; each word is stemmed once."""
+    own = parts.select("article_index", F.explode(F.array_distinct(F.flatten("_terms"))).alias("word"))
+    return own.join(stem_table(own.select("word").distinct()), "word")
+
+
+def join_sentences(ranked: DataFrame, text: str = "article") -> DataFrame:
+    """Summaries from ``_parts`` and the positions in ``_best``; texts without sentences as they are."""
+    picked = F.transform("_best", lambda i: F.get(F.col("_parts"), i))
+    no_sentence = F.col("_parts").isNull() | (F.size("_parts") == 0)
+    summary = F.when(no_sentence, F.col(text)).otherwise(F.array_join(picked, " "))
+    return ranked.select("article_index", one_line(summary).alias("summary"))
+
+
 def summarise(
     articles: DataFrame,
     text: str = "article",
     keep: int = SUMMARY_SENTENCES,
     stop_words: Sequence[str] = STOP_WORDS,
+    stem: bool = False,
 ) -> DataFrame:
     """Summary of each article: its most central sentences in text order, on one line.
 
     Texts under 100 characters are returned as they are. Splitting, tokenising and joining run
-    in the JVM; only the ranking of one text's sentences is Python, in Arrow batches.
+    in the JVM; only the ranking of one text's sentences is Python, in Arrow batches. With ``stem``
+    words count by their stems; ``article_index`` must then tell articles apart. For texts of
+    thousands of sentences see ``long_texts``.
     """
+    rank = lambda doc: _central_sentences([list(s) for s in doc], keep)
 
     @F.pandas_udf("array<int>")
     def central(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda doc: _central_sentences([list(s) for s in doc], keep))
-
-    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-
-    def words(s: Column) -> Column:
-        return F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+"), 0)
+        return batch.map(rank)
 
-    terms = F.transform("_parts", lambda s: F.filter(words(s), lambda t: ~F.array_contains(stop, t)))
-    long_enough = F.length(trim_space(text)) >= MIN_TEXT
-    parts = articles.withColumn("_parts", F.when(long_enough, sentences(text)))
-    ranked = parts.withColumn("_best", central(F.coalesce(terms, F.array().cast("array<array<string>>"))))
-    picked = F.transform("_best", lambda i: F.get(F.col("_parts"), i))
-    no_sentence = F.col("_parts").isNull() | (F.size("_parts") == 0)
-    summary = F.when(no_sentence, F.col(text)).otherwise(F.array_join(picked, " "))
-    return ranked.select("article_index", one_line(summary).alias("summary"))
+    @F.pandas_udf("array<int>")
+    def central_stems(batch: pd.Series, words: pd.Series, stems: pd.Series) -> pd.Series:
+        tables = [dict(zip(w, s)) if w is not None else {} for w, s in zip(words, stems)]
+        return pd.Series([rank([[table[t] for t in s] for s in doc]) for doc, table in zip(batch, tables)])
+
+    parts = sentence_terms(articles, text, stop_words)
+    if not stem:
+        return join_sentences(parts.withColumn("_best", central("_terms")), text)
+    entry = F.sort_array(F.collect_list(F.struct("word", "stem"))).alias("_e")
+    tables = word_stems(parts).groupBy("article_index").agg(entry)
+    tables = tables.select(F.col("article_index").alias("_article"), "_e.word", "_e.stem")
+    tables = tables.withColumnsRenamed({"word": "_words", "stem": "_stems"})
+    joined = parts.join(tables, F.col("article_index").eqNullSafe(F.col("_article")), "left")
+    return join_sentences(joined.withColumn("_best", central_stems("_terms", "_words", "_stems")), text)
 
 
 # ---- sentence polarity ---------------------------------------------------------

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickertide.functions import columns as cols
+from tickertide.functions import stems
+from tickertide.operators import long_texts
 from tickertide.operators import sentiment as senti
 from tickertide.operators import text as ops
 from tickertide.plans import fixtures as fx
@@ -68,35 +70,116 @@ fx.CTES["fx_words"] = (
     "SELECT d, n, i, w, count(*) AS c FROM (SELECT d, n, sentence_no AS i, "
     "unnest(regexp_extract_all(lower(sentence), '\\p{L}+')) AS w FROM fx_sentence_rows JOIN fx_long ON article_index = d) WHERE w NOT IN (" + ", ".join(f"'{w}'" for w in ops.STOP_WORDS) + ") GROUP BY ALL"
 )
-fx.CTES["fx_weights"] = (
-    "SELECT d, i, w, c / max(c) OVER (PARTITION BY d, i) * ln(n / (1.0e0 + count(*) OVER (PARTITION BY d, w))) AS v FROM fx_words"
-)
-fx.CTES["fx_norms"] = "SELECT d, i, sqrt(sum(v * v)) AS norm FROM fx_weights GROUP BY 1, 2"
-fx.CTES["fx_links"] = (
-    "SELECT p.d, p.i, p.j, count(*) OVER (PARTITION BY p.d, p.i) AS degree FROM (SELECT a.d, a.i, b.i AS j, sum(a.v * b.v) AS dot "
-    "FROM fx_weights a JOIN fx_weights b ON a.d = b.d AND a.w = b.w GROUP BY ALL) p JOIN fx_norms x ON x.d = p.d AND x.i = p.i "
-    "JOIN fx_norms y ON y.d = p.d AND y.i = p.j WHERE dot > 0.1e0 * x.norm * y.norm"
-)
-fx.CTES["fx_rank0"] = "SELECT d, unnest(range(n)) AS i, 1.0e0 / n AS rank, true AS moving FROM fx_long"
-for _k in range(1, ROUNDS + 1):
-    fx.CTES[f"fx_rank{_k}"] = (
-        "SELECT d, i, CASE WHEN moving THEN spread ELSE rank END AS rank, moving AND "
-        "sqrt(sum((spread - rank) * (spread - rank)) OVER (PARTITION BY d)) > 0.1e0 AS moving FROM (SELECT r.d, r.i, r.rank, r.moving, "
-        f"coalesce(s.spread, 0) AS spread FROM fx_rank{_k - 1} r LEFT JOIN (SELECT l.d, l.j, sum(q.rank / l.degree) AS spread "
-        f"FROM fx_links l JOIN fx_rank{_k - 1} q ON q.d = l.d AND q.i = l.i GROUP BY 1, 2) s ON s.d = r.d AND s.j = r.i)"
+
+
+def _summary_sql(words: str, name: str) -> str:
+    """Best sentences of a text from its words per sentence (d, n, i, w, c)."""
+    named = lambda part: f"fx_{name}{part}"
+    fx.CTES[named("weights")] = (
+        f"SELECT d, i, w, c / max(c) OVER (PARTITION BY d, i) * ln(n / (1.0e0 + count(*) OVER (PARTITION BY d, w))) AS v FROM {words}"
     )
-fx.STORED |= {"fx_sentences", "fx_weights", "fx_links"} | {f"fx_rank{k}" for k in range(ROUNDS + 1)}
-_BEST = (
-    "SELECT d, string_agg(sentence, ' ' ORDER BY i) AS summary FROM (SELECT d, i, parts[i + 1] AS sentence, row_number() OVER "
-    f"(PARTITION BY d ORDER BY round(rank, 12) DESC, i) AS place FROM fx_rank{ROUNDS} JOIN fx_long USING (d)) WHERE place <= 5 GROUP BY 1"
-)
+    fx.CTES[named("norms")] = f"SELECT d, i, sqrt(sum(v * v)) AS norm FROM {named('weights')} GROUP BY 1, 2"
+    fx.CTES[named("links")] = (
+        "SELECT p.d, p.i, p.j, count(*) OVER (PARTITION BY p.d, p.i) AS degree FROM (SELECT a.d, a.i, b.i AS j, sum(a.v * b.v) AS dot "
+        f"FROM {named('weights')} a JOIN {named('weights')} b ON a.d = b.d AND a.w = b.w GROUP BY ALL) p JOIN {named('norms')} x ON x.d = p.d "
+        f"AND x.i = p.i JOIN {named('norms')} y ON y.d = p.d AND y.i = p.j WHERE dot > 0.1e0 * x.norm * y.norm"
+    )
+    fx.CTES[named("rank0")] = "SELECT d, unnest(range(n)) AS i, 1.0e0 / n AS rank, true AS moving FROM fx_long"
+    for k in range(1, ROUNDS + 1):
+        last = named(f"rank{k - 1}")
+        fx.CTES[named(f"rank{k}")] = (
+            "SELECT d, i, CASE WHEN moving THEN spread ELSE rank END AS rank, moving AND "
+            "sqrt(sum((spread - rank) * (spread - rank)) OVER (PARTITION BY d)) > 0.1e0 AS moving FROM (SELECT r.d, r.i, r.rank, r.moving, "
+            f"coalesce(s.spread, 0) AS spread FROM {last} r LEFT JOIN (SELECT l.d, l.j, sum(q.rank / l.degree) AS spread "
+            f"FROM {named('links')} l JOIN {last} q ON q.d = l.d AND q.i = l.i GROUP BY 1, 2) s ON s.d = r.d AND s.j = r.i)"
+        )
+    fx.STORED |= {named("weights"), named("links")} | {named(f"rank{k}") for k in range(ROUNDS + 1)}
+    best = (
+        "SELECT d, string_agg(sentence, ' ' ORDER BY i) AS summary FROM (SELECT d, i, parts[i + 1] AS sentence, row_number() OVER "
+        f"(PARTITION BY d ORDER BY round(rank, 12) DESC, i) AS place FROM {named(f'rank{ROUNDS}')} JOIN fx_long USING (d)) WHERE place <= 5 GROUP BY 1"
+    )
+    return (
+        "SELECT doc_id AS article_index, trim(regexp_replace(coalesce(summary, text, ''), '\\s+', ' ', 'g')) AS summary "
+        f"FROM documents LEFT JOIN ({best}) ON d = doc_id"
+    )
+
+
+fx.STORED |= {"fx_sentences"}
+
+
+def _stems_sql(words: str) -> str:
+    """Stems of distinct words, a step of the suffix rules after the other."""
+    found = lambda pattern: f"regexp_matches(w, '{pattern}')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    has = lambda value, pattern: f"regexp_matches({value}, '{pattern}')"
+
+    def replaced(table: dict, condition: str, extra: str = "true") -> str:
+        pattern = stems.suffix_pattern(table)
+        left, suffix = (f"regexp_extract(w, '{pattern}', {k})" for k in (1, 2))
+        put = f"CASE {suffix} " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in table.items()) + " END"
+        return f"CASE WHEN {found(pattern)} AND {has(left, condition)} AND {extra} THEN {left} || {put} ELSE w END"
+
+    rest = "regexp_extract(w, '^(.*?)(ed|ing)$', 1)"
+    doubled = "(" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwxy") + ")$"
+    mended = (
+        f"CASE WHEN {has(rest, '(at|bl|iz)$')} THEN {rest} || 'e' WHEN {has(rest, doubled)} THEN left({rest}, length({rest}) - 1) "
+        f"WHEN {has(rest, stems.MEASURE_IS_1)} AND {has(rest, stems.SHORT_END)} THEN {rest} || 'e' ELSE {rest} END"
+    )
+    steps = [
+        replaced(stems.PLURALS, ""),
+        f"CASE WHEN w NOT LIKE '%eed' AND {has(rest, stems.HAS_VOWEL)} THEN {mended} "
+        f"WHEN w LIKE '%eed' AND {has(cut(3), stems.MEASURE_OVER_0)} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%y' AND {has(cut(1), stems.HAS_VOWEL)} THEN {cut(1)} || 'i' ELSE w END",
+        replaced(stems.DERIVED, stems.MEASURE_OVER_0),
+        replaced(stems.FORMED, stems.MEASURE_OVER_0),
+        replaced(dict.fromkeys(stems.REMOVED, ""), stems.MEASURE_OVER_1, f"(w NOT LIKE '%ion' OR {found('[st]ion$')})"),
+        f"CASE WHEN w LIKE '%e' AND ({has(cut(1), stems.MEASURE_OVER_1)} OR ({has(cut(1), stems.MEASURE_IS_1)} AND NOT "
+        f"{has(cut(1), stems.SHORT_END)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {found(stems.MEASURE_OVER_1)} THEN {cut(1)} ELSE w END",
+    ]
+    sql = f"SELECT DISTINCT w AS word, w FROM {words}"
+    for step in steps:
+        sql = f"SELECT word, {step} AS w FROM ({sql})"
+    return f"SELECT word, CASE WHEN regexp_matches(word, '^[a-z]{{3,}}$') THEN w ELSE word END AS stem FROM ({sql})"
+
+
+fx.CTES["fx_stems"] = _stems_sql("fx_words")
+fx.CTES["fx_stemmed"] = "SELECT d, n, i, stem AS w, sum(c) AS c FROM fx_words JOIN fx_stems ON w = word GROUP BY ALL"
+fx.STORED |= {"fx_words", "fx_stems", "fx_stemmed"}
+_SUMMARIES = _summary_sql("fx_words", "")
+
+
+def articles(spark, folder):
+    return documents(spark, folder).withColumnRenamed("summary", "article")
+
+
+@query("word_stems__h5", "SELECT word, stem FROM fx_stems")
+def _(spark, folder):
+    return ops.word_stems(ops.sentence_terms(articles(spark, folder))).select("word", "stem").distinct()
+
+
+_STEMMED = _summary_sql("fx_stemmed", "stemmed_")
+
+
+@query("stemmed_summaries__h5", _STEMMED)
+def _(spark, folder):
+    return ops.summarise(articles(spark, folder), stem=True)
+
+
+@query("long_summaries__h5", _SUMMARIES)
+def _(spark, folder):
+    """Every text of more than 40 sentences ranked by the tables of blocks."""
+    return long_texts.summaries(articles(spark, folder), longest=40, block=64)
+
+
+@query("long_stemmed_summaries__h5", _STEMMED)
+def _(spark, folder):
+    return long_texts.summaries(articles(spark, folder), longest=40, block=64, stem=True)
 
 
-@query("summaries__h5", "SELECT doc_id AS article_index, trim(regexp_replace(coalesce(summary, text, ''), '\\s+', ' ', 'g')) AS summary "
-       f"FROM documents LEFT JOIN ({_BEST}) ON d = doc_id")
+@query("summaries__h5", _SUMMARIES)
 def _(spark, folder):
-    articles = documents(spark, folder).withColumnRenamed("summary", "article")
-    return ops.summarise(articles)
+    return ops.summarise(articles(spark, folder))
 
 
 @query("sentences__h7", "SELECT article_index, sentence_no, md5(sentence) AS sentence_md5 FROM fx_sentence_rows")
