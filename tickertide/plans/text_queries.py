@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tickertide.functions import columns as cols
 from tickertide.functions import stems
 from tickertide.operators import long_texts
+from tickertide.operators import sentence_ends as ends
 from tickertide.operators import sentiment as senti
 from tickertide.operators import text as ops
 from tickertide.plans import fixtures as fx
@@ -188,6 +189,56 @@ def _(spark, folder):
     return rows.select("article_index", "sentence_no", F.md5("sentence").alias("sentence_md5"))
 
 
+# Every text with a planted end, so that two abbreviations stand in the corpus.
+PLANTED = " Acme Inc. reported lower costs, e.g. rents. Inc. alone is no end."
+fx.CTES["fx_planted"] = f"SELECT doc_id, text || '{PLANTED}' AS text FROM documents WHERE text IS NOT NULL"
+fx.CTES["fx_tokens"] = (
+    "SELECT regexp_replace(t, '^[^\\p{L}]+|[^\\p{L}.]+$', '', 'g') AS core, coalesce(regexp_matches(f, '^\\p{Ll}'), false) AS lower FROM "
+    "(SELECT unnest(tokens) AS t, unnest(tokens[2:]) AS f FROM (SELECT list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS tokens "
+    "FROM fx_planted))"
+)
+fx.CTES["fx_periods"] = (
+    "SELECT word, count(*) AS n, count(*) FILTER (period) AS n_period, count(*) FILTER (period AND lower) AS n_lower FROM (SELECT "
+    "lower(CASE WHEN core LIKE '%.' THEN left(core, length(core) - 1) ELSE core END) AS word, core LIKE '%.' AS period, lower FROM fx_tokens) "
+    "WHERE regexp_matches(word, '^\\p{L}+(\\.\\p{L}+)*$') GROUP BY 1"
+)
+fx.CTES["fx_abbreviations"] = (
+    "SELECT word, evidence FROM (SELECT *, 2 * (n_period * ln(0.99e0) + (n - n_period) * ln(1 - 0.99e0) - n_period * ln(p) - (n - n_period) * ln(1 - p)) "
+    "AS evidence FROM fx_periods, (SELECT sum(n_period) / sum(n)::DOUBLE AS p FROM fx_periods)) WHERE evidence > 10.83e0 AND n_lower >= 0.1e0 * n_period"
+)
+fx.CTES["fx_pieces"] = (
+    "SELECT doc_id AS d, unnest(range(len(pieces))) AS k, unnest(pieces) AS piece FROM (SELECT doc_id, "
+    "string_split(regexp_replace(text, '([.!?])(\\s+)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS pieces FROM fx_planted)"
+)
+fx.CTES["fx_kept_ends"] = (
+    "SELECT d, k, piece, lower(CASE WHEN piece LIKE '%.' THEN regexp_replace(regexp_extract(piece, '(\\S+)\\.$', 1), "
+    "'^[^\\p{L}]+|[^\\p{L}.]+$', '', 'g') END) IN (SELECT word FROM fx_abbreviations) AS known FROM fx_pieces"
+)
+fx.CTES["fx_learned"] = (
+    "SELECT d, s, regexp_replace(string_agg(piece, '' ORDER BY k), '^\\s+|\\s+$', '', 'g') AS sentence FROM (SELECT *, "
+    "sum(start) OVER (PARTITION BY d ORDER BY k) AS s FROM (SELECT *, coalesce(lag(CASE WHEN known THEN 0 ELSE 1 END) OVER "
+    "(PARTITION BY d ORDER BY k), 0) AS start FROM fx_kept_ends)) GROUP BY 1, 2"
+)
+fx.STORED |= {"fx_planted", "fx_periods", "fx_abbreviations"}
+
+
+def planted(spark, folder):
+    return documents(spark, folder).filter("summary IS NOT NULL").withColumn("summary", F.concat("summary", F.lit(PLANTED)))
+
+
+@query("abbreviations__h7", f"SELECT word, {r('evidence', 4)} AS evidence FROM fx_abbreviations", digits=4)
+def _(spark, folder):
+    return ends.abbreviations(ends.period_counts(planted(spark, folder)))
+
+
+@query("learned_sentences__h7", "SELECT d AS article_index, row_number() OVER (PARTITION BY d ORDER BY s) - 1 AS sentence_no, md5(sentence) AS sentence_md5 "
+       "FROM fx_learned WHERE sentence <> ''")
+def _(spark, folder):
+    texts = planted(spark, folder)
+    rows = ends.sentences_with(texts, ends.abbreviations(ends.period_counts(texts)))
+    return rows.select("article_index", "sentence_no", F.md5("sentence").alias("sentence_md5"))
+
+
 _SAMPLES = {
     "first": "parts[1:4]",
     "last": "parts[len(parts) - 3:len(parts)]",
