@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from tickertide.functions import columns as cols
 from tickertide.functions import stems
 from tickertide.operators import long_texts
+from tickertide.operators import polarity_fit as fit
 from tickertide.operators import sentence_ends as ends
 from tickertide.operators import sentiment as senti
 from tickertide.operators import text as ops
 from tickertide.plans import fixtures as fx
 from tickertide.plans import news_queries as nq
 from tickertide.plans.registry import i, query, r, s
+from tickertide.session import shared_dir
 from tickertide.sources.readers import table
+from tickertide.sources.writers import load_or_build
 
 fx.CTES["fx_sentences"] = (
     "SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
@@ -256,9 +259,66 @@ def _(spark, folder):
     return parts.select("article_index", *picked)
 
 
-@query("sentence_polarity__h9", f"SELECT article_index, sentence_no, label, {r('weight')} AS weight FROM fx_polarity")
+# ---- a lexicon learned from next-day returns --------------------------------------
+
+fx.CTES["fx_moves"] = (
+    "SELECT article_index, avg(next_return) AS move FROM (SELECT article_index, date, unnest(tickers) AS ticker FROM fx_dated) JOIN "
+    "(SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS next_return FROM fx_bars) USING (ticker, date) "
+    "WHERE next_return IS NOT NULL GROUP BY 1"
+)
+fx.CTES["fx_labels"] = (
+    "SELECT article_index, move > 0 AS up, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(range(strlen(name)) AS BIGINT[])), "
+    "lambda crc, k: list_reduce(list_prepend(xor(crc, CAST(ascii(name[k + 1]) AS BIGINT)), CAST(range(8) AS BIGINT[])), "
+    "lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc FROM (SELECT *, CAST(article_index AS VARCHAR) AS name FROM fx_moves WHERE move <> 0)"
+)
+fx.CTES["fx_train"] = (
+    "SELECT doc_id, up, list_distinct(regexp_extract_all(lower(text), '\\p{L}+')) AS words FROM documents JOIN fx_labels ON doc_id = article_index "
+    "WHERE crc % 3 <> 1"
+)
+fx.CTES["fx_learned_lexicon"] = (
+    "SELECT word, ln((n_up + 1.0e0) / (up + 2)) - ln((n_down + 1.0e0) / (down + 2)) AS weight FROM (SELECT word, count(*) FILTER (up) AS n_up, "
+    "count(*) FILTER (NOT up) AS n_down FROM (SELECT up, unnest(words) AS word FROM fx_train) GROUP BY 1), "
+    "(SELECT count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down FROM fx_train) WHERE n_up + n_down >= 5"
+)
+fx.CTES["fx_learned_sums"] = fx.CTES["fx_word_sums"].replace("fx_lexicon", "fx_learned_lexicon")
+fx.CTES["fx_learned_polarity"] = fx.CTES["fx_polarity"].replace("fx_word_sums", "fx_learned_sums")
+fx.CTES["fx_learned_scores"] = fx.CTES["fx_article_sentiment"].replace("fx_polarity", "fx_learned_polarity")
+fx.STORED |= {"fx_moves", "fx_labels", "fx_train", "fx_learned_lexicon", "fx_learned_polarity"}
+
+
+def labels(spark, folder):
+    return fit.return_labels(nq.dated(spark, folder).select("article_index", "tickers", "date"), fx.bars(spark, folder))
+
+
+def learned_lexicon(spark, folder, known):
+    """From the labelled articles that are not held out; stored, since sentences are scored with it more than once."""
+    learned = fit.fit_lexicon(documents(spark, folder), known.filter(~fit.held_out()))
+    path = shared_dir(spark, "lexicon")
+    return load_or_build(spark, path, lambda: learned)
+
+
+def learned_scores(spark, folder, known):
+    return ops.score_by_lexicon(sentence_rows(spark, folder), learned_lexicon(spark, folder, known))
+
+
+@query("learned_lexicon__h9", f"SELECT word, {r('weight')} AS weight FROM fx_learned_lexicon")
+def _(spark, folder):
+    return learned_lexicon(spark, folder, labels(spark, folder))
+
+
+@query("sentence_polarity__h9", f"SELECT article_index, sentence_no, label, {r('weight', 4)} AS weight FROM fx_learned_polarity", digits=4)
+def _(spark, folder):
+    out = learned_scores(spark, folder, labels(spark, folder))
+    return out.select("article_index", "sentence_no", "label", "weight")
+
+
+@query("polarity_hit_rates__h9", f"SELECT part, count(*) AS n, {r('avg(CAST(hit AS DOUBLE))')} AS accuracy, {r('greatest(avg(CAST(up AS DOUBLE)), 1 - avg(CAST(up AS DOUBLE)))')} "
+       "AS majority FROM (SELECT CASE WHEN crc % 3 = 1 THEN 'held_out' ELSE 'train' END AS part, up, (sentiment >= 0) = up AS hit FROM fx_learned_scores "
+       "JOIN fx_labels USING (article_index)) GROUP BY 1")
 def _(spark, folder):
-    return scored(spark, folder).select("article_index", "sentence_no", "label", "weight")
+    known = load_or_build(spark, shared_dir(spark, "labels"), lambda: labels(spark, folder))
+    scores = senti.article_sentiment(documents(spark, folder), learned_scores(spark, folder, known))
+    return fit.hit_rates(scores, known)
 
 
 def _length_scorer(texts):
