@@ -108,21 +108,15 @@ def valid_tickers(bars: DataFrame) -> DataFrame:
 def _look_up(urls: DataFrame, tickers: Column, names: DataFrame, name: str) -> DataFrame:
     """Add ``name``: the sorted members of a ticker array that occur in ``names``.
 
-    One pass: explode, join, and fold back by URL. Ticker lists are short; a ticker found in very
-    many lists only costs in the join, whose small side is broadcast or whose hot partition is
-    split by adaptive execution. URLs without a ticker get a key of their own, as null keys
-    would all meet in one task.
+    Only pairs of URL key and ticker are looked up and folded; rows meet their list again by key. A
+    ticker found in very many lists only costs in the join, whose small side is broadcast or whose
+    hot partition is split by adaptive execution. ``url_hash`` is unique.
     """
     known = names.select(F.upper(F.trim("ticker")).alias("_ticker")).distinct()
-    known = known.withColumn("_known", F.lit(True))
-    pairs = urls.select("*", F.explode_outer(tickers).alias("_ticker"))
-    pairs = pairs.withColumn("_ticker", F.coalesce("_ticker", F.concat(F.lit("~"), "url_hash")))
-    rest = [c for c in urls.columns if c != "url_hash"]
-    folded = pairs.join(known, "_ticker", "left").groupBy("url_hash").agg(
-        F.any_value(F.struct(*rest)).alias("_row"),
-        F.array_sort(F.collect_set(F.when(F.col("_known"), F.col("_ticker")))).alias(name),
-    )
-    return folded.select("url_hash", "_row.*", name)
+    pairs = urls.select(F.col("url_hash").alias("_url"), F.explode(tickers).alias("_ticker"))
+    lists = pairs.join(known, "_ticker", "left_semi").groupBy("_url").agg(F.array_sort(F.collect_set("_ticker")).alias(name))
+    joined = urls.join(lists, F.col("url_hash") == F.col("_url"), "left").drop("_url")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
 def enrich_from_titles(
