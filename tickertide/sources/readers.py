@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickertide import schemas
 from tickertide.functions.columns import leading_date
+from tickertide.sources.quoted import read_quoted_csv
 
 # Columns of the raw news file that are not used.
 NEWS_DROPPED = [
@@ -58,28 +59,22 @@ NEWS_NAMES = {
     "Url": "url", "Date": "date_raw", "Stock_symbol": "stock_symbol", "Article_title": "title",
     "Article": "article",
 }
-ROWS_PER_FILE = 1 << 33  # the numbers one task may give out
+ROWS_PER_FILE = 1 << 33  # record numbers of a file
 MANY_FILES = 100_000  # file names that may be broadcast
 
 
-def _tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def read_raw_news(spark: SparkSession, path: str) -> DataFrame:
     """Raw news with our names and ``rn``, a row number that rises in file order.
 
-    A file with line breaks inside texts is read by one task, so a large input should come as many
-    files. Within a file rows are numbered as they are read, files by their names; numbers have gaps.
-    Rows are dealt out after the scan: later steps are not bound to one task per file.
+    A file is read by many tasks, also where texts hold line breaks (see ``quoted``). Within a file rows
+    are numbered as they stand, files by their names; numbers have gaps.
     """
-    raw = read_news_csv(spark, path)
-    files = [(name, i) for i, name in enumerate(sorted(raw.inputFiles()))]
+    raw = read_quoted_csv(spark, path)
+    files = [(name, i) for i, name in enumerate(sorted(spark.read.text(path).inputFiles()))]
     numbers = spark.createDataFrame(files, "_file string, _number bigint")
-    numbered = raw.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id() % ROWS_PER_FILE})
-    numbered = numbered.join(F.broadcast(numbers) if len(files) <= MANY_FILES else numbers, "_file")
+    numbered = raw.join(F.broadcast(numbers) if len(files) <= MANY_FILES else numbers, "_file")
     named = [F.col(old).alias(new) for old, new in NEWS_NAMES.items()]
-    return numbered.select((F.col("_number") * ROWS_PER_FILE + F.col("_row")).alias("rn"), *named).repartition(_tasks(spark))
+    return numbered.select((F.col("_number") * ROWS_PER_FILE + F.col("_record")).alias("rn"), *named)
 
 
 def used_news_columns(news: DataFrame) -> DataFrame:
