@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickertide import schemas
@@ -28,6 +29,41 @@ def test_scores_are_added_once(spark, tmp_path):
     assert {r.article_index: r.sentiment for r in jobs.read_scores(spark, out).collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
 
 
+def test_a_batch_reads_nothing_of_what_its_run_has_stored(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    seen = []
+
+    def score(batch):
+        seen.extend((r.article_index, r.summary) for r in batch.collect())
+        return batch.select("article_index", F.length("summary").cast("double").alias("sentiment"))
+
+    struct = add_files(spark, [(1, "a"), (1, "a"), (None, "n")], schemas.SUMMARIES, src)
+    jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
+    (broken,) = (tmp_path / "out").glob("started=*/run=*/batch=0")
+    (broken / "part-broken.parquet").write_text("no parquet")
+    add_files(spark, [(1, "changed"), (2, "b"), (None, "again")], schemas.SUMMARIES, src)
+    jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
+    assert seen.count((1, "a")) == 1 and sorted(seen, key=repr) == [(1, "a"), (2, "b"), (None, "n")]
+
+
+def test_a_failed_batch_is_scored_again_and_once(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    calls = []
+
+    def score(batch):
+        calls.append(batch.count())
+        if len(calls) == 1:
+            raise RuntimeError("scorer is down")
+        return batch.select("article_index", F.length("summary").cast("double").alias("sentiment"))
+
+    struct = add_files(spark, [(1, "a"), (2, "bb")], schemas.SUMMARIES, src)
+    with pytest.raises(Exception, match="scorer is down"):
+        jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
+    jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
+    assert calls == [2, 2]
+    assert {r.article_index: r.sentiment for r in spark.read.parquet(out).collect()} == {1: 1.0, 2: 2.0}
+
+
 def test_force_scores_everything_again(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     struct = add_files(spark, [(1, "a"), (2, "bb")], schemas.SUMMARIES, src)
@@ -61,13 +97,13 @@ def test_a_repeated_batch_replaces_its_own_rows_only(spark, tmp_path):
         (tmp_path / name / "metadata").write_text('{"id":"%s"}' % name)
     one, two = (jobs.BatchTable(out, str(tmp_path / name)) for name in ("a", "b"))
     rows = lambda *ids: spark.createDataFrame([(i, 1.0) for i in ids], "article_index bigint, sentiment double")
-    assert one.stored(spark, 0) is None
+    assert one.of_other_runs(spark) is None
     one.write(rows(1, 2), 0)
-    assert one.stored(spark, 0) is None
+    assert one.of_other_runs(spark) is None
     two.write(rows(3), 0)
     one.write(rows(1), 0)
     assert sorted(r.article_index for r in spark.read.parquet(out).collect()) == [1, 3]
-    assert [r.article_index for r in one.stored(spark, 0).collect()] == [3]
+    assert [r.article_index for r in one.of_other_runs(spark).collect()] == [3]
 
 
 def test_daily_means_take_late_rows(spark, tmp_path):

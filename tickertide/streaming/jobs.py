@@ -61,15 +61,12 @@ class BatchTable:
                 return n, run
         return max(started, default=-1) + 1, run
 
-    def stored(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """All rows but those of this batch; None while there are none."""
-        started, run = self._run(spark)
-        others = [n for n in _folders(spark, self.out) if n.startswith("started=") and n != f"started={started}"]
-        earlier = [n for n in _folders(spark, f"{self.out}/started={started}/run={run}") if n != f"batch={batch_id}"]
-        if not others and not earlier:
-            return None
-        own = (F.col("started") == started) & (F.col("run") == run) & (F.col("batch") == batch_id)
-        return spark.read.parquet(self.out).filter(~own)
+    def of_other_runs(self, spark: SparkSession) -> DataFrame | None:
+        """The rows of all other runs; None while there are none. Own batches are neither read nor listed."""
+        _, own = self._run(spark)
+        places = [f"{self.out}/{started}/{run}" for started in _folders(spark, self.out) if started.startswith("started=")
+                  for run in _folders(spark, f"{self.out}/{started}") if run != f"run={own}"]
+        return spark.read.option("basePath", self.out).parquet(*places) if places else None
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         started, run = self._run(rows.sparkSession)
@@ -102,22 +99,20 @@ def score_new_articles(
 ) -> None:
     """Score articles not scored before and add them to the table at ``out``.
 
-    Scores of other checkpoints on the table count as done and are kept. With ``force`` everything
-    there is is read and scored again, under a checkpoint of its own below the given one, and the
-    newest run wins (see ``read_scores``).
+    What this checkpoint has scored is kept as keyed state (one entry per article, found by its key), so a
+    batch costs what it brings, however large the table is. Scores of other checkpoints on the table count as
+    done and are kept; they alone are read. With ``force`` everything there is is read and scored
+    again, under a checkpoint of its own below the given one, and the newest run wins (see ``read_scores``).
     """
     if force:
         checkpoint = f"{checkpoint}/refresh-{uuid.uuid4().hex}"
     table = BatchTable(out, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["article_index"])
-        done = None if force else table.stored(batch.sparkSession, batch_id)
-        if done is not None:
-            fresh = not_yet_scored(fresh, done)
-        table.write(score(fresh), batch_id)
+        done = None if force else table.of_other_runs(batch.sparkSession)
+        table.write(score(batch if done is None else not_yet_scored(batch, done)), batch_id)
 
-    run_available(articles, checkpoint, write)
+    run_available(articles.dropDuplicates(["article_index"]), checkpoint, write)
 
 
 def read_scores(spark: SparkSession, out: str) -> DataFrame:
