@@ -46,6 +46,18 @@ def test_a_batch_reads_nothing_of_what_its_run_has_stored(spark, tmp_path):
     assert seen.count((1, "a")) == 1 and sorted(seen, key=repr) == [(1, "a"), (2, "b"), (None, "n")]
 
 
+def test_a_scorer_may_join_its_articles_with_themselves(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+
+    def score(batch):
+        lengths = batch.select("article_index", F.length("summary").cast("double").alias("sentiment"))
+        return batch.select("article_index").join(lengths, "article_index").unionByName(lengths.filter("false"))
+
+    struct = add_files(spark, [(1, "a"), (2, "bb"), (2, "bb")], schemas.SUMMARIES, src)
+    jobs.score_new_articles(jobs.file_stream(spark, src, struct), score, out, mark)
+    assert {r.article_index: r.sentiment for r in spark.read.parquet(out).collect()} == {1: 1.0, 2: 2.0}
+
+
 def test_a_failed_batch_is_scored_again_and_once(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     calls = []

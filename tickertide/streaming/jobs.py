@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from tickertide.functions.columns import as_instant, instant_date
 from tickertide.operators.news import in_years
 from tickertide.operators.sentiment import not_yet_scored
+from tickertide.session import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -109,8 +110,13 @@ def score_new_articles(
     table = BatchTable(out, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = None if force else table.of_other_runs(batch.sparkSession)
-        table.write(score(batch if done is None else not_yet_scored(batch, done)), batch_id)
+        spark = batch.sparkSession
+        done = None if force else table.of_other_runs(spark)
+        fresh = batch if done is None else not_yet_scored(batch, done)
+        # Written once: a scorer may read its articles several times, the state of a batch only once.
+        path = shared_dir(spark, "stream-articles")
+        fresh.write.parquet(path)
+        table.write(score(spark.read.schema(batch.schema).parquet(path)), batch_id)
 
     run_available(articles.dropDuplicates(["article_index"]), checkpoint, write)
 
