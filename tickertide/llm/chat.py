@@ -4,7 +4,8 @@ Prefix sums of turn tokens over each conversation choose the spans: whole turns,
 window as ``budget`` allows. Each window but the first repeats the system turn (a first turn of role
 `system`) and the latest whole turns within ``history`` tokens; repeated turns and all roles but
 ``trained`` are masked, so each text of a trained role is a target exactly once. A turn that alone
-exceeds the budget has a window of its own.
+exceeds the budget has a window of its own; a system turn that does not fit beside the next new turn is
+left out of that window. So no other window exceeds the budget.
 
 Prefix sums also cut long conversations into stretches of ``STRETCH`` budgets, which are formatted
 apart (the tail of the one before is lent for history), so no task holds a conversation.
@@ -84,13 +85,14 @@ def _windows_of(turns: list[dict], budget: int, history: int, trained: str):
                 system = turns[at]
         else:
             # The latest turns before this one, while they fit the history and leave room for it.
-            held = system["tokens"] if system else 0
+            lead = [system] if system and system["tokens"] + turns[at]["tokens"] <= budget else []
+            held = sum(t["tokens"] for t in lead)
             room = min(history, budget - held - turns[at]["tokens"])
             first = at
             while first and turns[first - 1]["place"] > (0 if system else -1) and turns[first - 1]["tokens"] <= room:
                 first -= 1
                 room -= turns[first]["tokens"]
-            repeated = [*([system] if system else []), *turns[first:at]]
+            repeated = [*lead, *turns[first:at]]
             held = sum(t["tokens"] for t in repeated)
         end = at + 1
         held += turns[at]["tokens"]

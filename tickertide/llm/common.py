@@ -32,6 +32,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), plain_text(text)), 256)
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, or a longer one where a column is called so already (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(rows: DataFrame, key: str, same: Sequence[str]) -> DataFrame:
+    """One row per ``key``, whose rows are equal in ``same``: the first by its other columns written as JSON."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in (key, *same)]
+    place = F.to_json(F.struct(*others)) if others else F.lit("")
+    fields = [F.col(f"`{c}`") for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*fields), place).alias("_row")).select(key, "_row.*")
+
+
 def ordered_positions(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str) -> DataFrame:
     """Rows in a total order with running sums over all rows up to and including each row.
 
@@ -77,15 +93,16 @@ def in_batches(df: DataFrame, fn, fields: Sequence[tuple[str, str]], columns: Se
     """
     names = [name for name, _ in fields]
     kept = [c for c in (df.columns if columns is None else columns) if c not in names]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    own = free_name(kept, "__text")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(own))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{name}` {kind}" for name, kind in fields])
 
     def run(batches):
         step = fn()
         for batch in batches:
-            for piece in pieces(batch, "__text", max_bytes):
-                made = step(texts_of(piece, "__text"))
+            for piece in pieces(batch, own, max_bytes):
+                made = step(texts_of(piece, own))
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + list(made), [*kept, *names])
 
     return rows.mapInArrow(run, schema)

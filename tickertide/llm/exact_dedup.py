@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickertide.llm.common import BLANK, plain_text, row_key, stored
+from tickertide.llm.common import BLANK, free_name, one_of_each, plain_text, row_key, stored
 
 SUPPORT = 0.001
 
@@ -58,9 +58,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows that stay, with all their columns. Of rows equal in id and text one stays."""
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    identity = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "_key")
+    """The rows that stay, with all their columns. Of rows equal in id and text the first by its other columns stays."""
+    key = free_name(docs.columns, "_key")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    identity = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("key"))
     decided = exact_dedup(keyed.select(identity.alias("_id"), F.col(text).alias("text")), "_id", "text", support)
-    kept = decided.filter("kept").select(F.col("doc_id._key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+    kept = decided.filter("kept").select(F.col("doc_id.key").alias(key))
+    return one_of_each(keyed.join(kept, key, "left_semi"), key, [doc_id, text]).select(*docs.columns)

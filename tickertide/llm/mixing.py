@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickertide.llm.common import WORD, plain_text, row_key, stored
+from tickertide.llm.common import WORD, free_name, one_of_each, plain_text, row_key, stored
 
 BLOCKS = 65_536
 OWN_BLOCKS = 256
@@ -157,15 +157,17 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A copy that takes every part keeps the text as it is; otherwise its words are joined by one space.
     """
-    keyed = docs.withColumn("_key", row_key(doc_id, text)).dropDuplicates(["_key"])
-    plan = mix(keyed.select("_key", F.col(text).alias("text"), F.col(source).alias("source")), "_key", "text", "source", **options)
-    plan = plan.filter("taken > 0").select(F.col("doc_id").alias("_key"), F.col("parts").alias("_parts"))
-    most = F.array_max(F.transform("_parts", lambda p: p["times"]))
-    rows = keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
+    key, parts, copy = (free_name(docs.columns, name) for name in ("_key", "_parts", "_copy"))
+    keyed = one_of_each(docs.withColumn(key, row_key(doc_id, text)), key, [doc_id, text])
+    narrow = keyed.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    plan = mix(narrow, "key", "text", "source", **options)
+    plan = plan.filter("taken > 0").select(F.col("doc_id").alias(key), F.col("parts").alias(parts))
+    most = F.array_max(F.transform(parts, lambda p: p["times"]))
+    rows = keyed.join(plan, key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
     words = F.regexp_extract_all(plain_text(text), F.lit(f"({WORD})"))
-    chosen = F.filter("_parts", lambda p: p["times"] >= F.col("_copy"))
+    chosen = F.filter(parts, lambda p: p["times"] >= F.col(copy))
     picked = F.flatten(F.transform(chosen, lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n"].cast("int"))))
-    whole = F.size(chosen) == F.size("_parts")
+    whole = F.size(chosen) == F.size(parts)
     rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(picked, " ")))
     return rows.select(*docs.columns)
 
@@ -185,19 +187,20 @@ def whole_documents(
     seeded order, those whose first word lies in the rest of the target are taken once more.
     Documents without words are not taken.
     """
-    keyed = docs.withColumn("_key", row_key(doc_id, text)).dropDuplicates(["_key"])
-    sizes = keyed.select("_key", F.col(source).alias("source"), n_words(text).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), "_key")).alias("draw"))
+    key, copy, often = (free_name(docs.columns, name) for name in ("_key", "_copy", "_times"))
+    keyed = one_of_each(docs.withColumn(key, row_key(doc_id, text)), key, [doc_id, text])
+    sizes = keyed.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), key)).alias("draw"))
     sizes = stored(sizes.withColumn("shard", F.substring("draw", 1, shard_digits)), "sizes")
     shards = sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = targets_of(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), repeat)
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.join(sources, shards.source.eqNullSafe(sources.source)).drop(shards.source)
     starts = starts.withColumn("start", F.coalesce(F.sum("shard_size").over(before), F.lit(0)))
-    running = Window.partitionBy("source", "shard").orderBy("draw", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source", "shard").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, 0)
     at = sizes.filter("size > 0").withColumn("_end", F.sum("size").over(running))
     at = at.join(starts, at.source.eqNullSafe(starts.source) & (at["shard"] == starts["shard"]))
     whole = F.floor(F.col("target") / F.col("source_size"))
     more = F.col("start") + F.col("_end") - F.col("size") < F.round(F.col("target") - whole * F.col("source_size"))
-    times = at.select("_key", (whole + more.cast("bigint")).alias("_times")).filter("_times > 0")
-    rows = keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    times = at.select(F.col("key").alias(key), (whole + more.cast("bigint")).alias(often)).filter(F.col(often) > 0)
+    rows = keyed.join(times, key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(often))))
     return rows.select(*docs.columns)

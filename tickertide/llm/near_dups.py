@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertide.llm.common import in_batches, row_key, stored
+from tickertide.llm.common import free_name, in_batches, one_of_each, row_key, stored
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -412,9 +412,10 @@ def heads_of(members: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The first row of every class, with all its columns. Of rows equal in id and text one stays."""
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    identity = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "_key")
+    """The first row of every class, with all its columns. Of rows equal in id and text the first by its other columns stays."""
+    key = free_name(docs.columns, "_key")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    identity = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("key"))
     found = near_classes(keyed.select(identity.alias("_id"), F.col(text).alias("text")), "_id", "text", counted=False, **options)
-    kept = found.filter("kept").select(F.col("doc_id._key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    kept = found.filter("kept").select(F.col("doc_id.key").alias(key))
+    return one_of_each(keyed.join(kept, key, "left_semi"), key, [doc_id, text]).select(*docs.columns)

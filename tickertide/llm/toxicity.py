@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertide.llm.common import in_batches, pieces, plain_text
+from tickertide.llm.common import free_name, in_batches, pieces, plain_text
 from tickertide.llm.ngrams import code_points, hashed
 
 SIZES = range(3, 6)
@@ -185,5 +185,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
 
 def clean_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents whose score is below one half, with all their columns."""
-    scored = score(docs, fit(docs, labels, doc_id, text, **options), text, name="__toxic")
-    return scored.filter("__toxic < 0.5").select(*docs.columns)
+    name = free_name(docs.columns, "__toxic")
+    scored = score(docs, fit(docs, labels, doc_id, text, **options), text, name=name)
+    return scored.filter(F.col(name) < 0.5).select(*docs.columns)
