@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_pipeline import plain_targets
 
 import corpus_pipeline
 from tickertide.llm import ann, chat, language, mixing, pieces_coding, toxicity
@@ -170,6 +171,29 @@ def test_mix_stage_passes_whole_documents(spark):
     assert corpus_pipeline.mix_sources(spark, table(spark, []), "").count() == 0
 
 
+def _highest_quotients(sizes, repeat=3):
+    """Plain Sainte-Lague: each word goes to the source with the largest target / (2 * seats + 1)."""
+    targets = plain_targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    won = {s: repeat * sizes[s] if targets[s] >= repeat * sizes[s] else 0 for s in order}
+    free = [s for s in order if targets[s] < repeat * sizes[s]]
+    for _ in range(sum(sizes.values()) - sum(won.values())):
+        best = max((s for s in free if won[s] < repeat * sizes[s]), key=lambda s: (targets[s] / (2 * won[s] + 1), -order.index(s)))
+        won[best] += 1
+    return won
+
+
+def test_mix_stage_deals_words_by_highest_quotients(spark):
+    """One-word documents show the quotas; rounded targets 1.5, 3 and 4.5 would take ten words of nine."""
+    draw = random.Random(11)
+    cases = [{"a": 3, "b": 3, "c": 3}, {"only": 5}, {"a": 40, "b": 1, None: 2}]
+    cases += [{f"s{k:02}": draw.choice([1, 2, 7, 30, 90]) for k in range(n)} for n in (5, 17)]
+    for sizes in cases:
+        rows = [(1000 * k + i, "w", None, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+        out = corpus_pipeline.mix_sources(spark, table(spark, rows), "").collect()
+        assert {s: sum(r.source == s for r in out) for s in sizes} == _highest_quotients(sizes)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

@@ -59,16 +59,47 @@ def targets_of(sources: DataFrame, repeat: int = REPEAT) -> DataFrame:
     return ranked.select("source", "place", "source_size", "total", target.alias("target"))
 
 
-def seats(table: DataFrame, votes: Column, cap: Column, wanted: Column, by: list[str], tie: list[str]) -> DataFrame:
-    """Add ``quota``: seats by highest quotients among the rows of ``by``, at most ``cap`` for a row."""
-    rows = table.withColumns({"_votes": votes, "_cap": cap, "_wanted": wanted})
-    claims = rows.filter("_cap > 0").withColumn("_seat", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_cap").cast("bigint"))))
+def seats(table: DataFrame, votes: Column, cap: Column, wanted: Column, by: list[str], tie: list[str], sure: Column | None = None) -> DataFrame:
+    """Add ``quota``: seats by highest quotients among the rows of ``by``, at most ``cap`` for a row.
+
+    The first ``sure`` seats of a row are not ranked and not added: ``wanted`` and ``quota`` leave them out.
+    """
+    rows = table.withColumns({"_votes": votes, "_cap": cap, "_wanted": wanted, "_sure": F.lit(0) if sure is None else sure})
+    ranked = F.sequence(F.col("_sure").cast("bigint") + 1, F.col("_cap").cast("bigint"))
+    claims = rows.filter("_cap > _sure").withColumn("_seat", F.explode(ranked))
     quotient = F.col("_votes") / (2 * F.col("_seat") - 1)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(quotient.desc(), *tie, "_seat"))
     won = claims.withColumn("_rank", rank).filter("_rank <= _wanted").groupBy(*by, *tie).agg(F.count("*").alias("quota"))
     return table.join(won, [*by, *tie], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("bigint"))
 
 
+def word_seats(sources: DataFrame, repeat: int = REPEAT) -> DataFrame:
+    """Add ``quota`` to sources with targets: one word a seat, as many as all words, by highest quotients.
+
+    A source whose target is its cap has that many; the others share what is left. Rounded votes divided by
+    d are the seats whose quotients reach d. Of n sources with ``left`` words, left / (left - n / 2) deals out too few
+    seats, which are sure, and left / (left + n / 2) too many: between them lie two seats a source, which are ranked.
+    """
+    everything = Window.partitionBy()
+    cap = F.col("source_size") * repeat
+    full = F.col("target") >= cap
+    rows = sources.withColumns({"_all": F.lit(0), "_full": full, "_most": cap.cast("bigint")})
+    rows = rows.withColumns(
+        {
+            "_left": F.col("total") - F.coalesce(F.sum(F.when(full, cap)).over(everything), F.lit(0)),
+            "_n": F.sum((~full).cast("int")).over(everything),
+        }
+    )
+    reached = lambda more: F.floor(F.col("target") * (F.col("_left") + more * F.col("_n") / 2) / F.nullif(F.col("_left"), F.lit(0)) + 0.5)
+    bounded = lambda n: F.coalesce(F.greatest(F.lit(0), F.least("_most", n)), F.lit(0)).cast("bigint")
+    rows = rows.withColumns({"_few": F.when(~F.col("_full"), bounded(reached(-1))), "_many": F.when(~F.col("_full"), bounded(reached(1)))})
+    rows = rows.withColumn("_open", F.col("_left") - F.coalesce(F.sum("_few").over(everything), F.lit(0)))
+    few = F.coalesce("_few", F.lit(0))
+    rows = seats(rows, F.col("target"), F.coalesce("_many", F.lit(0)), F.col("_open"), ["_all"], ["place"], few)
+    quota = F.when(F.col("_full"), F.col("_most")).otherwise(few + F.col("quota"))
+    return rows.withColumn("quota", quota).drop("_all", "_full", "_most", "_left", "_n", "_few", "_many", "_open")
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -181,11 +212,12 @@ def whole_documents(
     shard_digits: int = SHARD_DIGITS,
     seed: str = SEED,
 ) -> DataFrame:
-    """The mix in whole documents, as rows of ``docs``: each source meets its target within one document.
+    """The mix in whole documents, as rows of ``docs``: each source meets its quota within one document.
 
-    A source is taken whole as often as it fits into its target; of the stream of its documents in
-    seeded order, those whose first word lies in the rest of the target are taken once more.
-    Documents without words are not taken.
+    The quotas are seats of one word, as many as there are words, dealt to the sources by highest
+    quotients (see ``word_seats``). The documents of a source in seeded order are the list that fills its
+    seats, from the front again when it ends: a document is taken as often as its first word gets a seat, so
+    the last one taken may run over the quota. Documents without words are not taken.
     """
     key, copy, often = (free_name(docs.columns, name) for name in ("_key", "_copy", "_times"))
     keyed = one_of_each(docs.withColumn(key, row_key(doc_id, text)), key, [doc_id, text])
@@ -193,14 +225,14 @@ def whole_documents(
     sizes = stored(sizes.withColumn("shard", F.substring("draw", 1, shard_digits)), "sizes")
     shards = sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = targets_of(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), repeat)
+    sources = stored(word_seats(sources, repeat), "quotas")
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.join(sources, shards.source.eqNullSafe(sources.source)).drop(shards.source)
     starts = starts.withColumn("start", F.coalesce(F.sum("shard_size").over(before), F.lit(0)))
     running = Window.partitionBy("source", "shard").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, 0)
     at = sizes.filter("size > 0").withColumn("_end", F.sum("size").over(running))
     at = at.join(starts, at.source.eqNullSafe(starts.source) & (at["shard"] == starts["shard"]))
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    more = F.col("start") + F.col("_end") - F.col("size") < F.round(F.col("target") - whole * F.col("source_size"))
-    times = at.select(F.col("key").alias(key), (whole + more.cast("bigint")).alias(often)).filter(F.col(often) > 0)
+    more = F.col("start") + F.col("_end") - F.col("size") < F.expr("quota % source_size")
+    times = at.select(F.col("key").alias(key), (F.expr("quota div source_size") + more.cast("bigint")).alias(often)).filter(F.col(often) > 0)
     rows = keyed.join(times, key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(often))))
     return rows.select(*docs.columns)
