@@ -11,6 +11,7 @@ from tickertide.operators import features as feats
 from tickertide.operators import sentiment as senti
 from tickertide.operators import window_store as ws
 from tickertide.operators import windows as win
+from tickertide.sources import writers
 
 
 def frames(seed=0):
@@ -388,3 +389,30 @@ def test_bars_without_a_ticker_are_kept(data):
     lost = sbars.filter("ticker = 'TWO'").withColumn("ticker", F.lit(None).cast("string"))
     got = feats.feature_table(sbars.unionByName(lost), snews)
     assert got.filter("ticker IS NULL").count() == feats.feature_table(sbars, snews).filter("ticker = 'TWO'").count()
+
+
+def test_one_file_per_ticker_unless_it_is_large(spark, tmp_path):
+    days = pd.date_range("2000-01-01", periods=900).date
+    rows = [(t, d, float(k), k + 1) for t, n in (("BIG", 900), ("SMALL", 400), (None, 3)) for k, d in enumerate(days[:n])]
+    combined = spark.createDataFrame(rows, "ticker string, date date, close double, pos int").repartition(4)
+    path = str(tmp_path / "combined")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would share a task
+    try:
+        writers.write_by_ticker(combined, path, rows_per_file=400)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "combined").glob("ticker=*")}
+    assert files["ticker=SMALL"] == files["ticker=__HIVE_DEFAULT_PARTITION__"] == 1 and 1 < files["ticker=BIG"] <= 3
+    back = spark.read.parquet(path).select("ticker", "date", "close").collect()
+    assert sorted(map(repr, map(tuple, back))) == sorted(repr(r[:3]) for r in rows)
+
+
+def test_positions_of_combined_bars(spark, data):
+    _, _, sbars, snews = data
+    table = senti.cumulative_features(snews)
+    plain = senti.combine_with_bars(sbars, table)
+    assert "pos" not in plain.columns
+    got = senti.combine_with_bars(sbars, table, positions=True).toPandas()
+    assert len(got) == plain.count()
+    for _, g in got.sort_values("date").groupby("ticker"):
+        assert list(g["pos"]) == list(range(1, len(g) + 1))
