@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickertide.functions.stems import stem_table
+from tickertide.functions.stems import stem_table, stemmed
 from tickertide.operators import long_texts
 from tickertide.operators import text as ops
 from test_text import brute_force_central, corpus
@@ -89,3 +89,25 @@ def test_twenty_thousand_sentences_in_many_tasks(spark):
     assert len({r.task for r in sizes}) > 1
     best = long_texts.central_sentences(parts).first()._best
     assert list(best) == ops._central_sentences([list(s) for s in parts.first()._terms], 5)
+
+
+def test_stems_in_tasks_equal_the_table(spark, folder):
+    """One word at a time gives what the table of distinct words gives."""
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
+    made = [f"{a}{b}" for a in ("plat", "hopp", "agr", "fil", "oper", "y", "ro", "") for b in [*STEMS[::2], "ational", "eed", "ied", "ions", "ll", "e", "ying"]]
+    words = texts.distinct().union(spark.createDataFrame([(w,) for w in [*made, "été", "x1s", "s", ""]], "word string")).distinct()
+    rows = stem_table(words).collect()
+    assert len(rows) > 500 and [r.word for r in rows if stemmed(r.word) != r.stem] == []
+
+
+def test_no_word_is_shuffled_and_no_group_is_made_per_block(spark, folder):
+    """Words stay in the row of their text; blocks are rows, not groups with an Arrow stream each."""
+    articles = corpus(spark, folder, 20)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(ops.summarise(articles, stem=True))
+    parts = ops.sentence_terms(articles)
+    blocks = long_texts._sentence_blocks(long_texts._word_weights(parts, True), 16)
+    assert "hashpartitioning" not in plan(blocks)
+    ranks = spark.createDataFrame([], "article_index bigint, block int, rank array<double>, degree array<double>, away double")
+    links = long_texts._links(blocks, 16)
+    assert "CoGroup" not in plan(links) + plan(long_texts._round(links, ranks, F.col("rank")))

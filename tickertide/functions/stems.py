@@ -7,6 +7,9 @@ left meets the step's condition.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Conditions on what is left of a word, as patterns (y is a vowel behind a consonant).
@@ -81,3 +84,46 @@ def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
     step(F.when(w.endswith("e") & drop_e, short).otherwise(w))
     step(F.when(w.endswith("ll") & matches(w, MEASURE_OVER_1), _cut(w, 1)).otherwise(w))
     return steps.select("word", F.when(matches("word", "^[a-z]{3,}$"), w).otherwise(F.col("word")).alias("stem"))
+
+
+# Fixed value: words whose stems a Python worker keeps.
+KEPT_STEMS = 100_000
+
+
+@functools.cache
+def _pattern(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII)
+
+
+def _replaced_in(word: str, table: dict[str, str], condition: str) -> str:
+    found = _pattern(suffix_pattern(table)).search(word)
+    return found[1] + table[found[2]] if found and _pattern(condition).search(found[1]) else word
+
+
+@functools.lru_cache(KEPT_STEMS)
+def stemmed(word: str) -> str:
+    """The stem of one word, by the rules of ``stem_table``: for words that tasks hold already."""
+    matches = lambda value, pattern: _pattern(pattern).search(value) is not None
+    if not matches(word, "^[a-z]{3,}$"):
+        return word
+    w = _replaced_in(word, PLURALS, "")
+    found = _pattern("^(.*?)(ed|ing)$").search(w)
+    rest = found[1] if found else ""
+    if not w.endswith("eed") and matches(rest, HAS_VOWEL):
+        if matches(rest, "(at|bl|iz)$"):
+            w = rest + "e"
+        elif matches(rest, "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy)$"):
+            w = rest[:-1]
+        else:
+            w = rest + "e" if matches(rest, MEASURE_IS_1) and matches(rest, SHORT_END) else rest
+    elif w.endswith("eed") and matches(w[:-3], MEASURE_OVER_0):
+        w = w[:-1]
+    if w.endswith("y") and matches(w[:-1], HAS_VOWEL):
+        w = w[:-1] + "i"
+    w = _replaced_in(_replaced_in(w, DERIVED, MEASURE_OVER_0), FORMED, MEASURE_OVER_0)
+    if not w.endswith("ion") or matches(w, "[st]ion$"):
+        w = _replaced_in(w, dict.fromkeys(REMOVED, ""), MEASURE_OVER_1)
+    short = w[:-1]
+    if w.endswith("e") and (matches(short, MEASURE_OVER_1) or (matches(short, MEASURE_IS_1) and not matches(short, SHORT_END))):
+        w = short
+    return w[:-1] if w.endswith("ll") and matches(w, MEASURE_OVER_1) else w

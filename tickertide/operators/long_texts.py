@@ -3,20 +3,22 @@
 The sentence graph of a long text is a table of blocks: a task compares one block of sentences with
 another and stores which pairs are linked, a bit per pair. Power iteration is a Spark loop over that
 table: each block of links passes the ranks of its rows on to its columns and back, and a round is
-written before the next begins. Summaries equal those of ``text.summarise``, which holds a text in one
-task; memory of a task is a block of links, whatever the length of the text.
+written before the next begins. Blocks are rows that tasks go through by Arrow batches, with no group per
+block. Summaries equal those of ``text.summarise``, which holds the graph of a text in one task; here a task
+holds the words of a text or a block of links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickertide.functions.columns import sentences
+from tickertide.functions.stems import stemmed
 from tickertide.operators.text import (
     EDGE_THRESHOLD,
     STOP_WORDS,
@@ -25,7 +27,7 @@ from tickertide.operators.text import (
     join_sentences,
     sentence_terms,
     summarise,
-    word_stems,
+    weighted_terms,
 )
 from tickertide.session import shared_dir
 
@@ -34,7 +36,7 @@ BLOCK = 1024  # sentences of a block
 LEAST_SENTENCE = 3  # characters of the shortest sentence with its blank
 
 KEY = "article_index"
-RANKS = f"{KEY} bigint, block int, rank array<double>, degree array<double>, away double"
+PIECE = 4_000_000  # values and bytes of a batch of rows that a task gives out
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -43,37 +45,71 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _in_pieces(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded size, so that what a task holds does not grow with its rows."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += sum(len(v) for v in row.values() if hasattr(v, "__len__"))
+        if weight > PIECE:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _mapped(df: DataFrame, each: Callable[..., Iterator[dict]], fields: list[pa.Field], ddl: str) -> DataFrame:
+    """Rows from ``each(row, columns)``, applied where the rows lie; ``columns`` gives the values of an array column."""
+    schema = pa.schema(fields)
+
+    def values(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+        return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for k in range(batch.num_rows) for row in each(batch, k, partial(values, batch, k=k)))
+        yield from _in_pieces(rows, schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+_INTS, _DOUBLES = pa.list_(pa.int32()), pa.list_(pa.float64())
+_WORDS = [pa.field("at", _INTS), pa.field("w", _INTS), pa.field("v", _DOUBLES)]
+
+
 def _word_weights(parts: DataFrame, stem: bool) -> DataFrame:
-    """(article, n, i, w, v): idf-weighted frequency of each word of each sentence; a null word where there is none."""
-    rows = parts.select(KEY, F.size("_terms").alias("n"), F.posexplode("_terms").alias("i", "words"))
-    rows = rows.select(KEY, "n", "i", F.explode_outer("words").alias("word"))
-    if stem:
-        stems = word_stems(parts).withColumnsRenamed({KEY: "_article", "word": "_word"})
-        same = F.col(KEY).eqNullSafe(F.col("_article")) & (F.col("word") == F.col("_word"))
-        rows = rows.join(stems, same, "left").withColumn("word", F.col("stem"))
-    counts = rows.groupBy(KEY, "n", "i", F.col("word").alias("w")).agg(F.count("*").alias("c"))
-    top = F.max("c").over(Window.partitionBy(KEY, "i"))
-    holding = F.count("*").over(Window.partitionBy(KEY, "w"))
-    return counts.withColumn("v", F.when(F.col("w").isNotNull(), F.col("c") / top * F.log(F.col("n") / (1 + holding))))
+    """Per article its ``n`` sentences and idf-weighted word frequencies: sentence ``at``, number of the word ``w``, weight ``v``."""
+
+    def each(batch: pa.RecordBatch, k: int, values) -> Iterator[dict]:
+        terms = batch.column("_terms")[k].as_py()
+        if not terms:
+            return
+        at, w, v, _ = weighted_terms([list(map(stemmed, s)) for s in terms] if stem else terms)
+        order = np.argsort(at, kind="stable")
+        yield {KEY: batch.column(KEY)[k].as_py(), "n": len(terms), "at": at[order], "w": w[order], "v": v[order]}
+
+    fields = [pa.field(KEY, pa.int64()), pa.field("n", pa.int32()), *_WORDS]
+    return _mapped(parts.select(KEY, "_terms"), each, fields, f"{KEY} bigint, n int, at array<int>, w array<int>, v array<double>")
 
 
 def _sentence_blocks(weights: DataFrame, block: int) -> DataFrame:
     """One row per article and block: its words by sentence (0-based in the block)."""
-    size = F.least(F.lit(block), F.col("n") - F.col("block") * block)
-    known = F.when(F.col("w").isNotNull(), F.struct((F.col("i") % block).alias("at"), "w", "v"))
-    blocks = weights.withColumn("block", F.floor(F.col("i") / block).cast("int")).groupBy(KEY, "n", "block").agg(F.collect_list(known).alias("e"))
-    return blocks.select(KEY, "n", "block", size.cast("int").alias("size"), "e.at", "e.w", "e.v")
 
+    def each(batch: pa.RecordBatch, k: int, values) -> Iterator[dict]:
+        n, at, w, v = batch.column("n")[k].as_py(), values("at"), values("w"), values("v")
+        for number, first in enumerate(range(0, n, block)):
+            size = min(block, n - first)
+            low, high = np.searchsorted(at, [first, first + size])
+            own = {"at": at[low:high] - first, "w": w[low:high], "v": v[low:high]}
+            yield {KEY: batch.column(KEY)[k].as_py(), "n": n, "block": number, "size": size, **own}
 
-def _sparse(block: pa.Table, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    at, w, v = (block.column(prefix + c).combine_chunks()[0].values for c in ("at", "w", "v"))
-    return at.to_numpy(), w.to_numpy(zero_copy_only=False), v.to_numpy(), block.column(f"{prefix}size")[0].as_py()
+    fields = [pa.field(KEY, pa.int64()), *[pa.field(c, pa.int32()) for c in ("n", "block", "size")], *_WORDS]
+    return _mapped(weights, each, fields, f"{KEY} bigint, n int, block int, size int, at array<int>, w array<int>, v array<double>")
 
 
-def _linked(key, left: pa.Table, right: pa.Table) -> pa.Table:
+def _linked(left, right) -> np.ndarray:
     """Which sentences of one block have a cosine over the threshold with which of another, as bits."""
-    (at, w, v, rows), (other_at, other_w, other_v, columns) = _sparse(left), _sparse(right, "other_")
-    number, names = pd.factorize(np.concatenate([w, other_w]))
+    (at, w, v, rows), (other_at, other_w, other_v, columns) = left, right
+    names, number = np.unique(np.concatenate([w, other_w]), return_inverse=True)
     norm, other_norm = (np.sqrt(np.bincount(a, x * x, minlength=n)) for a, x, n in ((at, v, rows), (other_at, other_v, columns)))
     dots = np.zeros((rows, columns))
     own, others = number[: len(w)], number[len(w) :]
@@ -86,74 +122,74 @@ def _linked(key, left: pa.Table, right: pa.Table) -> pa.Table:
             dense[at[a], own[a] - first] = v[a]
             other[other_at[b], others[b] - first] = other_v[b]
             dots += dense @ other.T
-    bits = np.packbits(dots > EDGE_THRESHOLD * np.outer(norm, other_norm))
-    names = [KEY, "block", "other", "rows", "columns", "bits"]
-    return pa.table([pa.array([x]) for x in (key[0].as_py(), key[1].as_py(), key[2].as_py(), rows, columns, bits.tobytes())], names)
+    return np.packbits(dots > EDGE_THRESHOLD * np.outer(norm, other_norm))
 
 
 def _links(blocks: DataFrame, block: int) -> DataFrame:
     """Blocks of links of all pairs of blocks of a text, the first not behind the other."""
     last = F.floor((F.col("n") - 1) / block).cast("int")
-    body = [KEY, "size", "at", "w", "v"]
-    left = blocks.select(*body, "block", F.explode(F.sequence(F.col("block"), last)).alias("other"))
+    body = ["size", "at", "w", "v"]
+    left = blocks.select(KEY, *body, "block", F.explode(F.sequence(F.col("block"), last)).alias("other"))
     # Columns of their own on both sides: they come from one table.
-    right = blocks.select(*[F.col(c).alias(f"other_{c}") for c in body], F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("first"))
-    keys = [KEY, "block", "other"]
-    schema = f"{KEY} bigint, block bigint, other bigint, rows bigint, columns bigint, bits binary"
-    return left.groupBy(*keys).cogroup(right.groupBy(f"other_{KEY}", "first", "other")).applyInArrow(_linked, schema)
-
-
-def _passed_on(key, links: pa.Table, shares: pa.Table) -> pa.Table:
-    """What the sentences of two blocks pass to each other over their links."""
-    if not links.num_rows:
-        return pa.table({KEY: pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "given": pa.array([], pa.list_(pa.float64()))})
-    first, other = key[1].as_py(), key[2].as_py()
-    rows, columns = links.column("rows")[0].as_py(), links.column("columns")[0].as_py()
-    mask = np.unpackbits(np.frombuffer(links.column("bits")[0].as_py(), np.uint8), count=rows * columns).reshape(rows, columns)
-    share = dict(zip(shares.column("from").to_pylist(), shares.column("share").to_pylist()))
-    out = [(other, np.array(share[first]) @ mask)]
-    if other != first:
-        out.append((first, mask @ np.array(share[other])))
-    article = [key[0].as_py()] * len(out)
-    given = pa.array([list(g) for _, g in out], pa.list_(pa.float64()))
-    return pa.table([pa.array(article, pa.int64()), pa.array([b for b, _ in out], pa.int32()), given], [KEY, "block", "given"])
+    right = blocks.select(F.col(KEY).alias("_article"), *[F.col(c).alias(f"other_{c}") for c in body], F.col("block").alias("_other"))
+    # The work of a pair is the square of its bytes: a fixed number of tasks, not one per so many bytes.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, KEY, "other"), right.repartition(tasks, "_article", "_other")
+    pairs = left.join(right, (F.col(KEY) == F.col("_article")) & (F.col("other") == F.col("_other"))).drop("_article", "_other")
+
+    def each(batch: pa.RecordBatch, k: int, values) -> Iterator[dict]:
+        at = {c: batch.column(c)[k].as_py() for c in (KEY, "block", "other", "size", "other_size")}
+        sides = [[*[values(f"{prefix}{c}") for c in ("at", "w", "v")], at[f"{prefix}size"]] for prefix in ("", "other_")]
+        bits = _linked(*sides).tobytes()
+        yield {KEY: at[KEY], "block": at["block"], "other": at["other"], "rows": at["size"], "columns": at["other_size"], "bits": bits}
+
+    fields = [pa.field(KEY, pa.int64()), *[pa.field(c, pa.int32()) for c in ("block", "other", "rows", "columns")], pa.field("bits", pa.binary())]
+    return _mapped(pairs, each, fields, f"{KEY} bigint, block int, other int, rows int, columns int, bits binary")
 
 
 def _given(links: DataFrame, shares: DataFrame) -> DataFrame:
     """(article, block, given): parts of what each block gets from all blocks of its text.
 
-    ``shares`` has a row per block with the number of blocks of its text.
+    ``shares`` has a row per block. Links of a block meet the shares of its text from that block on: a list
+    as long as the text, a small part of the links.
     """
-    down = shares.select(KEY, F.col("block"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"), F.col("block").alias("from"), "share")
-    up = shares.filter("block > 0").select(
-        KEY, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("block").alias("other"), F.col("block").alias("from"), "share"
+    whole = shares.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("block", "share"))).alias("_s"))
+    whole = whole.select(F.col(KEY).alias("_article"), F.posexplode("_s.block").alias("_from", "_block"), F.col("_s.share").alias("_shares"))
+    later = F.slice("_shares", F.col("_from") + 1, F.size("_shares") - F.col("_from"))
+    whole = whole.select("_article", "_block", later.alias("_shares"))
+    meet = links.join(whole, (F.col(KEY) == F.col("_article")) & (F.col("block") == F.col("_block")))
+    meet = meet.select(KEY, "block", "other", "rows", "columns", "bits", F.get("_shares", F.lit(0)).alias("down"), F.get("_shares", F.col("other") - F.col("block")).alias("up"))
+
+    def each(batch: pa.RecordBatch, k: int, values) -> Iterator[dict]:
+        article, first, other, rows, columns, bits = (batch.column(c)[k].as_py() for c in (KEY, "block", "other", "rows", "columns", "bits"))
+        mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=rows * columns).reshape(rows, columns)
+        yield {KEY: article, "block": other, "given": values("down") @ mask}
+        if other != first:
+            yield {KEY: article, "block": first, "given": mask @ values("up")}
+
+    fields = [pa.field(KEY, pa.int64()), pa.field("block", pa.int32()), pa.field("given", _DOUBLES)]
+    return _mapped(meet, each, fields, f"{KEY} bigint, block int, given array<double>")
+
+
+def _round(links: DataFrame, ranks: DataFrame, share: Column) -> DataFrame:
+    """New ranks of each block, and how far they are from the old ones (squared); the first pass counts links."""
+    given = _given(links, ranks.select(KEY, "block", share.alias("share")))
+    held = ranks.select(KEY, "block", F.lit(None).cast("array<double>").alias("given"), "rank", "degree")
+    both = given.withColumns({"rank": F.lit(None).cast("array<double>"), "degree": F.lit(None).cast("array<double>")}).unionByName(held)
+    # Parts are summed in one order, whatever the order they come in.
+    sums = both.groupBy(KEY, "block").agg(F.sort_array(F.collect_list("given")).alias("_g"), F.max("rank").alias("rank"), F.max("degree").alias("degree"))
+    nothing = F.transform("rank", lambda _: F.lit(0.0))
+    added = F.aggregate("_g", nothing, lambda total, g: F.zip_with(total, g, lambda a, b: a + b))
+    sums = sums.withColumn("_total", added).drop("_g")
+    first = F.col("degree").isNull()
+    away = F.aggregate(F.zip_with("_total", "rank", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return sums.select(
+        KEY,
+        "block",
+        F.when(first, F.col("rank")).otherwise(F.col("_total")).alias("rank"),
+        F.when(first, F.transform("_total", lambda t: F.greatest(t, F.lit(1.0)))).otherwise(F.col("degree")).alias("degree"),
+        F.when(first, F.lit(1.0)).otherwise(away).alias("away"),
     )
-    keys = [KEY, "block", "other"]
-    meet = down.unionByName(up).withColumns({"block": F.col("block").cast("bigint"), "other": F.col("other").cast("bigint")})
-    schema = f"{KEY} bigint, block int, given array<double>"
-    return links.groupBy(*keys).cogroup(meet.groupBy(*keys)).applyInArrow(_passed_on, schema)
-
-
-def _summed(key, given: pa.Table, held: pa.Table) -> pa.Table:
-    """New ranks of a block, and how far they are from the old ones (squared)."""
-    total = np.zeros(len(held.column("rank")[0]))
-    for values in given.column("given").to_pylist():
-        total += values
-    old = np.array(held.column("rank")[0].as_py())
-    degree = held.column("degree")[0].as_py()
-    if degree is None:  # the first pass counts links
-        rank, degree, away = old, np.maximum(total, 1.0), 1.0
-    else:
-        rank, away = total, float(((total - old) ** 2).sum())
-    lists = [pa.array([list(map(float, x))], pa.list_(pa.float64())) for x in (rank, degree)]
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), *lists, pa.array([away])], [KEY, "block", "rank", "degree", "away"])
-
-
-def _round(links: DataFrame, ranks: DataFrame, share) -> DataFrame:
-    blocks = F.count("*").over(Window.partitionBy(KEY)).cast("int")
-    given = _given(links, ranks.select(KEY, "block", blocks.alias("blocks"), share.alias("share")))
-    held = ranks.select(KEY, "block", "rank", "degree")
-    return given.groupBy(KEY, "block").cogroup(held.groupBy(KEY, "block")).applyInArrow(_summed, RANKS)
 
 
 def central_sentences(parts: DataFrame, keep: int = SUMMARY_SENTENCES, block: int = BLOCK, stem: bool = False) -> DataFrame:

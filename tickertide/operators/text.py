@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.columns import one_line, sample_sentences, sentences, trim_space
-from tickertide.functions.stems import stem_table
+from tickertide.functions.stems import stem_table, stemmed
 
 # Shortest text that is summarised, sentences kept, graph threshold and tolerance.
 MIN_TEXT = 100
@@ -48,7 +48,7 @@ def sentence_table(
 BLOCK_CELLS = 4_000_000  # largest dense block held while comparing sentences
 
 
-def _weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sentence, word and idf-weighted frequency of every word in every sentence, by word."""
     n = len(terms)
     owner = np.repeat(np.arange(n), [len(words) for words in terms])
@@ -69,7 +69,7 @@ def _near_blocks(terms: list[list[str]]) -> Callable[[], Iterator[tuple[int, np.
     made anew whenever it is read, so memory does not grow with the pairs.
     """
     n = len(terms)
-    row, col, value, size = _weighted_terms(terms)
+    row, col, value, size = weighted_terms(terms)
     norm = np.sqrt(np.bincount(row, value * value, minlength=n))
     rows_at_once = max(1, min(n, BLOCK_CELLS // n))
     words_at_once = max(1, BLOCK_CELLS // n)
@@ -154,8 +154,8 @@ def summarise(
 
     Texts under 100 characters are returned as they are. Splitting, tokenising and joining run
     in the JVM; only the ranking of one text's sentences is Python, in Arrow batches. With ``stem``
-    words count by their stems; ``article_index`` must then tell articles apart. For texts of
-    thousands of sentences see ``long_texts``.
+    words count by their stems, made where they stand: no word is shuffled. For texts of thousands of
+    sentences see ``long_texts``.
     """
     rank = lambda doc: _central_sentences([list(s) for s in doc], keep)
 
@@ -164,19 +164,11 @@ def summarise(
         return batch.map(rank)
 
     @F.pandas_udf("array<int>")
-    def central_stems(batch: pd.Series, words: pd.Series, stems: pd.Series) -> pd.Series:
-        tables = [dict(zip(w, s)) if w is not None else {} for w, s in zip(words, stems)]
-        return pd.Series([rank([[table[t] for t in s] for s in doc]) for doc, table in zip(batch, tables)])
+    def central_stems(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda doc: rank([list(map(stemmed, s)) for s in doc]))
 
     parts = sentence_terms(articles, text, stop_words)
-    if not stem:
-        return join_sentences(parts.withColumn("_best", central("_terms")), text)
-    entry = F.sort_array(F.collect_list(F.struct("word", "stem"))).alias("_e")
-    tables = word_stems(parts).groupBy("article_index").agg(entry)
-    tables = tables.select(F.col("article_index").alias("_article"), "_e.word", "_e.stem")
-    tables = tables.withColumnsRenamed({"word": "_words", "stem": "_stems"})
-    joined = parts.join(tables, F.col("article_index").eqNullSafe(F.col("_article")), "left")
-    return join_sentences(joined.withColumn("_best", central_stems("_terms", "_words", "_stems")), text)
+    return join_sentences(parts.withColumn("_best", (central_stems if stem else central)("_terms")), text)
 
 
 # ---- sentence polarity ---------------------------------------------------------
