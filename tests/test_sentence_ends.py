@@ -90,3 +90,13 @@ def test_without_abbreviations_sentences_stay_the_same(spark, folder):
     plain, got = ops.sentence_table(docs).select(both), ends.sentences_with(docs, none).select(both)
     assert plain.count() == got.count() and plain.exceptAll(got).count() == 0
     assert ends.abbreviations(ends.period_counts(docs.limit(0))).count() == 0
+
+
+def test_texts_are_counted_once_and_regular_expressions_see_different_tokens(spark, folder):
+    """The learned words are read once; tokens are counted before they are taken apart."""
+    texts = table(spark, PROSE * 6)
+    counts = ends.period_counts(texts)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [token" in plan
+    rows = ends.sentences_with(texts, ends.abbreviations(counts))
+    assert "token" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -29,17 +29,22 @@ def _core(token: Column) -> Column:
 def period_counts(articles: DataFrame, text: str = "summary") -> DataFrame:
     """Per word in lower case: ``n`` times, ``n_period`` with a period, ``n_lower`` of these before lower case."""
     tokens = F.array_remove(F.split(F.col(text), r"\s+"), "")
-    paired = F.transform(F.col("_t"), lambda t, k: F.struct(_core(t).alias("core"), F.get("_t", k + 1).alias("following")))
+    before_lower = lambda t, k: F.coalesce(F.rlike(F.get("_t", k + 1), F.lit(r"^\p{Ll}")), F.lit(False))
+    paired = F.transform(F.col("_t"), lambda t, k: F.struct(t.alias("token"), before_lower(t, k).alias("lower")))
     rows = articles.select(tokens.alias("_t")).select(F.explode(paired).alias("p")).select("p.*")
+    # Tokens are counted as they stand; only different ones are taken apart.
+    rows = rows.groupBy("token", "lower").agg(F.count("*").alias("times")).withColumn("core", _core(F.col("token")))
     period = F.col("core").endswith(".")
     rows = rows.select(
         F.lower(F.when(period, F.substring("core", F.lit(1), F.length("core") - 1)).otherwise(F.col("core"))).alias("word"),
         period.alias("period"),
-        F.coalesce(F.rlike("following", F.lit(r"^\p{Ll}")), F.lit(False)).alias("lower"),
+        "lower",
+        "times",
     )
     rows = rows.filter(F.rlike("word", F.lit(WORD_TYPE)))
+    times = lambda holds: F.sum(F.when(holds, F.col("times")).otherwise(0))
     return rows.groupBy("word").agg(
-        F.count("*").alias("n"), F.count_if("period").alias("n_period"), F.count_if(F.col("period") & F.col("lower")).alias("n_lower")
+        F.sum("times").alias("n"), times(F.col("period")).alias("n_period"), times(F.col("period") & F.col("lower")).alias("n_lower")
     )
 
 
@@ -61,8 +66,10 @@ def sentences_with(articles: DataFrame, known: DataFrame, text: str = "summary")
     ``known`` has a ``word`` column; it is broadcast up to ``SMALL_LEXICON`` words, a larger one is joined.
     ``article_index`` tells articles apart. Blanks inside sentences stay as they are.
     """
-    if known.limit(SMALL_LEXICON + 1).count() <= SMALL_LEXICON:
-        known = F.broadcast(known)
+    # Read once: they are often learned from the texts, which should not be counted again for the join.
+    few = known.select("word").limit(SMALL_LEXICON + 1).collect()
+    if len(few) <= SMALL_LEXICON:
+        known = F.broadcast(articles.sparkSession.createDataFrame(few, "word string"))
     marked = F.regexp_replace(F.col(text), r"([.!?])(\s+)", "$1\u0001$2")
     pieces = articles.select("article_index", F.posexplode(F.split(marked, "\u0001")).alias("_k", "_piece"))
     last = _core(F.regexp_extract("_piece", r"(\S+)\.$", 1))
