@@ -1,6 +1,7 @@
 """Features, cumulative sentiment and windows against pandas and numpy on awkward frames."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -416,3 +417,22 @@ def test_positions_of_combined_bars(spark, data):
     assert len(got) == plain.count()
     for _, g in got.sort_values("date").groupby("ticker"):
         assert list(g["pos"]) == list(range(1, len(g) + 1))
+
+
+def test_each_window_expression_is_computed_once(spark, data):
+    """A window expression named twice is computed twice; features name columns."""
+    bars, sentiment = data[:2]
+    plan = feats.feature_table(bars, sentiment)._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"(\w+\([^()]*\)) windowspecdefinition\(ticker#\d+, _block#\d+L?, [^)]*(frame\([^)]*\)|specifiedwindowframe\([^)]*\))", plan)
+    assert len(made) >= 10 and len(made) == len(set(made))
+
+
+def test_indexed_windows_join_blocks_without_a_shuffle(spark, folder):
+    from tickertide.plans import feature_queries as fq, fit_queries as fits
+
+    got = fits.indexed_windows(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Subquery")[0] and "BroadcastHashJoin" in plan
+    key = ["ticker", "date", "split", "ticker_idx"]
+    want = win.ticker_index(fq.split_cells(fq.blocks(spark, folder)))
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
