@@ -111,3 +111,12 @@ def test_no_word_is_shuffled_and_no_group_is_made_per_block(spark, folder):
     ranks = spark.createDataFrame([], "article_index bigint, block int, rank array<double>, degree array<double>, away double")
     links = long_texts._links(blocks, 16)
     assert "CoGroup" not in plan(links) + plan(long_texts._round(links, ranks, F.col("rank")))
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_repeated_rows_are_ranked_each_on_their_own(spark, stem):
+    texts = [" ".join(f"Word{chr(97 + k * m % 26)} and hopes{chr(97 + k % 5)} rise." for k in range(30)) for m in (3, 7)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (2, texts[1])]
+    df = spark.createDataFrame(rows, "article_index bigint, article string").repartition(3)
+    want = sorted(map(tuple, ops.summarise(df, stem=stem).collect()))
+    assert sorted(map(tuple, long_texts.summaries(df, longest=5, block=8, stem=stem).collect())) == want

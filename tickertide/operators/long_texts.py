@@ -234,7 +234,7 @@ def summaries(
     """``summarise`` for texts of any length: those of more than ``longest`` sentences take many tasks.
 
     Long texts are ranked when this is called, in a loop that ends when all have settled.
-    ``article_index`` tells articles apart; where it is null a text is ranked in one task.
+    Where ``article_index`` is null a text is ranked in one task.
     """
     could = (F.length(text) >= LEAST_SENTENCE * longest) & F.col(KEY).isNotNull()
     is_long = F.coalesce(could & (F.size(sentences(text)) > max(longest, keep)), F.lit(False))
@@ -243,7 +243,10 @@ def summaries(
     long = marked.filter("_long").drop("_long")
     if long.isEmpty():
         return short
-    parts = _written(sentence_terms(long, text, stop_words).select(F.col(KEY).cast("bigint").alias(KEY), text, "_parts", "_terms"), "long-texts")
+    # Rows are told apart by a number of their own: rows of one article may repeat.
+    terms = sentence_terms(long, text, stop_words).select(KEY, text, "_parts", "_terms")
+    parts = _written(terms.withColumn("_row", F.monotonically_increasing_id()), "long-texts")
     # Only texts that are split at all have sentences to rank.
-    best = central_sentences(parts.filter("_parts IS NOT NULL"), keep, block, stem)
-    return short.unionByName(join_sentences(parts.join(best, KEY, "left"), text))
+    rows = parts.filter("_parts IS NOT NULL").select(F.col("_row").alias(KEY), "_terms")
+    best = central_sentences(rows, keep, block, stem).withColumnRenamed(KEY, "_row")
+    return short.unionByName(join_sentences(parts.join(best, "_row", "left"), text))
