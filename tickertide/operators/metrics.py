@@ -38,9 +38,14 @@ def _step_price(position: int) -> Column:
     return F.element_at(F.element_at("x", position), 1)
 
 
+def last_move(windows: DataFrame) -> Column:
+    """Relative price of the last step; windows that have it as a column need not be stacked for it."""
+    return F.col("last_move") if "last_move" in windows.columns else _step_price(-1)
+
+
 def naive_price(windows: DataFrame) -> DataFrame:
     """Last price in the window. Relative windows leave out their last step, so it is the one before."""
-    return windows.withColumn("pred_price", denormalise(_step_price(-1), F.col("y_base")))
+    return windows.withColumn("pred_price", denormalise(last_move(windows), F.col("y_base")))
 
 
 def moving_average_price(windows: DataFrame, steps: int = 5) -> DataFrame:
@@ -133,7 +138,7 @@ def both_scales(df: DataFrame, scalers: DataFrame, by: Sequence[str] = ()) -> Da
 
 def with_price_direction(df: DataFrame) -> DataFrame:
     """Up or not, predicted and true, against the last price of the window (relative values)."""
-    last = _step_price(-1)
+    last = last_move(df)
     return df.withColumns(
         {"pred_up": (F.col("pred") > last).cast("int"), "true_up": (F.col("y") > last).cast("int")}
     )
@@ -146,7 +151,7 @@ def price_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         {
             "_true": denormalise(F.col("y"), base),
             "_pred": denormalise(F.col("pred"), base),
-            "_naive": denormalise(_step_price(-1), base),
+            "_naive": denormalise(last_move(df), base),
         }
     )
     t, p, naive = F.col("_true"), F.col("_pred"), F.col("_naive")

@@ -219,49 +219,60 @@ def positional_split(df: DataFrame, train: float = 0.70, val: float = 0.85) -> D
     return df.withColumns({"split": split, "split_pos": (p - start).cast("bigint")})
 
 
-def relative_steps(x: Column, columns: Sequence[str]) -> Column:
-    """Each step relative to the first one: value/first - 1 for price and volume.
+def relative_value(value: Column, start: Column, name: str) -> Column:
+    """A value relative to that of the first row: value/first - 1 for price and volume.
 
-    Article counts are divided by a fixed scale, other columns stay as they are. Columns are
-    addressed by name, so a missing feature cannot shift the others.
+    Article counts are divided by a fixed scale, other columns stay as they are.
     """
-    first = F.element_at(x, 1)
+    if name in RELATIVE:
+        return value / F.when(F.abs(start) < TINY, TINY).otherwise(start) - 1
+    return value / ARTICLE_SCALE if name == "n_articles" else value
+
 
-    def cell(step: Column, i: int, name: str) -> Column:
-        value = F.element_at(step, i + 1)
-        if name in RELATIVE:
-            start = F.element_at(first, i + 1)
-            return value / F.when(F.abs(start) < TINY, TINY).otherwise(start) - 1
-        return value / ARTICLE_SCALE if name == "n_articles" else value
+def relative_steps(x: Column, columns: Sequence[str]) -> Column:
+    """Each step of a window relative to the row it begins at (see ``relative_value``).
 
+    ``x`` lists the ``columns`` of the row itself and of rows behind it. Columns are addressed by
+    name, so a missing feature cannot shift the others.
+    """
+    cell = lambda step, i, c: relative_value(F.element_at(step, i + 1), F.col(c).cast("double"), c)
     return F.transform(x, lambda step: F.array(*[cell(step, i, c) for i, c in enumerate(columns)]))
 
 
 def _cut_windows(
     df: DataFrame, seq_len: int, horizons: Sequence[int], columns: Sequence[str], rows_per_block: int
 ) -> DataFrame:
-    """Windows per split with their last price and the prices at each horizon (``_ahead``)."""
+    """Windows per split with their last price and the prices at each horizon (``_ahead``).
+
+    ``last_move`` is the first cell of the last step of ``x``. Neither it nor the choice of rows depends
+    on ``x``, so plans that need no other cell do not stack the steps.
+    """
     names = resolve_columns(df, columns)
     reach = seq_len - 1 + max(horizons)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         frame = w.rowsBetween(0, seq_len - 1)
         whole = (F.count("*").over(frame) == seq_len) & (F.count("close").over(frame) == seq_len)
+        # The last price comes before the last row, which x leaves out; a window of one row has no step.
+        before_last = F.lead(names[0], seq_len - 2).over(w).cast("double") if seq_len > 1 else F.lit(None).cast("double")
         return rows.withColumns(
             {
-                "_x": F.when(whole, F.collect_list(_stack(names)).over(frame)),
+                "_x": F.collect_list(_stack(names)).over(frame),
+                "_whole": whole,
+                "_before_last": before_last,
                 "last_price": F.lead("close", seq_len - 1).over(w),
                 "_ahead": F.array(*[F.lead("close", seq_len - 1 + h).over(w) for h in horizons]),
             }
         )
 
     out = over_blocks(fill_news_gaps(df), compute, 0, reach, ["ticker", "split"], "split_pos", rows_per_block)
-    return out.filter(F.col("_x").isNotNull()).select(
+    return out.filter("_whole").select(
         "ticker",
         "split",
         "split_pos",
         "date",
-        F.slice(relative_steps(F.col("_x"), names), 1, seq_len - 1).alias("x"),
+        relative_steps(F.slice("_x", 1, seq_len - 1), names).alias("x"),
+        relative_value(F.col("_before_last"), F.col(names[0]).cast("double"), names[0]).alias("last_move"),
         F.col("close").alias("y_base"),
         "last_price",
         "_ahead",

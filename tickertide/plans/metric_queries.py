@@ -183,8 +183,8 @@ def price_measures_sql(pred: str, rounded: bool = True) -> str:
 
 
 def price_predictions(spark, folder, horizon=1):
-    last = F.element_at(F.element_at("x", -1), 1)
-    return fq.price_windows(spark, folder, horizon).withColumn("pred", last * 0.9 + 0.01)
+    rows = fq.price_windows(spark, folder, horizon)
+    return rows.withColumn("pred", ops.last_move(rows) * 0.9 + 0.01)
 
 
 @query("price_metrics__i9", f"SELECT split, {price_measures_sql(_PRICE_PRED)} FROM fx_horizon GROUP BY 1")
