@@ -43,3 +43,21 @@ def test_price_direction_stacks_no_steps(spark, folder):
     plan = printed(entry_module.queries()["price_direction__i10"](spark, folder), "extended")
     optimised = plan.split("== Optimized Logical Plan ==")[1]
     assert "collect_list" not in optimised and "o_orderdate" not in optimised
+
+
+def test_lines_store_the_price_alone(spark, folder, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    built = []
+
+    def spy(_spark, _path, build):
+        built.append(build())
+        raise Stop
+
+    monkeypatch.setattr(fit_queries, "load_or_build", spy)
+    with pytest.raises(Stop):
+        fit_queries.line_runs(spark, folder)
+    assert built[0].columns == ["ticker", "split", "x", "y"]
+    assert "o_orderdate" not in printed(built[0], "extended").split("== Optimized Logical Plan ==")[1]
+    assert {len(step) for row in built[0].limit(5).collect() for step in row.x} == {1}
