@@ -170,3 +170,10 @@ def test_a_text_of_many_sentences_keeps_to_its_memory(monkeypatch):
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 4e6
+
+
+def test_texts_of_one_partition_are_ranked_by_many_tasks(spark, folder):
+    """A file may hold all texts in one row group; stop words are looked up by hash."""
+    out = ops.summarise(corpus(spark, folder).coalesce(1), stem=True)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()

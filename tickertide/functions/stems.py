@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -90,40 +91,55 @@ def stem_table(words: DataFrame, column: str = "word") -> DataFrame:
 KEPT_STEMS = 100_000
 
 
-@functools.cache
-def _pattern(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.ASCII)
+def _has(pattern: str) -> Callable[[str], re.Match | None]:
+    return re.compile(pattern, re.ASCII).search
 
 
-def _replaced_in(word: str, table: dict[str, str], condition: str) -> str:
-    found = _pattern(suffix_pattern(table)).search(word)
-    return found[1] + table[found[2]] if found and _pattern(condition).search(found[1]) else word
+def _by_last_letter(table: dict[str, str]) -> dict[str, list[tuple[str, str]]]:
+    """The suffixes of a table by their last letter, longest first."""
+    longest_first = sorted(table.items(), key=lambda pair: -len(pair[0]))
+    return {last: [pair for pair in longest_first if pair[0][-1] == last] for last in {suffix[-1] for suffix in table}}
+
+
+_PLURALS, _DERIVED, _FORMED, _REMOVED = map(_by_last_letter, (PLURALS, DERIVED, FORMED, dict.fromkeys(REMOVED, "")))
+_ENGLISH, _VOWEL = _has("^[a-z]{3,}$"), _has(HAS_VOWEL)
+_OVER_0, _IS_1, _OVER_1, _SHORT = map(_has, (MEASURE_OVER_0, MEASURE_IS_1, MEASURE_OVER_1, SHORT_END))
+_DOUBLED = tuple(c * 2 for c in "bcdfghjkmnpqrtvwxy")
+
+
+def _replaced_in(word: str, table: dict[str, list[tuple[str, str]]], holds: Callable[[str], object]) -> str:
+    for suffix, new in table.get(word[-1:], ()):
+        if word.endswith(suffix):
+            left = word[: -len(suffix)]
+            return left + new if holds(left) else word
+    return word
 
 
 @functools.lru_cache(KEPT_STEMS)
 def stemmed(word: str) -> str:
     """The stem of one word, by the rules of ``stem_table``: for words that tasks hold already."""
-    matches = lambda value, pattern: _pattern(pattern).search(value) is not None
-    if not matches(word, "^[a-z]{3,}$"):
+    if not _ENGLISH(word):
         return word
-    w = _replaced_in(word, PLURALS, "")
-    found = _pattern("^(.*?)(ed|ing)$").search(w)
-    rest = found[1] if found else ""
-    if not w.endswith("eed") and matches(rest, HAS_VOWEL):
-        if matches(rest, "(at|bl|iz)$"):
-            w = rest + "e"
-        elif matches(rest, "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy)$"):
-            w = rest[:-1]
-        else:
-            w = rest + "e" if matches(rest, MEASURE_IS_1) and matches(rest, SHORT_END) else rest
-    elif w.endswith("eed") and matches(w[:-3], MEASURE_OVER_0):
-        w = w[:-1]
-    if w.endswith("y") and matches(w[:-1], HAS_VOWEL):
+    w = _replaced_in(word, _PLURALS, lambda left: True)
+    if w.endswith("eed"):
+        if _OVER_0(w[:-3]):
+            w = w[:-1]
+    elif w.endswith(("ed", "ing")):
+        rest = w[:-2] if w.endswith("ed") else w[:-3]
+        if _VOWEL(rest):
+            if rest.endswith(("at", "bl", "iz")):
+                w = rest + "e"
+            elif rest.endswith(_DOUBLED):
+                w = rest[:-1]
+            else:
+                w = rest + "e" if _IS_1(rest) and _SHORT(rest) else rest
+    if w.endswith("y") and _VOWEL(w[:-1]):
         w = w[:-1] + "i"
-    w = _replaced_in(_replaced_in(w, DERIVED, MEASURE_OVER_0), FORMED, MEASURE_OVER_0)
-    if not w.endswith("ion") or matches(w, "[st]ion$"):
-        w = _replaced_in(w, dict.fromkeys(REMOVED, ""), MEASURE_OVER_1)
-    short = w[:-1]
-    if w.endswith("e") and (matches(short, MEASURE_OVER_1) or (matches(short, MEASURE_IS_1) and not matches(short, SHORT_END))):
-        w = short
-    return w[:-1] if w.endswith("ll") and matches(w, MEASURE_OVER_1) else w
+    w = _replaced_in(_replaced_in(w, _DERIVED, _OVER_0), _FORMED, _OVER_0)
+    if not w.endswith("ion") or w.endswith(("sion", "tion")):
+        w = _replaced_in(w, _REMOVED, _OVER_1)
+    if w.endswith("e"):
+        short = w[:-1]
+        if _OVER_1(short) or (_IS_1(short) and not _SHORT(short)):
+            w = short
+    return w[:-1] if w.endswith("ll") and _OVER_1(w) else w

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.columns import one_line, sample_sentences, sentences, trim_space
@@ -48,11 +50,12 @@ def sentence_table(
 BLOCK_CELLS = 4_000_000  # largest dense block held while comparing sentences
 
 
-def weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sentence, word and idf-weighted frequency of every word in every sentence, by word."""
-    n = len(terms)
-    owner = np.repeat(np.arange(n), [len(words) for words in terms])
-    word, vocabulary = pd.factorize(np.array([w for words in terms for w in words], dtype=object))
+def weighted_words(owner: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sentence, word and idf-weighted frequency of every word in every sentence, by word.
+
+    ``owner`` holds the sentence (of ``n``) that each ``word`` stands in; words are texts or numbers.
+    """
+    word, vocabulary = pd.factorize(word)
     size = max(len(vocabulary), 1)
     cell, count = np.unique(word.astype(np.int64) * n + owner, return_counts=True)
     col, row = cell // n, cell % n
@@ -62,14 +65,23 @@ def weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.n
     return row, col, count / top[row] * idf[col], size
 
 
-def _near_blocks(terms: list[list[str]]) -> Callable[[], Iterator[tuple[int, np.ndarray]]]:
+def _flat(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, int]:
+    owner = np.repeat(np.arange(len(terms)), [len(words) for words in terms])
+    return owner, np.array([w for words in terms for w in words], dtype=object), len(terms)
+
+
+def weighted_terms(terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``weighted_words`` of lists of words."""
+    return weighted_words(*_flat(terms))
+
+
+def _near_blocks(owner: np.ndarray, word: np.ndarray, n: int) -> Callable[[], Iterator[tuple[int, np.ndarray]]]:
     """Which sentences have a cosine over the threshold, by blocks of rows: first row, mask.
 
     A graph that fits one block is kept; of a larger one only a block at a time is held, and it is
     made anew whenever it is read, so memory does not grow with the pairs.
     """
-    n = len(terms)
-    row, col, value, size = weighted_terms(terms)
+    row, col, value, size = weighted_words(owner, word, n)
     norm = np.sqrt(np.bincount(row, value * value, minlength=n))
     rows_at_once = max(1, min(n, BLOCK_CELLS // n))
     words_at_once = max(1, BLOCK_CELLS // n)
@@ -91,16 +103,15 @@ def _near_blocks(terms: list[list[str]]) -> Callable[[], Iterator[tuple[int, np.
     return lambda: iter(kept)
 
 
-def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
-    """Positions of the most central sentences of one text, in text order.
+def _central(owner: np.ndarray, word: np.ndarray, n: int, keep: int) -> list[int]:
+    """Positions of the most central of the ``n`` sentences of one text, in text order.
 
     Linked sentences share their rank evenly among their links, iterated until it settles
     (power iteration on the thresholded similarity graph; Erkan and Radev, 2004).
     """
-    n = len(terms)
     if n <= keep:
         return list(range(n))
-    near = _near_blocks(terms)
+    near = _near_blocks(owner, word, n)
     degree = np.maximum(np.concatenate([mask.sum(axis=1) for _, mask in near()]), 1)
     rank, change = np.full(n, 1.0 / n), 1.0
     while change > TOLERANCE:
@@ -114,18 +125,42 @@ def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
     return sorted(int(i) for i in best)
 
 
+def _central_sentences(terms: list[list[str]], keep: int) -> list[int]:
+    return _central(*_flat(terms), keep)
+
+
+def _central_of(docs: pa.Array, keep: int, stem: bool) -> pa.Array:
+    """``_central`` of each text of a batch (lists of words by sentence); each different word is stemmed once."""
+    parts = docs.values
+    names = parts.values.dictionary_encode()
+    word = names.indices.to_numpy(zero_copy_only=False)
+    if stem:
+        stems, _ = pd.factorize(np.array([stemmed(w) for w in names.dictionary.to_pylist()], dtype=object))
+        word = stems[word]
+    starts, best = parts.offsets.to_numpy(), []
+    for first, last in itertools.pairwise(docs.offsets.to_numpy().tolist()):
+        at = starts[first : last + 1]
+        owner = np.repeat(np.arange(last - first), np.diff(at))
+        best.append(_central(owner, word[at[0] : at[-1]], last - first, keep))
+    return pa.array(best, pa.list_(pa.int32()))
+
+
 def sentence_terms(
     articles: DataFrame, text: str = "article", stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """Articles with ``_parts``, the sentences of texts of 100 characters and more, and ``_terms``, their words."""
-    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+    """Articles with ``_parts``, the sentences of texts of 100 characters and more, and ``_terms``, their words.
+
+    Rows are dealt out first: what is made of them takes far longer than reading them, and a file of few row
+    groups would leave it to as many tasks.
+    """
+    articles = articles.repartition(int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def words(s: Column) -> Column:
         return F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+"), 0)
 
     long_enough = F.length(trim_space(text)) >= MIN_TEXT
     parts = articles.withColumn("_parts", F.when(long_enough, sentences(text)))
-    terms = F.transform("_parts", lambda s: F.filter(words(s), lambda t: ~F.array_contains(stop, t)))
+    terms = F.transform("_parts", lambda s: F.filter(words(s), lambda t: ~t.isin(list(stop_words))))
     return parts.withColumn("_terms", F.coalesce(terms, F.array().cast("array<array<string>>")))
 
 
@@ -157,18 +192,12 @@ def summarise(
     words count by their stems, made where they stand: no word is shuffled. For texts of thousands of
     sentences see ``long_texts``.
     """
-    rank = lambda doc: _central_sentences([list(s) for s in doc], keep)
-
-    @F.pandas_udf("array<int>")
-    def central(batch: pd.Series) -> pd.Series:
-        return batch.map(rank)
-
-    @F.pandas_udf("array<int>")
-    def central_stems(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda doc: rank([list(map(stemmed, s)) for s in doc]))
+    @F.arrow_udf("array<int>")
+    def central(batch: pa.Array) -> pa.Array:
+        return _central_of(batch, keep, stem)
 
     parts = sentence_terms(articles, text, stop_words)
-    return join_sentences(parts.withColumn("_best", (central_stems if stem else central)("_terms")), text)
+    return join_sentences(parts.withColumn("_best", central("_terms")), text)
 
 
 # ---- sentence polarity ---------------------------------------------------------
