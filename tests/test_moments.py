@@ -126,3 +126,23 @@ def test_effects_of_many_tickers_stay_a_table(spark):
     assert np.allclose(slopes, [3, -1])
     assert effects.count() == 20_000
     assert effects.filter(F.abs(F.col("effect") - F.substring("ticker", 2, 9).cast("int") % 7) > 1e-6).count() == 0
+
+
+def test_levels_of_few_features_take_one_pass(spark, monkeypatch):
+    """Sums per ticker are stored, so the levels do not read the windows again; a join of the means gives the same."""
+    data_ = table(spark, drawn(4) + [(None, "train", [0.1, 0.5, 0.3], 40.0), (None, "train", [0.2, 0.5, 0.3], 41.0), ("ONE", "train", [0.2, 0.1, 0.3], 7.0)])
+    slopes, effects = moments.fit_ticker_effects(data_, F.col("z"), 0.1)
+    files = effects.inputFiles()
+    assert files and all("ticker-moments" in f for f in files)
+    monkeypatch.setattr(moments, "FEW_COMPONENTS", 0)
+    others, levels = moments.fit_ticker_effects(data_, F.col("z"), 0.1)
+    assert np.allclose(slopes, others, rtol=1e-9)
+    key = lambda r: str(r.ticker)
+    for a, b in zip(sorted(effects.collect(), key=key), sorted(levels.collect(), key=key), strict=True):
+        assert (a.ticker, a.n) == (b.ticker, b.n) and np.isclose(a.effect, b.effect, rtol=1e-9)
+
+
+def test_vectors_of_unequal_length_are_an_error(spark):
+    data_ = table(spark, drawn(4) + [("T1", "train", [0.1, 0.2, 0.3, 0.4], 1.0)])
+    with pytest.raises(Exception):  # noqa: B017
+        moments.fit_ticker_effects(data_, F.col("z"))[1].collect()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickertide.operators.fit import configurations, pooled
 from tickertide.operators.windows import ROUNDING, feature_set
+from tickertide.session import shared_dir
 
 MAX_FEATURES = 2000  # a system of this size is solved on the driver in seconds
 
@@ -224,6 +225,28 @@ def _dot(slopes: Sequence[float], z: Column) -> Column:
     return sum((F.lit(float(b)) * F.element_at(z, k + 1) for k, b in enumerate(slopes)), F.lit(0.0))
 
 
+FEW_COMPONENTS = 6  # features and target whose products are columns of one aggregate
+
+
+def _per_ticker(train: DataFrame, size: int) -> tuple[DataFrame, Moments]:
+    """Means per ticker, and the moments of the deviations from them: one pass, its rows (one per ticker) stored."""
+    value = lambda k: F.element_at("vector", k + 1)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    spread = [F.covar_pop(value(i), value(j)) * F.count("*") for i, j in pairs]
+    means = F.array(*[F.avg(value(k)) for k in range(size)]).alias("mean")
+    sums = train.groupBy("ticker").agg(means, F.count("*").alias("n"), F.array(*spread).alias("cross"), F.max(F.size("vector")).alias("size"))
+    path = shared_dir(train.sparkSession, "ticker-moments")
+    sums.write.parquet(path)
+    stored = train.sparkSession.read.schema(sums.schema).parquet(path)
+    total = stored.agg(F.sum("n"), F.max("size"), *[F.sum(F.get("cross", F.lit(k))) for k in range(len(pairs))]).first()
+    if total[1] != size:
+        raise ValueError("vectors differ in length")
+    cross = np.zeros((size, size))
+    for (i, j), together in zip(pairs, total[2:]):
+        cross[i, j] = cross[j, i] = together
+    return stored.select("ticker", "mean", "n"), Moments(int(total[0]), np.zeros(size), cross)
+
+
 def fit_ticker_effects(windows: DataFrame, z: Column, l2: float = 0.0) -> tuple[np.ndarray, DataFrame]:
     """Common slopes and a level per ticker, on the train windows: (slopes, (ticker, effect, n)).
 
@@ -235,14 +258,19 @@ def fit_ticker_effects(windows: DataFrame, z: Column, l2: float = 0.0) -> tuple[
     train = complete_vectors(
         windows.filter(F.col("split") == "train").select("ticker", F.concat(z, F.array(F.col("y").cast("double"))).alias("vector"))
     )
-    size = train.agg(F.max(F.size("vector"))).first()[0]
-    if size is None:
+    any_row = train.select(F.size("vector")).first()
+    if any_row is None:
         raise ValueError("no train windows")
-    means = train.groupBy("ticker").agg(F.array(*[F.avg(F.element_at("vector", k + 1)) for k in range(size)]).alias("mean"), F.count("*").alias("n"))
-    levels = means.withColumnRenamed("ticker", "_ticker").select("_ticker", "mean")
-    centred = train.join(levels, F.col("ticker").eqNullSafe(F.col("_ticker")))
-    centred = centred.select(F.zip_with("vector", "mean", lambda v, m: v - m).alias("vector"))
-    _, slopes = ridge(collected(cross_products(centred, []), [])[()], l2)
+    size = any_row[0]
+    if size <= FEW_COMPONENTS:
+        means, within = _per_ticker(train, size)
+    else:
+        means = train.groupBy("ticker").agg(F.array(*[F.avg(F.element_at("vector", k + 1)) for k in range(size)]).alias("mean"), F.count("*").alias("n"))
+        levels = means.withColumnRenamed("ticker", "_ticker").select("_ticker", "mean")
+        centred = train.join(levels, F.col("ticker").eqNullSafe(F.col("_ticker")))
+        centred = centred.select(F.zip_with("vector", "mean", lambda v, m: v - m).alias("vector"))
+        within = collected(cross_products(centred, []), [])[()]
+    _, slopes = ridge(within, l2)
     effect = F.element_at("mean", size) - _dot(slopes, F.col("mean"))
     return slopes, means.select("ticker", effect.alias("effect"), "n")
 
