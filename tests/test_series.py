@@ -56,6 +56,14 @@ def test_positions_and_carry(spark):
     assert got.count() == df.count()
 
 
+def test_shared_positions_equal_others(spark):
+    odd = [(None, days, 1.0) for days in pd.date_range("2000-01-03", periods=3).date] + [("", pd.Timestamp("2001-01-01").date(), 2.0), ("X", None, 3.0)]
+    df = make(spark, random_rows(5, hot=1500) + odd).withColumn("kept", F.lit("a"))
+    got, want = series.with_positions(df, ["v"], shared=True), series.with_positions(df, ["v"])
+    assert got.columns == want.columns and got.count() == df.count()
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 4096])
 def test_blocks_equal_the_whole_series(spark, size):
     df = series.with_positions(make(spark, random_rows(3)))
