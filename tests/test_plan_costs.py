@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from tickertide.operators import windows as win
 from tickertide.plans import fit_queries, registry
+from tickertide.sources import writers
 
 COMPILED = 8000  # bytes of a method that the JVM still compiles
 
@@ -80,3 +81,21 @@ def test_lines_store_the_price_alone(spark, folder, monkeypatch):
     assert built[0].columns == ["ticker", "split", "x", "y"]
     assert "o_orderdate" not in printed(built[0], "extended").split("== Optimized Logical Plan ==")[1]
     assert {len(step) for row in built[0].limit(5).collect() for step in row.x} == {1}
+
+
+@pytest.mark.parametrize("name, reads", [("sliding_windows__g1", 2), ("pooled_windows__m5", 2), ("persistence_from_cells__i2", 2), ("combined_features__c2_f13", 3)])
+def test_lines_are_dealt_out_once_per_use(spark, folder, name, reads):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = printed(entry_module.queries()[name](spark, folder), "formatted")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"Location: .*lineitem\.parquet", plan)) == reads
+    assert "window-blocks" not in plan
+
+
+def test_kept_tables_are_packed(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    assert writers.load_or_build(spark, path, lambda: spark.range(10)).count() == 10
+    parts = list((tmp_path / "kept").glob("part-*.parquet"))
+    assert parts and all(p.name.endswith(".zstd.parquet") for p in parts)
